@@ -23,6 +23,15 @@ _ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 _TAG = r"<[^>]+>"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it.
+
+    Within one expression Spark often repeats what is written twice. The value is made the only element
+    of an array here, over which ``use`` is mapped.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find(text: Column, *patterns: str) -> Column:
     """Group 1 of the first pattern that matches, else NULL. The group must not match empty text."""
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])

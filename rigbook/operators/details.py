@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigbook import fixed
-from rigbook.functions.text import (contains_any, decimal_to_int, find, find_all, find_or_empty, strip,
+from rigbook.functions.text import (bind, contains_any, decimal_to_int, find, find_all, find_or_empty, strip,
                                     strip_tags, to_int, unescape)
 from rigbook.operators.crawl import first_seen
 from rigbook.schemas import COMPONENTS, PREBUILT_FEED
@@ -37,6 +37,8 @@ DASHED_CONDITION = r'(?iU)\s*[\-–]+\s*(New|Used|Refurbished)\s*$'
 CONDITION = r'(?iU)\s+(New|Used|Refurbished)\s*$'
 NO_VALUE = "—"
 
+_PAIRS = "array<struct<label: string, value: string>>"
+
 Pairs = Callable[[Column], Column]
 
 
@@ -45,7 +47,7 @@ class DetailProfile:
     """A shop's detail pages: where labelled components stand, by preference, and what to keep."""
 
     links: str                       # pattern of product links on a category page
-    components: tuple[Pairs, ...]    # page -> array<struct<label, value>>; the first with a hit counts
+    components: tuple[Pairs, Pairs]  # page -> array<struct<label, value>>; the second is the fallback
     keep_without_components: bool = False
 
 
@@ -111,23 +113,40 @@ DETAIL_PROFILES = {
 }
 
 
-def component_struct(pairs: Column, source: str) -> Column:
-    """Labelled values as the components struct: the first non-empty value of a field wins.
+def _labels(source: str) -> dict[str, str]:
+    return {**fixed.COMPONENT_LABELS, **fixed.COMPONENT_LABELS_BY_SOURCE.get(source, {})}
+
+
+def known_components(html: Column, source: str) -> Column:
+    """The labelled values of a page that name a component, as array<struct<label, value>>.
+
+    The shop's lists are tried in turn, and a later one is read only if those before gave nothing.
+    """
+    labels = _labels(source)
+
+    def known(pairs):
+        return F.filter(pairs, lambda p: p["label"].isin(*labels) & (p["value"] != ""))
+
+    first, second = DETAIL_PROFILES[source].components
+    return bind(F.coalesce(known(first(html)), F.array().cast(_PAIRS)),
+                lambda hits: F.when(F.size(hits) > 0, hits).otherwise(known(second(html))))
+
+
+def component_struct(hits: Column, source: str) -> Column:
+    """Known components as a struct: the first value of a field wins; NULL if there is none.
 
-    NULL if no label is known. (A map would not do: building one fails on repeated labels.)
+    (A map would not do: building one fails on repeated labels.)
     """
-    labels = {**fixed.COMPONENT_LABELS, **fixed.COMPONENT_LABELS_BY_SOURCE.get(source, {})}
+    labels = _labels(source)
 
     def first_value(field):
         names = [label for label, f in labels.items() if f == field]
         if not names:
             return F.lit(None).cast("string")
-        hits = F.filter(pairs, lambda p: p["label"].isin(*names) & (p["value"] != ""))
-        return F.get(hits, F.lit(0))["value"]
+        return F.get(F.filter(hits, lambda p: p["label"].isin(*names)), F.lit(0))["value"]
 
-    values = {field: first_value(field) for field in fixed.COMPONENT_FIELDS}
-    struct = F.struct(*[c.alias(f) for f, c in values.items()])
-    return F.when(F.coalesce(*values.values()).isNotNull(), struct)
+    struct = F.struct(*[first_value(f).alias(f) for f in fixed.COMPONENT_FIELDS])
+    return F.when(F.size(hits) > 0, struct).cast(COMPONENTS)
 
 
 def product_links(pages: DataFrame, source: str) -> DataFrame:
@@ -138,9 +157,9 @@ def product_links(pages: DataFrame, source: str) -> DataFrame:
     return first_seen(rows, ["source", "url"], F.col("page"))
 
 
-def page_title(html: Column) -> Column:
-    """The product title, or else the first main heading, as text; NULL if the page has neither."""
-    return unescape(strip(strip_tags(find_or_empty(html, *TITLE))))
+def title_text(html: Column) -> Column:
+    """The product title, or else the first main heading, without tags; NULL if there is neither."""
+    return strip(strip_tags(find_or_empty(html, *TITLE)))
 
 
 def offer_price(html: Column) -> Column:
@@ -151,23 +170,26 @@ def offer_price(html: Column) -> Column:
 def extract_details(pages: DataFrame, source: str) -> DataFrame:
     """One row per detail page of a shop that is a complete system, as a prebuilt feed.
 
-    ``page`` is the page's position in the crawl. A narrow job, as the listing one is.
+    ``page`` is the page's position in the crawl. A narrow job, as the listing one is. The page is read
+    inside a generator, because Spark moves no filter below one: without it, each filter on a value
+    would work that value out a second time.
     """
-    profile, html = DETAIL_PROFILES[source], F.col("html")
+    html = F.col("html")
     image = find(html, SHARED_IMAGE)
+    read = F.struct(title_text(html).alias("title"), offer_price(html).alias("price_pkr"),
+                    F.when(~image.contains(PLACEHOLDER), image).alias("thumbnail_url"),
+                    known_components(html, source).alias("hits"))
     rows = (pages.where(F.col("source") == source)
-            .withColumn("name", page_title(html))
-            .where("name is not null")
-            .where(~contains_any(F.lower("name"), fixed.NOT_A_SYSTEM[source])))
-    # Each list is read only if the ones before gave nothing: coalesce stops at the first value.
-    components = F.coalesce(*[component_struct(pairs(html), source) for pairs in profile.components])
-    rows = rows.select(
-        "name", offer_price(html).alias("price_pkr"), "url", "source",
-        F.col("fetched_at").alias("scraped_at"),
-        F.when(~image.contains(PLACEHOLDER), image).alias("thumbnail_url"),
-        components.cast(COMPONENTS).alias("components"),
+            .select("source", "url", "page", "fetched_at", F.inline(F.array(read)))
+            .where("title is not null"))
+    if not DETAIL_PROFILES[source].keep_without_components:
+        rows = rows.where("size(hits) > 0")
+    rows = rows.select("*", unescape(F.col("title")).alias("name"))
+    if fixed.NOT_A_SYSTEM[source]:
+        rows = rows.where(~contains_any(F.lower("name"), fixed.NOT_A_SYSTEM[source]))
+    return rows.select(
+        "name", "price_pkr", "url", "source", F.col("fetched_at").alias("scraped_at"), "thumbnail_url",
+        component_struct(F.col("hits"), source).alias("components"),
         F.struct(F.lit(fixed.PREBUILT_SOURCES.index(source)).alias("source_no"),
-                 F.lit(0).alias("category_no"), "page", F.lit(0).alias("pos")).alias("seq"))
-    if not profile.keep_without_components:
-        rows = rows.where("components is not null")
-    return rows.to(PREBUILT_FEED)
+                 F.lit(0).alias("category_no"), "page", F.lit(0).alias("pos")).alias("seq")
+    ).to(PREBUILT_FEED)

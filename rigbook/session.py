@@ -13,9 +13,29 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Java never compiles a method of over 8000 bytecodes. Past that size Spark had better not fuse a
+    # stage into one method; its default is eight times as much.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Put the settings on a session that already runs; all of them may change at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in at least as many partitions as there are cores to work on them.
+
+    A small file is read by one task, which then does all the parsing behind it alone. Tables of many
+    files or row groups come in enough partitions anyway and pass through untouched.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed
 from rigbook.functions.text import part_key, slug
+from rigbook.session import spread
 from rigbook.schemas import COMPONENTS, FEED, PREBUILT_FEED
 from samples.titles import PER_CATEGORY, TITLES
 
@@ -16,7 +17,7 @@ GPUS = ("MSI RTX 4060", "Sapphire Radeon RX 6600", "Intel Arc A750", "GTX 1660 S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values, number):
