@@ -22,6 +22,9 @@ _ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
 _TAG = r"<[^>]+>"
 
+#: Longer than any text or array.
+MAX_LENGTH = 1 << 30
+
 
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once, however often ``use`` mentions it.
@@ -34,14 +37,16 @@ def bind(value: Column, use) -> Column:
 
 def find(text: Column, *patterns: str) -> Column:
     """Group 1 of the first pattern that matches, else NULL. The group must not match empty text."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    def one(pattern):
+        return bind(F.regexp_extract(text, pattern, 1), lambda found: F.when(found != "", found))
+    return F.coalesce(*[one(p) for p in patterns])
 
 
 def find_or_empty(text: Column, *patterns: str) -> Column:
     """As :func:`find`, for a group that may match empty text: '' then means found, NULL not found."""
     def one(pattern):
-        whole = F.regexp_substr(text, F.lit(pattern))
-        return F.when(whole.isNotNull(), F.regexp_extract(whole, pattern, 1))
+        return bind(F.regexp_extract(text, pattern, 0),
+                    lambda whole: F.when(whole != "", F.regexp_extract(whole, pattern, 1)))
     return F.coalesce(*[one(p) for p in patterns])
 
 

@@ -24,13 +24,12 @@ JSON_TOTAL = {"junaidtech.pk": "$.data.totalRecords"}
 
 def seed_dimension(spark: SparkSession) -> DataFrame:
     """All seed pages with their category; 87 fixed rows."""
-    rows = [F.struct(F.lit(source).alias("source"), F.lit(pattern.format(path)).alias("seed_url"),
-                     F.lit(category).alias("category"), F.lit(source_no).alias("source_no"),
-                     F.lit(category_no).alias("category_no"))
+    rows = [f"('{source}', '{pattern.format(path)}', '{category}', {source_no}, {category_no})"
             for source_no, source in enumerate(fixed.PART_SOURCES)
             for pattern, seeds in [fixed.SEED_PAGES[source]]
             for category_no, (path, category) in enumerate(seeds)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} "
+                     "AS seeds(source, seed_url, category, source_no, category_no)")
 
 
 def stamp_category(pages: DataFrame) -> DataFrame:

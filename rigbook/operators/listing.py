@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigbook import fixed
-from rigbook.functions.text import (absolute_url, decimal_to_int, find, find_all, find_or_empty, strip,
-                                    strip_tags, to_int, unescape)
+from rigbook.functions.text import (MAX_LENGTH, absolute_url, bind, decimal_to_int, find, find_all,
+                                    find_or_empty, strip, strip_tags, to_int, unescape)
 from rigbook.operators.crawl import stamp_category
 from rigbook.schemas import FEED
 
@@ -94,8 +94,9 @@ class CardProfile:
     name: ColumnStep           # card -> text as printed; NULL drops the card
     clean_name: ColumnStep     # that text -> name
     url: ColumnStep            # card -> address or NULL
-    price: ColumnStep          # card -> bigint or NULL
+    price: ColumnStep          # card -> price as printed, or NULL
     thumbnail: ColumnStep      # card -> address or NULL
+    clean_price: ColumnStep = to_int  # that text -> bigint or NULL
     needs_url: bool = False    # drop cards without an address
 
 
@@ -103,10 +104,7 @@ class CardProfile:
 
 def _split_after(pattern: str) -> ColumnStep:
     """Cards start behind each match; what stands before the first is page header."""
-    def cut(page):
-        pieces = F.split(page, pattern)
-        return F.slice(pieces, 2, F.size(pieces))
-    return cut
+    return lambda page: F.slice(F.split(page, pattern), 2, MAX_LENGTH)
 
 
 def _split_before(pattern: str) -> ColumnStep:
@@ -121,11 +119,10 @@ def _pieces_with(pattern: str, marker: str) -> ColumnStep:
 
 def _list_items(pattern: str) -> ColumnStep:
     """Cards as list items; the last one ends with its list, not with the page."""
-    def cut(page):
-        items = _split_before(pattern)(page)
+    def end_last(items):
         return F.transform(items, lambda item, i: F.when(
             i == F.size(items) - 1, F.substring_index(item, "</ul>", 1)).otherwise(item))
-    return cut
+    return lambda page: bind(_split_before(pattern)(page), end_last)
 
 
 # -- values in a card ----------------------------------------------------------------------------------
@@ -134,10 +131,6 @@ def _first(*patterns: str) -> ColumnStep:
     return lambda card: find(card, *patterns)
 
 
-def _amount(*patterns: str) -> ColumnStep:
-    return lambda card: to_int(find(card, *patterns))
-
-
 def _contains(*words: str) -> ColumnStep:
     def test(card):
         condition = card.contains(words[0])
@@ -171,7 +164,7 @@ def _three_entities(text: Column) -> Column:
 def _without_slogan(text: Column) -> Column:
     """Drop the shop's 'Buy …' in front and '… | TechMatched' behind."""
     name = _decoded(text)
-    name = F.when(F.lower(name).startswith("buy "), strip(F.substring(name, 5, 1 << 30))).otherwise(name)
+    name = F.when(F.lower(name).startswith("buy "), strip(F.substring(name, 5, MAX_LENGTH))).otherwise(name)
     head = F.regexp_replace(name, r"(?i)\| techmatched$", "")
     return F.when(F.lower(name).endswith("| techmatched"), strip(F.rtrim(head, F.lit(" |")))).otherwise(name)
 
@@ -188,7 +181,11 @@ def _lazy_thumbnail(card: Column) -> Column:
 
 def _shopify_price(card: Column) -> Column:
     text = F.regexp_replace(find_or_empty(card, SHOPIFY_PRICE_SPAN), SHOPIFY_INNER_SPAN, "")
-    return to_int(find(unescape(strip_tags(text)), SHOPIFY_AMOUNT, SHOPIFY_DIGITS))
+    return strip_tags(text)
+
+
+def _shopify_amount(text: Column) -> Column:
+    return to_int(find(unescape(text), SHOPIFY_AMOUNT, SHOPIFY_DIGITS))
 
 
 def _shopify_thumbnail(card: Column) -> Column:
@@ -198,18 +195,13 @@ def _shopify_thumbnail(card: Column) -> Column:
     return F.rtrim(F.regexp_replace(src, SHOPIFY_WIDTH, "$1"), F.lit("?&"))
 
 
-def _woostify_price(card: Column) -> Column:
-    """Once a data-layer figure stands in the card, the printed price is not looked at."""
-    return to_int(find(card, *WOOSTIFY_DATA_PRICE, WOOSTIFY_PRICE))
-
-
 PROFILES = {
     "zahcomputers.pk": CardProfile(
         cards=_split_after(WOODMART_CARD),
         sold_out=_contains("outofstock"),
         name=_first(WOODMART_NAME), clean_name=strip,
         url=_first(r'href="(https://zahcomputers\.pk/product/[^"]+)"'),
-        price=_amount(WOODMART_SALE, WOODMART_PRICE),
+        price=_first(WOODMART_SALE, WOODMART_PRICE),
         thumbnail=lambda card: _real(find(card, WOODMART_SLIDE)),
     ),
     "techarc.pk": CardProfile(
@@ -218,7 +210,7 @@ PROFILES = {
         name=_first(WOODMART_NAME), clean_name=_decoded,
         url=_first(r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://techarc\.pk/[^"?#]+)"',
                    r'href="(https://techarc\.pk/[^"?#]+/)"'),
-        price=_amount(WOODMART_SALE, WOODMART_PRICE),
+        price=_first(WOODMART_SALE, WOODMART_PRICE),
         thumbnail=lambda card: F.coalesce(_real(find(card, WOODMART_SLIDE)),
                                           _real(find(card, WOODMART_IMAGE))),
     ),
@@ -228,7 +220,7 @@ PROFILES = {
         name=_first(WOODMART_NAME, WOODMART_TITLE), clean_name=_decoded,
         url=_first(r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://redtech\.pk/[^"?#]+)"',
                    r'href="(https://redtech\.pk/product/[^"?#]+)"'),
-        price=_amount(r"(?sU)<ins[^>]*>.*?" + WOODMART_SYMBOL_PRICE, "(?sU)" + WOODMART_SYMBOL_PRICE),
+        price=_first(r"(?sU)<ins[^>]*>.*?" + WOODMART_SYMBOL_PRICE, "(?sU)" + WOODMART_SYMBOL_PRICE),
         thumbnail=_lazy_thumbnail,
     ),
     "amdhouse.pk": CardProfile(
@@ -236,7 +228,7 @@ PROFILES = {
         sold_out=_never,
         name=_first(FLATSOME_NAME), clean_name=strip,
         url=_first(FLATSOME_URL, r'href="(https://amdhouse\.pk/product/[^"]+)"'),
-        price=_amount(FLATSOME_PRICE),
+        price=_first(FLATSOME_PRICE),
         thumbnail=_first(r'<img[^>]+src="(https://amdhouse\.pk/wp-content/uploads/[^"]+)"'),
     ),
     "rbtechngames.com": CardProfile(
@@ -246,7 +238,7 @@ PROFILES = {
         url=_first(r'href="(https://rbtechngames\.com/[^"]+)"[^>]*class="woocommerce-LoopProduct',
                    r'href="(https://rbtechngames\.com/shop[^"]+)"',
                    r'href="(https://rbtechngames\.com/[^"]+)"'),
-        price=_amount(FLATSOME_PRICE),
+        price=_first(FLATSOME_PRICE),
         thumbnail=_first(FLATSOME_POST_IMAGE,
                          r'<img[^>]+src="(https://rbtechngames\.com/wp-content/uploads/[^"]+)"'),
     ),
@@ -255,7 +247,7 @@ PROFILES = {
         sold_out=_contains("inventory--out", "sold-out"),
         name=_first(SHOPIFY_NAME), clean_name=_decoded,
         url=lambda card: F.concat(F.lit(PAKBYTE_BASE), find(card, SHOPIFY_URL)),
-        price=_shopify_price,
+        price=_shopify_price, clean_price=_shopify_amount,
         thumbnail=_shopify_thumbnail,
         needs_url=True,
     ),
@@ -264,7 +256,8 @@ PROFILES = {
         sold_out=_marked_out_of_stock(WOOSTIFY_LEADING_CLASS, WOOSTIFY_STOCK),
         name=_first(WOOSTIFY_NAME), clean_name=_without_slogan,
         url=_first(*WOOSTIFY_URL),
-        price=_woostify_price,
+        # Where the data layer has a figure, the printed price is not looked at.
+        price=_first(*WOOSTIFY_DATA_PRICE, WOOSTIFY_PRICE),
         thumbnail=lambda card: F.regexp_replace(_real(find(card, WOOSTIFY_IMAGE)),
                                                 WOOSTIFY_IMAGE_SIZE, ""),
     ),
@@ -272,18 +265,19 @@ PROFILES = {
 
 
 def _card_rows(profile: CardProfile, pages: DataFrame, about: list) -> DataFrame:
+    """A card is read inside a generator: Spark moves no filter below one, so that each value is worked
+    out once, and of a sold-out card none is."""
     card = F.col("card")
-    cards = (pages.select(*about, F.posexplode(profile.cards(F.col("html"))).alias("pos", "card"))
-             .where(~profile.sold_out(card))
-             .select(*about, "pos", "card", profile.name(card).alias("printed"),
-                     profile.url(card).alias("url"))
-             .where("printed is not null"))
+    read = F.struct(profile.name(card).alias("printed"), profile.url(card).alias("url"),
+                    profile.price(card).alias("price"), profile.thumbnail(card).alias("thumbnail_url"))
+    rows = (pages.select(*about, F.posexplode(profile.cards(F.col("html"))).alias("pos", "card"))
+            .select(*about, "pos", F.inline(F.when(~profile.sold_out(card), F.array(read))))
+            .where("printed is not null"))
     if profile.needs_url:
-        cards = cards.where("url is not null")
-    return cards.select(*about, "pos", profile.clean_name(F.col("printed")).alias("name"),
-                        F.coalesce("url", F.lit("")).alias("url"),
-                        profile.price(card).alias("price_pkr"),
-                        profile.thumbnail(card).alias("thumbnail_url"))
+        rows = rows.where("url is not null")
+    return rows.select(*about, "pos", profile.clean_name(F.col("printed")).alias("name"),
+                       F.coalesce("url", F.lit("")).alias("url"),
+                       profile.clean_price(F.col("price")).alias("price_pkr"), "thumbnail_url")
 
 
 # -- pages with structured data ------------------------------------------------------------------------

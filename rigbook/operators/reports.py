@@ -1,14 +1,15 @@
 """Counts over feeds and over the catalogue."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigbook import fixed
 
 
-def source_dimension(spark, sources=fixed.PART_SOURCES) -> DataFrame:
+def source_dimension(spark: SparkSession, sources=fixed.PART_SOURCES) -> DataFrame:
     """The expected shops; a handful of fixed rows."""
-    return spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
+    rows = ", ".join(f"('{source}')" for source in sources)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS shops(source)")
 
 
 def feed_counts(feed: DataFrame) -> DataFrame:

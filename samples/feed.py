@@ -22,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values, number):
     """The number-th of some literals, counted from 0 and around."""
-    options = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.get(options, (number % len(values)).cast("int"))
+    return F.get(literals(values), (number % len(values)).cast("int"))
+
+
+def literals(values):
+    """Some texts as one array literal."""
+    quoted = ["CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"array({', '.join(quoted)})")
 
 
 def category(partkey):
@@ -34,7 +39,7 @@ def title(partkey):
     """The title of a part: its category's next one with each round through the categories."""
     titles = [t for c in fixed.CATEGORIES for t, _ in TITLES[c]]
     turn = F.floor(partkey / 10) % PER_CATEGORY
-    return F.get(F.array(*[F.lit(t) for t in titles]),
+    return F.get(literals(titles),
                  ((partkey % 10) * PER_CATEGORY + turn).cast("int"))
 
 
