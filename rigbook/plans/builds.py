@@ -65,11 +65,12 @@ def resolve_builds(shared: DataFrame, parts: DataFrame, latest: DataFrame) -> Da
     """One row per slot of each saved list, with the part and its latest price, which may be NULL.
 
     Slots whose part is gone are left out. A part that stands in several slots of a list comes back in
-    the last of them only. Filter ``shared`` by code first to look up single lists.
+    the last of them only, in the order of ``BUILD_SLOTS``, as a map has none of its own. Filter ``shared`` by code first to look up single lists.
     """
-    slots = (shared.select("code", F.posexplode("slots").alias("pos", "slot", "part_id"))
+    order = F.array_position(F.lit(list(fixed.BUILD_SLOTS)), F.col("slot"))
+    slots = (shared.select("code", F.explode("slots").alias("slot", "part_id"))
              .where("part_id is not null")
-             .groupBy("code", "part_id").agg(F.max_by("slot", "pos").alias("slot")))
+             .groupBy("code", "part_id").agg(F.max_by("slot", order).alias("slot")))
     priced = parts.join(latest.select("part_id", "price_pkr"), "part_id")
     return slots.join(priced, "part_id").select(
         "code", "slot", "part_id", "source", "source_id", "name", "category", "url", "thumbnail_url",
