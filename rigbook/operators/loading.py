@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rigbook.functions.specs import with_specs
 from rigbook.functions.text import part_key, slug
 from rigbook.schemas import LATEST_PRICES, PARTS, PREBUILTS, PRICE_LOG
+from rigbook.session import cut_lineage
 
 KEY = ["source", "source_id"]
 
@@ -35,8 +36,10 @@ def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now:
 
     url and created_at stay as first stored; a missing thumbnail never replaces one. The stored table is
     the big side: it is only streamed past the batch when that is small enough for Spark to broadcast.
-    Finding the batch's new keys goes by way of the stored keys it hits, never more than the batch.
+    Finding the batch's new keys goes by way of the stored keys it hits, never more than the batch. The
+    folded batch is checkpointed, as each of the joins would fold it anew.
     """
+    batch = cut_lineage(batch)
     columns = existing.columns
     fresh = batch.select(key, *[F.col(c).alias(f"new_{c}") for c in [*replaced, "thumbnail_url"]],
                          F.lit(True).alias("hit"))

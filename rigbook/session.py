@@ -12,7 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Java never compiles a method of over 8000 bytecodes. Past that size Spark had better not fuse a
     # stage into one method; its default is eight times as much.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -26,14 +25,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, *by: str) -> DataFrame:
     """Rows in at least as many partitions as there are cores to work on them.
 
     A small file is read by one task, which then does all the parsing behind it alone. Tables of many
-    files or row groups come in enough partitions anyway and pass through untouched.
+    files or row groups come in enough partitions anyway and pass through untouched. Rows are dealt out
+    by the columns ``by``, if given; without any, Spark sorts the rows first to deal them evenly.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from rigbook.sources.files import (add_missing_columns, as_json, from_json_text,
 from rigbook.sources.tables import CatalogueTables
 from rigbook.streaming.incremental import read_feed_stream, start_loading
 from samples.feed import (CATALOGUE_SQL, CLEAN_SQL, FEED_SQL, PART_LISTS_SQL, part_lists, product_feed,
-                          sql_pick)
+                          sql_pick, table)
 from samples.registry import query
 
 FIRST_RUN = datetime.datetime(2002, 1, 1)
@@ -79,8 +79,7 @@ SELECT page_id, substr(regexp_replace(regexp_replace(rtrim(regexp_replace(
          1, 200) AS source_id
 FROM pages""")
 def slugs(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", slug(F.col("url")).alias("source_id"))
+    return table(spark, sf_dir, "pages").select("page_id", slug(F.col("url")).alias("source_id"))
 
 
 # -- specifications --------------------------------------------------------------------------------------
@@ -326,11 +325,15 @@ def resolve_builds(spark, sf_dir):
     return found.select("code", "slot", "part_id", "name", "category", "price_pkr")
 
 
-@query("""SELECT doc_id, regexp_full_match(substr(text, 1, 6), '[\\p{L}\\p{N}]{6}') AS valid
-FROM documents""")
+@query("""SELECT o_orderkey, code, regexp_full_match(code, '[\\p{L}\\p{N}]{6}') AS valid
+FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ab-' WHEN 1 THEN 'äb' ELSE 'abc' END || o_orderkey
+      AS code FROM orders)""")
 def valid_codes(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return documents.select("doc_id", builds.is_valid_code(F.substring("text", 1, 6)).alias("valid"))
+    """Codes of various lengths and letters, one per order, put to the format check."""
+    key = F.col("o_orderkey")
+    code = F.concat(F.when(key % 3 == 0, "ab-").when(key % 3 == 1, "äb").otherwise("abc"), key)
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"),
+                                                 builds.is_valid_code(code).alias("valid"))
 
 
 # -- checks ----------------------------------------------------------------------------------------------

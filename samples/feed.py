@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed
 from rigbook.functions.text import part_key, slug
-from rigbook.session import spread
 from rigbook.schemas import COMPONENTS, FEED, PREBUILT_FEED
+from rigbook.session import spread
 from samples.titles import PER_CATEGORY, TITLES
 
 CPUS = ("AMD Ryzen 5 5600", "Intel Core i5 12400F", "Core i7 13700", None)
@@ -17,7 +17,8 @@ GPUS = ("MSI RTX 4060", "Sapphire Radeon RX 6600", "Intel Arc A750", "GTX 1660 S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, rows.columns[0])  # each table's first column is a key
 
 
 def pick(values, number):

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigbook import fixed
-from rigbook.functions.text import find_all, strip, strip_tags, unescape
+from rigbook.functions.text import (absolute_url, find_all, price_digits, strip, strip_tags,
+                                    unescape)
 from rigbook.operators import crawl
 from rigbook.operators.details import extract_details, product_links, title_text
-from rigbook.operators.listing import extract_gpu_listing, extract_listing
-from rigbook.plans.refresh import listing_feed
+from rigbook.operators.listing import CZONE_BASE, extract_gpu_listing, extract_listing
+from rigbook.plans.refresh import listing_feed, refresh_parts
+from rigbook.session import scratch_path
+from rigbook.sources.files import read_pages, write_pages
+from rigbook.sources.tables import CatalogueTables
 from samples.feed import table
 from samples.markup import detail_pages, detail_sql, listing_pages, listing_sql
 from samples.registry import query
@@ -66,7 +70,7 @@ def listing_first_seen(spark, sf_dir):
 
 
 _TOTAL_SQL = ("CASE WHEN source NOT IN ('amdhouse.pk', 'rbtechngames.com') "
-              "THEN CASE source WHEN 'czone.com.pk' THEN 234 ELSE 1234 END END")
+              "THEN CASE source WHEN 'czone.com.pk' THEN 234::BIGINT ELSE 1234 END END")
 
 
 @query(f"""SELECT source, category, count(*) AS collected, {_TOTAL_SQL} AS reported,
@@ -81,6 +85,20 @@ def crawl_completeness(spark, sf_dir):
     return crawl.crawl_completeness(feed, totals)
 
 
+@query(f"""SELECT source, name, category, url, thumbnail_url, price_pkr
+FROM ({_ALL_FIRST_SEEN_SQL}) WHERE price_pkr IS NOT NULL""")
+def refresh_from_pages(spark, sf_dir):
+    """A whole run: all shops' pages stored, extracted shop by shop, and loaded into stored tables. All
+    prices are above their floors and no name is blocked, so only rows without a price are missing."""
+    path = scratch_path(spark, "pages")
+    for source in fixed.PART_SOURCES:
+        write_pages(listing_pages(spark, sf_dir, source), path)
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    refresh_parts(tables, read_pages(spark, path))
+    return (tables.parts().join(tables.price_log().select("part_id", "price_pkr"), "part_id")
+            .select("source", "name", "category", "url", "thumbnail_url", "price_pkr"))
+
+
 # -- detail pages ----------------------------------------------------------------------------------------
 
 DETAIL_QUERIES = {"detail_a": "zestrogaming.com", "detail_b": "redtech.pk", "detail_c": "techmatched.pk"}
@@ -122,14 +140,27 @@ def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", unescape(title_text(F.col("html"))).alias("title"))
 
 
-@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"?#]+)"', 1))) AS url
-FROM pages""")
+@query("""SELECT page_id, href, CASE WHEN starts_with(href, 'http') THEN href
+       WHEN starts_with(href, '/') THEN 'https://www.czone.com.pk' || href
+       ELSE 'https://www.czone.com.pk/' || href END AS address
+FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"?#]+)"', 1))) AS href
+      FROM pages)""")
 def page_links(spark, sf_dir):
-    links = F.array_distinct(find_all(F.col("html"), r'href="(/[^"?#]+)"'))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("url"))
+    """All different links of each page, as printed and in full."""
+    links = F.array_distinct(find_all(F.col("html"), r'href="([^"?#]+)"'))
+    return (table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("href"))
+            .withColumn("address", absolute_url(CZONE_BASE, F.col("href"))))
 
 
 @query("""SELECT page_id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g'), E' \\n\\t\\r') AS text FROM pages""")
 def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", strip(strip_tags(F.col("html"), " ")).alias("text"))
+
+
+@query("""SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price_pkr FROM part""")
+def price_texts(spark, sf_dir):
+    """Prices as shops print them, read as numbers. The point is dropped like all that is no digit."""
+    part = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("Rs. "), F.format_number("p_retailprice", 2))
+    return part.select("p_partkey", price_digits(text).alias("price_pkr"))
