@@ -31,12 +31,18 @@ def _last_known(column: str) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
 
 
+def _not_stored(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The batch's rows whose key is new. Goes by way of the stored keys that the batch hits, which are
+    never more than the batch, so that the stored table needs no shuffle if the batch is small."""
+    hit = existing.select(key).join(batch.select(key), key, "left_semi")
+    return batch.join(hit, key, "left_anti")
+
+
 def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now: Column) -> DataFrame:
     """Stored rows updated from the batch, plus the batch's new rows.
 
     url and created_at stay as first stored; a missing thumbnail never replaces one. The stored table is
-    the big side: it is only streamed past the batch when that is small enough for Spark to broadcast.
-    Finding the batch's new keys goes by way of the stored keys it hits, never more than the batch. The
+    the big side: it is only streamed past the batch when that is small enough for Spark to broadcast. The
     folded batch is checkpointed, as each of the joins would fold it anew.
     """
     batch = cut_lineage(batch)
@@ -55,13 +61,23 @@ def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now:
 
     updated = (existing.join(fresh, key, "left")
                .select(*[merged(c).alias(c) for c in columns]))
-    stored_keys = existing.select(key).join(batch.select(key), key, "left_semi")
-    added = (batch.join(stored_keys, key, "left_anti")
+    added = (_not_stored(existing, batch, key)
              .withColumns({"created_at": now, "updated_at": now})
              .select(columns))
     return updated.unionByName(added)
 
 
+def latest_prices(price_log: DataFrame) -> DataFrame:
+    """The newest log row of each part, also when its price is NULL.
+
+    One hash aggregation with partial sums of fixed width: a part with very many log rows is reduced in
+    every task before anything is shuffled.
+    """
+    return price_log.groupBy("part_id").agg(
+        F.max_by("price_pkr", "scraped_at").alias("price_pkr"),
+        F.max("scraped_at").alias("scraped_at"))
+
+
 def fold_parts(feed: DataFrame) -> DataFrame:
     """A cleaned feed as one row per part: last name and category, first url, last known thumbnail.
 
@@ -96,12 +112,17 @@ def new_prices(price_log: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def merge_latest(latest: DataFrame, added: DataFrame) -> DataFrame:
-    """The latest-price table after some log rows were added; saves queries from reading the log."""
-    both = latest.unionByName(added.select("part_id", "price_pkr", "scraped_at"))
-    return (both.groupBy("part_id")
-            .agg(F.max_by("price_pkr", "scraped_at").alias("price_pkr"),
-                 F.max("scraped_at").alias("scraped_at"))
-            .to(LATEST_PRICES))
+    """The latest-price table after some log rows were added; saves queries from reading the log.
+
+    As in the other merges, only the folded new rows are shuffled if they are few.
+    """
+    folded = cut_lineage(latest_prices(added))
+    newer = folded.select("part_id", F.struct("price_pkr", "scraped_at").alias("new"))
+    is_newer = F.col("new.scraped_at") > F.col("scraped_at")
+    updated = latest.join(newer, "part_id", "left").select(
+        "part_id", *[F.when(is_newer, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+                     for c in ("price_pkr", "scraped_at")])
+    return updated.unionByName(_not_stored(latest, folded, "part_id")).to(LATEST_PRICES)
 
 
 def fold_prebuilts(feed: DataFrame) -> DataFrame:

@@ -12,21 +12,11 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed
 from rigbook.functions.text import name_matches, part_key
+from rigbook.operators.loading import latest_prices  # noqa: F401  (part of this module's interface)
 
 SORTS = ("price_asc", "price_desc")
 
 
-def latest_prices(price_log: DataFrame) -> DataFrame:
-    """The newest log row of each part, also when its price is NULL.
-
-    One hash aggregation with partial sums of fixed width: a part with very many log rows is reduced in
-    every task before anything is shuffled.
-    """
-    return price_log.groupBy("part_id").agg(
-        F.max_by("price_pkr", "scraped_at").alias("price_pkr"),
-        F.max("scraped_at").alias("scraped_at"))
-
-
 def check_page(sort: str, limit: int, offset: int, most: int, *prices) -> None:
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}")
@@ -94,8 +84,9 @@ def count_parts(parts: DataFrame, latest: DataFrame, **filters) -> DataFrame:
 def facet_values(parts: DataFrame, category: str | None = None) -> DataFrame:
     """(category, field, value): the values found in each field a category can be filtered by.
 
-    One pass for all fields and categories; the few distinct values are all that is shuffled. A category
-    without fields of its own offers brands.
+    One pass for all fields and categories. Parts are first reduced to their distinct specifications, of
+    which there are few; only those are taken apart by field. A category without fields of its own offers
+    brands.
     """
     if category is not None:
         parts = parts.where(F.col("category") == category)
@@ -109,7 +100,8 @@ def facet_values(parts: DataFrame, category: str | None = None) -> DataFrame:
 
     pairs = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), offered(f).alias("value"))
                                for f in fixed.SPEC_FIELDS]))
-    return (parts.select("category", pairs).where("value <> ''").distinct()
+    return (parts.select("category", "specs").distinct()
+            .select("category", pairs).where("value <> ''").distinct()
             .orderBy("category", "field", "value"))
 
 

@@ -36,9 +36,9 @@ def load_feed(tables: CatalogueTables, feed: DataFrame, now: Column | None = Non
     months = [row[0] for row in batch.select(F.trunc("scraped_at", "month")).distinct().collect()]
     log = tables.price_log().where(F.col("scraped_month").isin(months))
     added = cut_lineage(new_prices(log, batch))
-    written = tables.append_prices(added)
+    # The log comes last: as long as it lacks the rows, a repeated run finds and merges them again.
     tables.replace_latest_prices(merge_latest(tables.latest_prices(), added))
-    return written
+    return tables.append_prices(added)
 
 
 def load_prebuilts(tables: CatalogueTables, feed: DataFrame, now: Column | None = None) -> int:
