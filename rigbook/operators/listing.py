@@ -28,7 +28,7 @@ WOODMART_TITLE = r'(?U)class="wd-entities-title"[^>]*>\s*<[^>]+>([^<]+)<'
 WOODMART_SALE = (r'(?sU)<ins[^>]*>.*?woocommerce-Price-amount[^>]*><bdi>[^<]*<span[^>]+>[^<]*</span>'
                  r'([\d,]+)')
 WOODMART_PRICE = r'(?U)woocommerce-Price-amount amount"><bdi><span[^>]+>[^<]+</span>([\d,]+)'
-# (Blanks in any mix; Java recurses once per round of a group of alternatives, so plain blanks are kept out of it.)
+# Blanks and &nbsp; in any mix, with the blanks outside the group: Java recurses with each of its rounds.
 WOODMART_SYMBOL_PRICE = (r'<bdi>\s*<span[^>]*woocommerce-Price-currencySymbol[^>]*>[^<]*</span>'
                          r'\s*(?:&nbsp;\s*)*([\d,]+)')
 WOODMART_SLIDE = r'class="wd-product-grid-slide[^"]*"[^>]*data-image-url="([^"]+)"'

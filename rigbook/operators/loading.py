@@ -43,7 +43,7 @@ def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now:
 
     url and created_at stay as first stored; a missing thumbnail never replaces one. The stored table is
     the big side: it is only streamed past the batch when that is small enough for Spark to broadcast. The
-    folded batch is checkpointed, as each of the joins would fold it anew.
+    folded batch is written out first, as each of the joins would fold it anew.
     """
     batch = cut_lineage(batch)
     columns = existing.columns

@@ -40,7 +40,7 @@ def save_builds(builds: DataFrame, shared: DataFrame, now: Column, salt: str | N
 
     Lists whose code is taken try again, up to ten times in all. A second round is rare: of a million
     new lists about nine collide with each other. The rounds are few, and each one is written to the
-    shared checkpoint folder, so plans do not grow.
+    shared folder, so plans do not grow.
     """
     salt = salt or secrets.token_hex(32)
     waiting = cut_lineage(drop_empty_slots(builds).select("build_id", "slots"))

@@ -25,8 +25,8 @@ def listing_feed(pages: DataFrame, source: str) -> DataFrame:
 def load_feed(tables: CatalogueTables, feed: DataFrame, now: Column | None = None) -> int:
     """Clean a feed and merge it into the stored tables; returns the number of new price rows.
 
-    The cleaned batch is checkpointed, because three merges read it and reading pages is the dear part.
-    That also evaluates every row's checks before anything is written. Loading a batch twice adds no
+    The cleaned batch is written out first, because three merges read it and parsing pages is the dear
+    part. That also evaluates every row's checks before anything is written. Loading a batch twice adds no
     price row, so a run that died half-way is simply run again.
     """
     now = F.lit(feed.sparkSession.sql("select current_timestamp()").first()[0]) if now is None else now
