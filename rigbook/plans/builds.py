@@ -38,12 +38,14 @@ def drop_empty_slots(builds: DataFrame) -> DataFrame:
 def save_builds(builds: DataFrame, shared: DataFrame, now: Column, salt: str | None = None) -> DataFrame:
     """Give each new part list (build_id, slots) a code that neither ``shared`` nor another list has.
 
-    Lists whose code is taken try again, up to ten times in all. A second round is rare: of a million
+    A ``build_id`` may occur once only. Lists whose code is taken try again, up to ten times in all. A second round is rare: of a million
     new lists about nine collide with each other. The rounds are few, and each one is written to the
     shared folder, so plans do not grow.
     """
     salt = salt or secrets.token_hex(32)
     waiting = cut_lineage(drop_empty_slots(builds).select("build_id", "slots"))
+    if not waiting.groupBy("build_id").count().where("count > 1").isEmpty():
+        raise ValueError("build_id is not unique")
     given = None
     for attempt in range(fixed.CODE_ATTEMPTS):
         tried = waiting.withColumn("code", _code(salt, F.col("build_id"), attempt))
@@ -65,13 +67,20 @@ def resolve_builds(shared: DataFrame, parts: DataFrame, latest: DataFrame) -> Da
     """One row per slot of each saved list, with the part and its latest price, which may be NULL.
 
     Slots whose part is gone are left out. A part that stands in several slots of a list comes back in
-    the last of them only, in the order of ``BUILD_SLOTS``, as a map has none of its own. Filter ``shared`` by code first to look up single lists.
+    the last of them only, in the order of ``BUILD_SLOTS``, as a map has none of its own. Filter ``shared``
+    by code first to look up single lists.
+
+    One part may stand in very many lists. So the different parts are looked up first, each once, and
+    written out: with that table of known size on one side, Spark either broadcasts it or can split the
+    hot part's slots over several tasks.
     """
     order = F.array_position(F.lit(list(fixed.BUILD_SLOTS)), F.col("slot"))
     slots = (shared.select("code", F.explode("slots").alias("slot", "part_id"))
              .where("part_id is not null")
              .groupBy("code", "part_id").agg(F.max_by("slot", order).alias("slot")))
-    priced = parts.join(latest.select("part_id", "price_pkr"), "part_id")
+    needed = slots.select("part_id").distinct()
+    priced = cut_lineage(needed.join(parts, "part_id")
+                         .join(latest.select("part_id", "price_pkr"), "part_id"))
     return slots.join(priced, "part_id").select(
         "code", "slot", "part_id", "source", "source_id", "name", "category", "url", "thumbnail_url",
         "specs", "price_pkr")

@@ -158,7 +158,8 @@ def _json_card(c):
 
 
 def _json_page(cards, total):
-    return _text('{"data": {"totalRecords": ', F.replace(total, F.lit(","), F.lit("")), ', "results": [', F.array_join(cards, ", "), "]}}")
+    number = F.replace(total, F.lit(","), F.lit(""))
+    return _text('{"data": {"totalRecords": ', number, ', "results": [', F.array_join(cards, ", "), "]}}")
 
 
 #: source -> (card of a part, page of its cards)

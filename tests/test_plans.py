@@ -169,6 +169,22 @@ def test_no_free_code(spark, monkeypatch):
         builds.save_builds(lists(spark, {"cpu": "1"}, {"cpu": "2"}), shared(spark), F.lit(T1))
 
 
+def test_repeated_build_id_is_refused(spark):
+    twice = lists(spark, {"cpu": "1"}).unionAll(lists(spark, {"cpu": "2"}))
+    with pytest.raises(ValueError, match="not unique"):
+        builds.save_builds(twice, shared(spark), F.lit(T1))
+
+
+def test_part_in_most_lists(spark, parts, latest):
+    many = spark.range(3000).select(
+        F.col("id").cast("string").alias("code"),
+        F.create_map(F.lit("cpu"), F.when(F.col("id") % 3 == 0, "2").otherwise("1")).alias("slots"),
+        F.lit(T1).alias("created_at"))
+    found = builds.resolve_builds(many, parts, latest)
+    assert {r["part_id"]: r["count"] for r in found.groupBy("part_id").count().collect()} == {
+        "1": 2000, "2": 1000}
+
+
 def test_empty_list_is_refused(spark):
     with pytest.raises(Exception, match="no parts selected: 1"):
         builds.save_builds(lists(spark, {"cpu": "1"}, {"cpu": None}), shared(spark), F.lit(T1))
