@@ -38,9 +38,9 @@ def drop_empty_slots(builds: DataFrame) -> DataFrame:
 def save_builds(builds: DataFrame, shared: DataFrame, now: Column, salt: str | None = None) -> DataFrame:
     """Give each new part list (build_id, slots) a code that neither ``shared`` nor another list has.
 
-    A ``build_id`` may occur once only. Lists whose code is taken try again, up to ten times in all. A second round is rare: of a million
-    new lists about nine collide with each other. The rounds are few, and each one is written to the
-    shared folder, so plans do not grow.
+    A ``build_id`` may occur once only. Lists whose code is taken try again, up to ten times in all. A
+    second round is rare: of a million new lists about nine collide with each other. The rounds are few,
+    and each one is written to the shared folder, so plans do not grow.
     """
     salt = salt or secrets.token_hex(32)
     waiting = cut_lineage(drop_empty_slots(builds).select("build_id", "slots"))
