@@ -107,7 +107,8 @@ def near_links(documents: DataFrame, texts: DataFrame, shingle: int, percent: in
     candidates = cut_lineage(in_units(units, prune, ["node", "side", "hashes"], "a long, b long"))
     clusters = cut_lineage(components(candidates).select("node", F.col("component").alias("key")))
     words = columns_of(documents, node="doc_id", text="text").withColumn("node", F.col("node").cast("long"))
-    units = buckets(clusters, CLUSTER_BLOCK).join(words.where("text is not null"), "node")
+    # Merged at every size: texts are far too large to depend on a broadcast, and small runs show what large ones do.
+    units = buckets(clusters, CLUSTER_BLOCK).join(words.where("text is not null").hint("merge"), "node")
 
     def verify(unit: dict[str, list]) -> list[tuple]:
         sets = shingle_sets([words_of(t) for t in unit["text"]], shingle)
