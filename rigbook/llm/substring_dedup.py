@@ -103,10 +103,10 @@ def paragraph_links(documents: DataFrame) -> DataFrame:
     """Links (a, b) between digests of paragraphs that are similar but not equal."""
     rows = cut_lineage(different(documents))
     # A band key goes on only if different paragraphs have it, which is seen from its extremes.
-    members = rows.select("node", F.explode("keys").alias("key")).distinct()
+    members = rows.select("node", F.explode("keys").alias("key"))
     wide = cut_lineage(members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"))
                        .where("x <> y").select("key"))
-    shared = cut_lineage(rows.select("node", F.explode("keys").alias("key")).join(wide, "key").distinct())
+    shared = cut_lineage(members.join(wide, "key").distinct())
     sets = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
     units = buckets(shared, BLOCK).join(sets, "node")
 
