@@ -78,8 +78,21 @@ def to_int(text: Column) -> Column:
 
 
 def decimal_to_int(text: Column) -> Column:
-    """A decimal number cut off at the point, as bigint; NULL if it is none."""
-    return text.try_cast("double").try_cast("bigint")
+    """A decimal number cut off at the point, as bigint; NULL if it is none.
+
+    The pattern comes first, as a cast would also take the suffixes of Java's numbers: '5000d' is none.
+    """
+    number = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    return F.when(number, text.try_cast("double").try_cast("bigint"))
+
+
+def whole_json(text: Column, kind: str) -> Column:
+    """JSON text as a value of this type; NULL unless the whole text is one such value.
+
+    Read alone, a value would be taken even with other text behind it. As the one element of a list it is not.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
+    return F.when(F.size(parsed) == 1, parsed[0])
 
 
 def price_digits(text: Column) -> Column:
@@ -90,11 +103,11 @@ def price_digits(text: Column) -> Column:
 def slug(url: Column) -> Column:
     """Stable key of a product page: the address without its host, other characters as single dashes.
 
-    Letters and numbers of all scripts are kept. The first 200 characters are the key.
+    Letters and numbers of all scripts are kept, and the whole address counts.
     """
     path = F.rtrim(F.regexp_replace(url, r"https?://[^/]+/", ""), F.lit("/"))
     dashed = F.regexp_replace(path, r"[^\p{L}\p{N}_-]", "-")
-    return F.substring(F.regexp_replace(dashed, "-{2,}", "-"), 1, 200)
+    return F.regexp_replace(dashed, "-{2,}", "-")
 
 
 def part_key(source: Column, source_id: Column) -> Column:

@@ -21,15 +21,14 @@ PLACEHOLDER = "woocommerce-placeholder"
 
 # Patterns of the component lists; group 1 is the label, group 2 the value.
 SECTION_TITLE = "Full Spec"
-SECTION_LENGTH = 8000
 SECTION_PAIR = r'(?s)<strong>(.*?)</strong>(.*?)(?=<strong>|</p>|<br|</div>)'
-ICON_ITEM = r'(?is)<li[^>]*>.*?<img[^>]+src="[^"]*icon-([a-z]+)[^"]*"[^>]*/?>(.{3,200}?)</li>'
-TABLE_PAIR = (r'(?iU)<tr[^>]*>\s*<td[^>]*>\s*([^<]{2,50}?)\s*</td>\s*'
-              r'<td[^>]*>\s*([^<]{2,300}?)\s*</td>')
-STRONG_PAIR = (r'(?iU)<strong>\s*([^<]{2,50}?)\s*:?\s*</strong>\s*(?:<br\s*/?>|:)?\s*'
-               r'([^<\n]{3,200})')
-BOLD_PAIR = (r'(?iU)<(?:strong|b)>\s*([^<]{2,50}?)\s*:?\s*</(?:strong|b)>\s*(?:<br\s*/?>|:)?\s*'
-             r'([^<\n]{3,300})')
+ICON_ITEM = r'(?is)<li[^>]*>.*?<img[^>]+src="[^"]*icon-([a-z]+)[^"]*"[^>]*/?>(.{3,}?)</li>'
+TABLE_PAIR = (r'(?iU)<tr[^>]*>\s*<td[^>]*>\s*([^<]{2,}?)\s*</td>\s*'
+              r'<td[^>]*>\s*([^<]{2,}?)\s*</td>')
+STRONG_PAIR = (r'(?iU)<strong>\s*([^<]{2,}?)\s*:?\s*</strong>\s*(?:<br\s*/?>|:)?\s*'
+               r'([^<\n]{3,})')
+BOLD_PAIR = (r'(?iU)<(?:strong|b)>\s*([^<]{2,}?)\s*:?\s*</(?:strong|b)>\s*(?:<br\s*/?>|:)?\s*'
+             r'([^<\n]{3,})')
 TABLE_ROW = r'(?is)<tr[^>]*>(.*?)</tr>'
 ENTITY = r'(?U)&#\d+;|&[a-z]+;'
 ARROW = r'(?iU)^(.+?)\s*->\s*(.+?)(?:\s*[–\-]+\s*(?:New|Used|Refurbished))?$'
@@ -58,9 +57,9 @@ def _pairs(labels: Column, values: Column) -> Column:
 
 
 def _section_pairs(html: Column) -> Column:
-    """Pairs of the specification section, which is the text from its title on, of fixed length."""
+    """Pairs of the specification section, which is the text from its title on; unknown labels are dropped later."""
     start = F.locate(SECTION_TITLE, html)
-    section = F.when(start > 0, F.substring(html, start, F.lit(SECTION_LENGTH)))
+    section = F.when(start > 0, F.substring(html, start, F.length(html)))
     return _pairs(find_all(section, SECTION_PAIR, 1), find_all(section, SECTION_PAIR, 2))
 
 

@@ -66,17 +66,15 @@ def feed_counts(spark, sf_dir):
 @query(f"""WITH {FEED_SQL}
 SELECT s.source, count(f.source) AS n, count(f.source) = 0 AS warning
 FROM (SELECT unnest({[*fixed.PART_SOURCES]}) AS source) s
-LEFT JOIN (SELECT * FROM feed WHERE source <> 'techarc.pk') f ON f.source = s.source
+LEFT JOIN feed f ON f.source = s.source
 GROUP BY s.source""")
 def source_run_report(spark, sf_dir):
-    """One shop's feed is left out, as when its pages could not be read."""
-    return source_report(product_feed(spark, sf_dir).where("source <> 'techarc.pk'"))
+    return source_report(product_feed(spark, sf_dir))
 
 
 @query("""
-SELECT page_id, substr(regexp_replace(regexp_replace(rtrim(regexp_replace(
-         url, 'https?://[^/]+/', '', 'g'), '/'), '[^\\p{L}\\p{N}_-]', '-', 'g'), '-{2,}', '-', 'g'),
-         1, 200) AS source_id
+SELECT page_id, regexp_replace(regexp_replace(rtrim(regexp_replace(
+         url, 'https?://[^/]+/', '', 'g'), '/'), '[^\\p{L}\\p{N}_-]', '-', 'g'), '-{2,}', '-', 'g') AS source_id
 FROM pages""")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", slug(F.col("url")).alias("source_id"))

@@ -24,12 +24,23 @@ def column(spark, values, *expressions):
 def test_slug(spark, urls):
     def expected(url):
         path = re.sub(r"https?://[^/]+/", "", url).rstrip("/")
-        return re.sub("-{2,}", "-", re.sub(r"[^\w-]", "-", path))[:200]
+        return re.sub("-{2,}", "-", re.sub(r"[^\w-]", "-", path))
     assert column(spark, urls, X.slug(F.col("t"))) == [expected(u) for u in urls]
 
 
-def test_slug_is_cut_at_200_characters(spark):
-    assert column(spark, ["https://a.b/" + "ü" * 300], X.slug(F.col("t"))) == ["ü" * 200]
+def test_slug_keeps_the_whole_address(spark):
+    urls = ["https://a.b/" + "ü" * 300 + end for end in ("a", "b")]
+    assert column(spark, urls, X.slug(F.col("t"))) == ["ü" * 300 + "a", "ü" * 300 + "b"]
+
+
+def test_numbers_without_suffixes(spark):
+    texts = ["5000d", "5000f", "12.9", " 7e2 ", "-3", ".5", "1e", "NaN", ""]
+    assert column(spark, texts, X.decimal_to_int(F.col("t"))) == [None, None, 12, 700, -3, 0, None, None, None]
+
+
+def test_json_must_be_the_whole_text(spark):
+    texts = ['{"a": 1}', ' {"a": 2} ', '{"a": 3} x', '{"a": 4}, {"a": 5}', "", None]
+    assert column(spark, texts, X.whole_json(F.col("t"), "struct<a: int>")["a"]) == [1, 2, None, None, None, None]
 
 
 def test_numbers(spark):
