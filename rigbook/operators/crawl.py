@@ -32,10 +32,26 @@ def seed_dimension(spark: SparkSession) -> DataFrame:
                      "AS seeds(source, seed_url, category, source_no, category_no)")
 
 
+def _address(url: str | Column) -> Column:
+    """An address without what spellings of one page differ in: scheme, www, letter case, last slashes."""
+    return F.rtrim(F.regexp_replace(F.lower(url), r"^https?://(www\.)?", ""), F.lit("/"))
+
+
+def _with_seed(pages: DataFrame, how: str) -> DataFrame:
+    seeds = F.broadcast(seed_dimension(pages.sparkSession).withColumn("_seed", _address("seed_url")).drop("seed_url"))
+    return pages.withColumn("_seed", _address("seed_url")).join(seeds, ["source", "_seed"], how).drop("_seed")
+
+
 def stamp_category(pages: DataFrame) -> DataFrame:
-    """Give each page the category and the crawl position of its seed. Other pages are dropped."""
-    seeds = F.broadcast(seed_dimension(pages.sparkSession))
-    return pages.join(seeds, ["source", "seed_url"])
+    """Give each page the category and the crawl position of its seed. Pages of no known seed have none and
+    go; ``unmatched_pages`` counts them."""
+    return _with_seed(pages, "inner")
+
+
+def unmatched_pages(pages: DataFrame) -> DataFrame:
+    """Pages of each source, and how many of them belong to no known seed and so give no rows."""
+    return (_with_seed(pages, "left").groupBy("source")
+            .agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("category").isNull()).alias("unmatched")))
 
 
 def first_seen(rows: DataFrame, keys, page: Column) -> DataFrame:

@@ -189,6 +189,11 @@ def test_unknown_shop_and_foreign_seed(spark):
         extract_listing(pages(spark, "techarc.pk", ""), "nowhere.pk")
     stray = pages(spark, "techarc.pk", woodmart("techarc.pk")).withColumn("seed_url", F.lit("https://x"))
     assert extract_listing(stray, "techarc.pk").count() == 0
+    known = pages(spark, "techarc.pk", woodmart("techarc.pk"))
+    report = crawl.unmatched_pages(stray.unionByName(known)).collect()
+    assert [(r["pages"], r["unmatched"]) for r in report] == [(2, 1)]
+    respelt = known.withColumn("seed_url", F.concat(F.rtrim(F.upper("seed_url"), F.lit("/")), F.lit("//")))
+    assert extract_listing(respelt, "techarc.pk").count() == extract_listing(known, "techarc.pk").count() > 0
 
 
 # -- crawls ----------------------------------------------------------------------------------------------
