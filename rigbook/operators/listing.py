@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed
 from rigbook.functions.text import (MAX_LENGTH, absolute_url, bind, decimal_to_int, find, find_all,
-                                    find_or_empty, strip, strip_tags, to_int, unescape)
+                                    find_or_empty, strip, strip_tags, to_int, unescape,
+                                    whole_json)
 from rigbook.operators.crawl import stamp_category
 from rigbook.schemas import FEED
 
@@ -296,7 +297,7 @@ def _jsonld_rows(pages: DataFrame, about: list) -> DataFrame:
     """Names and addresses from the page's first product collection; prices stand elsewhere on the
     page and belong to the items by position, so an item without a price shifts the later ones."""
     html = F.col("html")
-    blocks = F.transform(find_all(html, LD_JSON_BLOCK), lambda b: F.from_json(b, _COLLECTION))
+    blocks = F.transform(find_all(html, LD_JSON_BLOCK), lambda b: whole_json(b, f"struct<{_COLLECTION}>"))
     collection = F.get(F.filter(blocks, lambda b: b["@type"] == "CollectionPage"), F.lit(0))
     items = collection["mainEntity"]["itemListElement"]
     return (pages.select(*about, find_all(html, LD_JSON_PRICE).alias("prices"), items.alias("items"))
@@ -329,7 +330,7 @@ def _listed_price(value: Column) -> Column:
 
 
 def _payload_rows(pages: DataFrame, about: list) -> DataFrame:
-    payload = F.from_json("html", _PAYLOAD)
+    payload = whole_json(F.col("html"), f"struct<{_PAYLOAD}>")
     item = F.col("item")
     slug = F.coalesce(item["productURL"], F.lit(""))
     picture = F.coalesce(F.nullif(item["thumbnailFile"], F.lit("")),

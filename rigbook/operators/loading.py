@@ -98,17 +98,24 @@ def upsert_parts(existing: DataFrame, feed: DataFrame, now: Column) -> DataFrame
 
 
 def fold_prices(feed: DataFrame) -> DataFrame:
-    """A cleaned feed as log rows; of several with one part and time the first counts."""
-    return (with_keys(feed).groupBy("part_id", "scraped_at")
+    """A cleaned feed as log rows; of several with one part and time the first counts. A row without a time is
+    no log row, though its part is loaded like any other."""
+    return (with_keys(feed).where("scraped_at is not null").groupBy("part_id", "scraped_at")
             .agg(F.min_by("price_pkr", "seq").alias("price_pkr"))
             .withColumn("scraped_month", F.trunc("scraped_at", "month"))
             .to(PRICE_LOG))
 
 
 def new_prices(price_log: DataFrame, feed: DataFrame) -> DataFrame:
-    """The log rows a cleaned feed adds: those whose part and time the log does not hold yet."""
-    return fold_prices(feed).join(price_log.select("scraped_month", "part_id", "scraped_at"),
-                                  ["scraped_month", "part_id", "scraped_at"], "left_anti").to(PRICE_LOG)
+    """The log rows a cleaned feed adds: those whose part and time the log does not hold yet.
+
+    The log is the big side, and an anti join would shuffle it. So the folded batch is written, the log is
+    streamed past it (a broadcast, if the batch is small), and only its few hits meet the batch again.
+    """
+    keys = ["scraped_month", "part_id", "scraped_at"]
+    batch = cut_lineage(fold_prices(feed))
+    hit = price_log.select(keys).join(batch.select(keys), keys, "left_semi")
+    return batch.join(hit, keys, "left_anti").to(PRICE_LOG)
 
 
 def merge_latest(latest: DataFrame, added: DataFrame) -> DataFrame:

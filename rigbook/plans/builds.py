@@ -48,10 +48,12 @@ def save_builds(builds: DataFrame, shared: DataFrame, now: Column, salt: str | N
         raise ValueError("build_id is not unique")
     given = None
     for attempt in range(fixed.CODE_ATTEMPTS):
-        tried = waiting.withColumn("code", _code(salt, F.col("build_id"), attempt))
-        unused = tried.join(shared.select("code"), "code", "left_anti")
-        if given is not None:
-            unused = unused.join(given.select("code"), "code", "left_anti")
+        tried = cut_lineage(waiting.withColumn("code", _code(salt, F.col("build_id"), attempt)))
+        # The saved codes are streamed past the new ones, and only those that are taken come back.
+        for others in [shared, *([] if given is None else [given])]:
+            taken = others.select("code").join(tried.select("code"), "code", "left_semi")
+            tried = tried.join(taken, "code", "left_anti")
+        unused = tried
         # The rank is limited to 1, so Spark drops losers before the shuffle too.
         order = Window.partitionBy("code").orderBy("build_id")
         won = unused.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -33,7 +33,8 @@ def load_feed(tables: CatalogueTables, feed: DataFrame, now: Column | None = Non
     batch = cut_lineage(clean_feed(feed))
     tables.replace_parts(upsert_parts(tables.parts(), batch, now))
     # Months of one batch are few; as literals they prune the log to the directories the batch touches.
-    months = [row[0] for row in batch.select(F.trunc("scraped_at", "month")).distinct().collect()]
+    months = [row[0] for row in batch.where("scraped_at is not null")
+              .select(F.trunc("scraped_at", "month")).distinct().collect()]
     log = tables.price_log().where(F.col("scraped_month").isin(months))
     added = cut_lineage(new_prices(log, batch))
     # The log comes last: as long as it lacks the rows, a repeated run finds and merges them again.

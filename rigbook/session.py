@@ -25,17 +25,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows in at least as many partitions as there are cores to work on them.
-
-    A small file is read by one task, which then does all the parsing behind it alone. Tables of many
-    files or row groups come in enough partitions anyway and pass through untouched. Rows are dealt out
-    by the columns ``by``, if given; without any, Spark sorts the rows first to deal them evenly.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -121,9 +121,3 @@ def test_stream_that_is_run_again_from_the_start(spark):
 
 def test_shared_folder_is_the_clusters(spark):
     assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
-def test_small_inputs_are_spread(spark):
-    assert session.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
-    many = spark.range(0, 10, 1, 9)
-    assert session.spread(many) is many
