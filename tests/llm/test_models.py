@@ -1,0 +1,131 @@
+"""Classifiers by held-out accuracy, segments and repairs by brute force."""
+
+import random
+import zlib
+from itertools import product
+
+import numpy as np
+import pytest
+
+from rigbook.llm import chat_format, language_id, quality, toxicity
+
+from .conftest import ODD
+
+SF = "/root/testdata/sf0.01"
+
+
+def remainder(key, n):
+    return zlib.crc32(str(key).encode()) % n
+
+
+def tables(spark):
+    return [spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels")]
+
+
+def test_languages(spark, documents):
+    docs, _ = tables(spark)
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in language_id.language_ids(docs).collect() if r.held_out]
+    assert {r.doc_id for r in held} == {k for k in truth if remainder(k, 4) == 2}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
+    odd = documents([(*r, "en") for r in ODD])
+    got = language_id.language_ids(odd).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
+    assert {r.lang_pred for r in language_id.language_ids(documents(ODD)).collect()} == {"und"}
+    assert language_id.language_ids(documents([])).count() == 0
+
+
+def test_quality(spark, documents):
+    docs, labels = tables(spark)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [r for r in quality.quality_scores(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    got = quality.quality_scores(documents(ODD), labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert quality.quality_scores(documents(ODD), labels.limit(0)).count() == len(ODD)
+    assert quality.quality_scores(documents([]), labels).count() == 0
+
+
+def test_toxicity_learns_marked_words(spark, documents):
+    pick = random.Random(2)
+    rows, labels = list(ODD), []
+    for k in range(100, 700):
+        words = [f"{pick.choice('abcdefgh')}{pick.choice('aeiou')}{pick.choice('klmnrst')}{pick.choice('aeiou')}"
+                 for _ in range(60)]
+        if k % 5 == 0:
+            words[20:24] = pick.choices(["zzumb", "qworp", "xyddl"], k=4)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 5 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(documents(rows), table).collect()
+    scored = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    wrong = [(k, y) for k, y in labels if scored[k].predicted != y]
+    assert len(wrong) <= 5 and all(y for _, y in wrong)   # one marked word said four times scores once
+    found = scored[100].passages
+    assert len(found) >= 1 and all(20 <= p.begin < p.end <= 24 for p in found)
+    assert not any(r.predicted for r in toxicity.toxicity(documents(rows), table.limit(0)).collect())
+    assert toxicity.toxicity(documents([]), table).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_segments_are_the_maximal_ones(seed):
+    pick = np.random.default_rng(seed)
+    model = toxicity.SegmentModel(np.ones((toxicity.SLOTS, 3)))
+    model.scores = np.round(pick.normal(-0.3, 1, toxicity.SLOTS), 3)
+    slots = np.arange(40)
+
+    def split(a, b):
+        """The best segment, and what is left on both sides of it, again and again."""
+        spans = [(model.scores[i:j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        if not spans or (top := max(spans))[0] <= 1e-12:
+            return []
+        return split(a, top[2]) + [(top[2], top[3], round(top[0], 6))] + split(top[3], b)
+    assert [(a, b, round(s, 6)) for a, b, s in model.segments(slots)] == split(0, 40)
+
+
+def brute_cost(names):
+    """The cheapest repair, over all roles and moves."""
+    best = 10**9
+    for choice in product(range(1, 4), repeat=len(names)):
+        costs = {0: 0}
+        for role, name in zip(choice, names, strict=True):
+            after = {}
+            for state, cost in costs.items():
+                for target, price, _, _ in chat_format.MOVES[state]:
+                    if target == role:
+                        total = cost + price + chat_format.role_cost(name, role)
+                        after[role] = min(after.get(role, 10**9), total)
+            costs = after
+        best = min([best, *(c + chat_format.INSERT * len(chat_format.ENDINGS[s]) for s, c in costs.items())])
+    return best
+
+
+def test_repairs_are_legal_and_cheapest(spark):
+    pick = random.Random(4)
+    rows, names = [], {}
+    for conv in range(40):
+        names[conv] = [pick.choice(["system", "user", "assistant", "User ", "bot", None]) for _ in range(pick.randint(1, 6))]
+        rows += [(conv, k, name, f"t{k}" if k % 4 else None) for k, name in enumerate(names[conv])]
+    rows += [(None, None, None, None), (99, 0, "user", "x"), (99, 0, "user", "x"), (99, None, "assistant", "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in chat_format.chat_format(table).collect() if r.conv_id is not None and r.conv_id < 50}
+    parts = chat_format.chat_format(table, part_turns=2).orderBy("conv_id", "part").collect()
+    for conv, roles in names.items():
+        cut = [r for r in parts if r.conv_id == conv]
+        assert [r.is_last for r in cut] == [False] * (len(cut) - 1) + [True]
+        for found in (cut, [whole[conv]]):
+            text = "".join(r.rendered for r in found)
+            turns = [x.split("|>\n")[0][2:] for x in text.split(chat_format.CLOSE) if x]
+            legal = turns[1:] if turns[0] == "system" else turns
+            assert legal == ["user", "assistant"] * (len(legal) // 2) and legal
+            assert len(turns) == sum(r.n_turns for r in found)
+            cost = sum(chat_format.MERGE * r.n_merged + chat_format.INSERT * r.n_inserted for r in found)
+            assert cost <= brute_cost(roles)
+        matrices = [chat_format.matrix(roles)]
+        way = chat_format.borders(matrices)[0]
+        total = matrices[0][way] + chat_format.INSERT * len(chat_format.ENDINGS[way[1]])
+        assert total == brute_cost(roles)
+    assert sum(r.n_source for r in parts) == len(rows)
+    assert chat_format.chat_format(table.limit(0)).count() == 0
