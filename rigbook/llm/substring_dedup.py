@@ -29,6 +29,8 @@ SENTENCE_WORDS = 5
 #: Words from which neighbouring repeated paragraphs are a passage.
 PASSAGE_WORDS = 25
 BLOCK = 512
+#: So many paragraphs a task remembers to have sent, before it starts afresh.
+REMEMBERED = 500_000
 
 _BREAKS = re.compile(r"[.!?]+(?=\s)|\n").finditer
 
@@ -83,12 +85,16 @@ def different(documents: DataFrame) -> DataFrame:
     least = PERCENT // (100 - PERCENT)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             known = {}
             for text in batch.column("text").to_pylist():
                 for _, _, words in paragraphs_of(text):
-                    if len(words) >= SHINGLE + least - 1:
-                        known.setdefault(node_of(words), words)
+                    if len(words) >= SHINGLE + least - 1 and (node := node_of(words)) not in sent:
+                        known[node] = words
+                        sent.add(node)
+            if len(sent) > REMEMBERED:
+                sent.clear()
             sets = dict(zip(known, shingle_sets(list(known.values()), SHINGLE), strict=True))
             sets = {node: s for node, s in sets.items() if len(s) >= least}
             keys = band_keys(signatures(list(sets.values()), BANDS * BAND_ROWS), BAND_ROWS)
@@ -99,14 +105,37 @@ def different(documents: DataFrame) -> DataFrame:
     return _named(documents).select("text").mapInArrow(describe, "node long, keys array<long>, shingles binary")
 
 
+def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and node, the different ones whose key another node has as well."""
+    def rows(node: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(key, pa.int64())], names=["node", "key"])
+
+    node = key = np.zeros(0, np.int64)      # the last row, which waits for the next one
+    shares = False                          # the row before it has its key
+    for batch in batches:
+        node = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+        if not len(key):
+            continue
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        node, key = node[new], key[new]
+        same = key[1:] == key[:-1]
+        before = np.concatenate([[shares], same])
+        out = (before[:-1] | same)
+        yield rows(node[:-1][out], key[:-1][out])
+        node, key, shares = node[-1:], key[-1:], bool(before[-1])
+    if shares:
+        yield rows(node, key)
+
+
 def paragraph_links(documents: DataFrame) -> DataFrame:
     """Links (a, b) between digests of paragraphs that are similar but not equal."""
     rows = cut_lineage(different(documents))
-    # A band key goes on only if different paragraphs have it, which is seen from its extremes.
+    # One shuffle: each task sends a paragraph once, and with the keys in order one look at the neighbours
+    # tells which keys different paragraphs share, in constant memory.
     members = rows.select("node", F.explode("keys").alias("key"))
-    wide = cut_lineage(members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"))
-                       .where("x <> y").select("key"))
-    shared = cut_lineage(members.join(wide, "key").distinct())
+    shared = cut_lineage(members.repartition("key").sortWithinPartitions("key", "node")
+                         .mapInArrow(shared_keys, "node long, key long"))
     sets = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
     units = buckets(shared, BLOCK).join(sets, "node")
 

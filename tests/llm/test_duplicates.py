@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,17 @@ def test_repeated_passages(documents):
     assert substring_dedup.substring_dedup(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_shared_keys(size):
+    pick = random.Random(size)
+    rows = sorted((pick.randrange(12), pick.randrange(3)) for _ in range(40))
+    batches = [pa.RecordBatch.from_pydict({"node": [n for _, n in part], "key": [k for k, _ in part]})
+               for at in range(0, 40, size) for part in [rows[at:at + size]]]
+    got = [(k, n) for b in substring_dedup.shared_keys(batches) for n, k in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == sorted({r for r in rows if len({n for k, n in rows if k == r[0]}) > 1})
+    assert list(substring_dedup.shared_keys([])) == []
+
+
 def test_similar_paragraphs_are_one_class(documents):
     words = [f"w{k}" for k in range(80)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:40] + ["other"] + words[41:])), (3, " ".join(words[::-1]))]
