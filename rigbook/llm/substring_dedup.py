@@ -77,7 +77,7 @@ def _named(documents: DataFrame) -> DataFrame:
 
 
 def different(documents: DataFrame) -> DataFrame:
-    """Paragraphs that can be like others without being equal: node, keys, shingles (hashed, 8 bytes each).
+    """Paragraphs that can be like others without being equal: node, shingles (hashed, 8 bytes each).
 
     Sets of fewer than five shingles are only ever similar from 80 % on if one has five, so all with at least
     four are here. Within a task a paragraph is sent once while it is remembered.
@@ -97,12 +97,21 @@ def different(documents: DataFrame) -> DataFrame:
                 sent.clear()
             sets = dict(zip(known, shingle_sets(list(known.values()), SHINGLE), strict=True))
             sets = {node: s for node, s in sets.items() if len(s) >= least}
-            keys = band_keys(signatures(list(sets.values()), BANDS * BAND_ROWS), BAND_ROWS)
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array(list(sets), pa.int64()), "keys": pa.array(list(keys), pa.list_(pa.int64())),
+                "node": pa.array(list(sets), pa.int64()),
                 "shingles": pa.array([s.tobytes() for s in sets.values()], pa.binary())})
 
-    return _named(documents).select("text").mapInArrow(describe, "node long, keys array<long>, shingles binary")
+    return _named(documents).select("text").mapInArrow(describe, "node long, shingles binary")
+
+
+def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (node, key) for each band of each paragraph; the keys are not stored."""
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+        keys = band_keys(signatures(sets, BANDS * BAND_ROWS), BAND_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS), pa.int64()),
+             pa.array(keys.ravel(), pa.int64())], names=["node", "key"])
 
 
 def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +142,7 @@ def paragraph_links(documents: DataFrame) -> DataFrame:
     rows = cut_lineage(different(documents))
     # One shuffle: each task sends a paragraph once, and with the keys in order one look at the neighbours
     # tells which keys different paragraphs share, in constant memory.
-    members = rows.select("node", F.explode("keys").alias("key"))
+    members = rows.mapInArrow(banded, "node long, key long")
     shared = cut_lineage(members.repartition("key").sortWithinPartitions("key", "node")
                          .mapInArrow(shared_keys, "node long, key long"))
     sets = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
