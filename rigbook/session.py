@@ -52,5 +52,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     need, and the planner knows the true size, on which the choice of a broadcast rests.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
