@@ -26,6 +26,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, BAND_ROWS = 6, 2
 #: Words below which a sentence goes with the next one of its line.
 SENTENCE_WORDS = 5
+#: Shingles below which no set is similar to another without being equal.
+LEAST = PERCENT // (100 - PERCENT)
 #: Words from which neighbouring repeated paragraphs are a passage.
 PASSAGE_WORDS = 25
 BLOCK = 512
@@ -34,7 +36,7 @@ REMEMBERED = 500_000
 
 _BREAKS = re.compile(r"[.!?]+(?=\s)|\n").finditer
 
-PARAGRAPHS = "doc_id long, number int, begin int, end int, n_words int, digest long"
+PARAGRAPHS = "doc_id long, number int, begin int, end int, n_words int, digest long, words binary"
 
 
 def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -54,64 +56,46 @@ def node_of(words: list[bytes]) -> int:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """All paragraphs with their digests; narrow. Null texts and null ids have none."""
+    """All paragraphs with their digests; narrow. Null texts and null ids have none.
+
+    ``words`` holds the words of those that can be like others without being equal, and is null elsewhere:
+    sets of fewer than five shingles are only ever similar from 80 % on if one has five, so all that can have
+    four have it. Within a task the words of a digest are given once while it is remembered.
+    """
     small_batches(documents.sparkSession)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for k, (a, b, words) in enumerate(paragraphs_of(text)):
-                    for column, x in zip(out, (key, k, a, b, len(words), node_of(words)), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, [pa.int64(), *[pa.int32()] * 4, pa.int64()], strict=True)],
-                names=["doc_id", "number", "begin", "end", "n_words", "digest"])
-
-    return _named(documents).mapInArrow(cut, PARAGRAPHS)
-
-
-def _named(documents: DataFrame) -> DataFrame:
-    rows = columns_of(documents, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def different(documents: DataFrame) -> DataFrame:
-    """Paragraphs that can be like others without being equal: node, shingles (hashed, 8 bytes each).
-
-    Sets of fewer than five shingles are only ever similar from 80 % on if one has five, so all with at least
-    four are here. Within a task a paragraph is sent once while it is remembered.
-    """
-    least = PERCENT // (100 - PERCENT)
-
-    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            known = {}
-            for text in batch.column("text").to_pylist():
-                for _, _, words in paragraphs_of(text):
-                    if len(words) >= SHINGLE + least - 1 and (node := node_of(words)) not in sent:
-                        known[node] = words
+                    node, whole = node_of(words), None
+                    if len(words) >= SHINGLE + LEAST - 1 and node not in sent:
+                        whole = b" ".join(words)
                         sent.add(node)
+                    for column, x in zip(out, (key, k, a, b, len(words), node, whole), strict=True):
+                        column.append(x)
             if len(sent) > REMEMBERED:
                 sent.clear()
-            sets = dict(zip(known, shingle_sets(list(known.values()), SHINGLE), strict=True))
-            sets = {node: s for node, s in sets.items() if len(s) >= least}
-            yield pa.RecordBatch.from_pydict({
-                "node": pa.array(list(sets), pa.int64()),
-                "shingles": pa.array([s.tobytes() for s in sets.values()], pa.binary())})
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(out, kinds, strict=True)],
+                names=["doc_id", "number", "begin", "end", "n_words", "digest", "words"])
 
-    return _named(documents).select("text").mapInArrow(describe, "node long, shingles binary")
+    rows = columns_of(documents, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PARAGRAPHS)
 
 
 def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (node, key) for each band of each paragraph; the keys are not stored."""
+    """A row (node, key) for each band of each paragraph; neither keys nor shingles are stored."""
     for batch in batches:
-        sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
-        keys = band_keys(signatures(sets, BANDS * BAND_ROWS), BAND_ROWS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS), pa.int64()),
-             pa.array(keys.ravel(), pa.int64())], names=["node", "key"])
+        sets = shingle_sets([w.split() for w in batch.column("words").to_pylist()], SHINGLE)
+        enough = np.array([len(s) >= LEAST for s in sets], bool)
+        keys = band_keys(signatures([s for s in sets if len(s) >= LEAST], BANDS * BAND_ROWS), BAND_ROWS)
+        node = batch.column("node").to_numpy(zero_copy_only=False)[enough]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS), pa.int64()),
+                                          pa.array(keys.ravel(), pa.int64())], names=["node", "key"])
 
 
 def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,28 +121,29 @@ def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(node, key)
 
 
-def paragraph_links(documents: DataFrame) -> DataFrame:
+def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     """Links (a, b) between digests of paragraphs that are similar but not equal."""
-    rows = cut_lineage(different(documents))
+    rows = paragraphs.where("words is not null").select(F.col("digest").alias("node"), "words")
     # One shuffle: each task sends a paragraph once, and with the keys in order one look at the neighbours
     # tells which keys different paragraphs share, in constant memory.
     members = rows.mapInArrow(banded, "node long, key long")
     shared = cut_lineage(members.repartition("key").sortWithinPartitions("key", "node")
                          .mapInArrow(shared_keys, "node long, key long"))
-    sets = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    units = buckets(shared, BLOCK).join(sets, "node")
+    words = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("words").alias("words"))
+    units = buckets(shared, BLOCK).join(words, "node")
 
     def verify(unit: dict[str, list]) -> list[tuple]:
-        found = [np.frombuffer(s, np.uint64) for s in unit["shingles"]]
-        return spanning(unit["node"], other_side(unit["side"], similar(found, PERCENT)))
+        sets = shingle_sets([w.split() for w in unit["words"]], SHINGLE)
+        return spanning(unit["node"], other_side(unit["side"], similar(sets, PERCENT)))
 
-    return in_units(units, verify, ["node", "side", "shingles"], "a long, b long")
+    return in_units(units, verify, ["node", "side", "words"], "a long, b long")
 
 
 def repeated_paragraphs(documents: DataFrame) -> DataFrame:
     """Paragraphs whose class stands in several documents: their columns, class_id and first_doc."""
-    rows = cut_lineage(paragraphs(documents))
-    classes = cut_lineage(components(paragraph_links(documents)))
+    found = cut_lineage(paragraphs(documents))
+    rows = found.drop("words")
+    classes = cut_lineage(components(paragraph_links(found)))
     seen = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     by_class = seen.join(classes, seen.digest == classes.node, "left").select(
         "digest", F.coalesce("component", "digest").alias("class_id"), "low", "high",
