@@ -1,0 +1,82 @@
+"""The pipeline's stages against brute force, each on what the one before kept."""
+
+import re
+
+import corpus_pipeline as pipeline
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def lower(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def kept_copies(rows):
+    last = {}
+    for r in rows:
+        last[lower(r.text)] = max(last.get(lower(r.text), r.doc_id), r.doc_id)
+    return set(last.values())
+
+
+def kept_of_similar(rows):
+    sets, root = {}, {}
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(r.text))
+        sets[r.doc_id] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        root[r.doc_id] = r.doc_id
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {k for k in sets if top(k) == k}
+
+
+def kept_clean(rows, items):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    windows = set()
+    for text in items:
+        w = words(text)
+        windows |= {tuple(w[k:k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
+    kept = set()
+    for r in rows:
+        w, hit = words(r.text), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k:k + size]) in windows:
+                    hit |= set(range(k, k + size))
+        if not hit or 20 * len(hit) < len(w):
+            kept.add(r.doc_id)
+    return kept
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_each_stage_keeps_what_brute_force_keeps(spark, docs):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    expected = {"exact_dedup": kept_copies, "near_dedup": kept_of_similar,
+                "decontamination": lambda rows: kept_clean(rows, items)}
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = pipeline.cut_lineage(stage(spark, docs, SF))
+        after = docs.collect()
+        assert docs.columns == columns and set(after) <= set(before)
+        if name in expected:
+            assert {r.doc_id for r in after} == expected[name](before), name
+    packed = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in after}
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_stages_stand_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert [stage(spark, none, SF).count() for _, stage in pipeline.STAGES] == [0] * len(pipeline.STAGES)
