@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from rigbook.llm.common import grouped
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a Bloom filter (16 MB), and how many of them one row of its table holds.
+SLOT_BITS = 27
+SLOTS, STRETCH = 1 << SLOT_BITS, 1 << 19
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -89,6 +92,42 @@ def buckets(members: DataFrame, block: int) -> DataFrame:
             .select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node"))
 
 
+def bits_of(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of SLOTS bits over a column of 64-bit hashes. Each task fills its own stretches of it, so
+    that what reaches the driver is at most SLOTS bits, whatever the number of hashes."""
+    name = hashes.columns[0]
+    slots = hashes.select(F.explode(F.array(F.shiftrightunsigned(name, 64 - SLOT_BITS),
+                                            F.col(name).bitwiseAND(SLOTS - 1))).alias("slot"))
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            part = slot // STRETCH
+            for k in np.unique(part).tolist():
+                bits = held.setdefault(k, np.zeros(STRETCH // 8, np.uint8))
+                at = slot[part == k] % STRETCH
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.int64()),
+                                          "bits": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+
+    parts = (slots.distinct().withColumn("part", F.expr(f"slot div {STRETCH}")).repartition("part").select("slot")
+             .mapInArrow(fill, "part long, bits binary"))
+    filled = np.zeros((SLOTS // STRETCH, STRETCH // 8), np.uint8)
+    for row in parts.toLocalIterator():
+        filled[row.part] = np.frombuffer(row.bits, np.uint8)
+    return filled.ravel()
+
+
+def maybe_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter; none that is among them is missed."""
+    x = hashes.view(np.uint64)
+    found = np.ones(len(x), bool)
+    for slot in (x >> np.uint64(64 - SLOT_BITS), x & np.uint64(SLOTS - 1)):
+        found &= (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return found
+
+
 def in_units(rows: DataFrame, work: Callable[[dict[str, list]], Iterable[tuple]], columns: list[str],
              schema: str) -> DataFrame:
     """``work`` on the columns of each unit (key, i, j); yields rows of the schema. Units are streamed one

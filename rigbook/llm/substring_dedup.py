@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigbook.llm.common import LOWER_BYTES, columns_of, components, small_batches
-from rigbook.llm.similarity import (band_keys, buckets, in_units, other_side, shingle_sets, signatures, similar,
-                                    spanning)
+from rigbook.llm.similarity import (band_keys, bits_of, buckets, in_units, maybe_in, other_side, shingle_sets,
+                                    signatures, similar, spanning)
 from rigbook.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
@@ -129,7 +129,16 @@ def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     members = rows.mapInArrow(banded, "node long, key long")
     shared = cut_lineage(members.repartition("key").sortWithinPartitions("key", "node")
                          .mapInArrow(shared_keys, "node long, key long"))
-    words = rows.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("words").alias("words"))
+    # Few paragraphs share a key: a Bloom filter keeps most others out of the words' shuffle, and the join
+    # decides. Over too many nodes the filter lets everything through, and the result stays the same.
+    filled = rows.sparkSession.sparkContext.broadcast(bits_of(shared.select("node")))   # 16 MB at every size
+
+    def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(filled.value, batch.column("node").to_numpy())))
+
+    words = (rows.mapInArrow(possible, rows.schema).join(shared.select("node").distinct(), "node")
+             .groupBy("node").agg(F.first("words").alias("words")))
     units = buckets(shared, BLOCK).join(words, "node")
 
     def verify(unit: dict[str, list]) -> list[tuple]:

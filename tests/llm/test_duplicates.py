@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rigbook.llm import decontamination, exact_dedup, near_dedup, substring_dedup
 from rigbook.llm.common import components
+from rigbook.llm.similarity import bits_of, maybe_in
 
 from .conftest import ODD
 
@@ -172,6 +173,15 @@ def test_shared_keys(size):
     assert list(substring_dedup.shared_keys([])) == []
 
 
+def test_bloom_filter_misses_nothing(spark):
+    rng = np.random.default_rng(4)
+    members, others = (rng.integers(-2**63, 2**63 - 1, 3000, dtype=np.int64) for _ in range(2))
+    bits = bits_of(spark.createDataFrame([(int(x),) for x in [*members, -1, 0, members[0]]], "node long"))
+    assert maybe_in(bits, np.append(members, [-1, 0])).all()
+    assert maybe_in(bits, others).mean() < 0.01
+    assert not bits_of(spark.createDataFrame([], "node long")).any()
+
+
 def test_similar_paragraphs_are_one_class(documents):
     words = [f"w{k}" for k in range(80)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:40] + ["other"] + words[41:])), (3, " ".join(words[::-1]))]
