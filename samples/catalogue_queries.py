@@ -117,11 +117,11 @@ _ANY_SPEC = " OR ".join(f'"{f}" IS NOT NULL' for f in fixed.SPEC_FIELDS)
 
 @query(f"""WITH {CATALOGUE_SQL}
 SELECT category, count(*) AS total, count(*) FILTER (WHERE {_ANY_SPEC}) AS with_specs,
-       count(brand) AS with_brand
+       count(brand) AS with_brand, count(*) FILTER (WHERE {_ANY_SPEC}) * 100 / count(*) AS specs_percent,
+       count(brand) * 100 / count(*) AS brand_percent
 FROM parts GROUP BY category""")
 def spec_coverage(spark, sf_dir):
-    return coverage(fold_parts(clean_rows(spark, sf_dir))).select(
-        "category", "total", "with_specs", "with_brand")
+    return coverage(fold_parts(clean_rows(spark, sf_dir)))
 
 
 # -- loading ---------------------------------------------------------------------------------------------
