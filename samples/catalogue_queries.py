@@ -338,8 +338,9 @@ def valid_codes(spark, sf_dir):
 
 CHECK_TIME = datetime.datetime(2001, 11, 4, 6)
 
+_WITHOUT_SOME_SQL = "SELECT * FROM parts WHERE NOT (source = 'pakbyte.pk' AND category = 'monitor')"
 _CHECKS_SQL = CATALOGUE_SQL + f""",
-kept AS (SELECT * FROM parts WHERE NOT (source = 'pakbyte.pk' AND category = 'monitor')),
+kept AS ({_WITHOUT_SOME_SQL}),
 shops AS (SELECT unnest({[*fixed.PART_SOURCES]}) AS source),
 shop_parts AS (
   SELECT s.source, count(p.source) AS n, count(p.thumbnail_url) AS with_thumbnail,
@@ -382,6 +383,13 @@ def quality_report(spark, sf_dir):
     return _report(spark, sf_dir)
 
 
+@query("WITH " + _CHECKS_SQL.replace(_WITHOUT_SOME_SQL, "SELECT * FROM parts") + " SELECT * FROM report")
+def quality_report_whole(spark, sf_dir):
+    """All parts, nothing taken away."""
+    rows = clean_rows(spark, sf_dir)
+    return checks(fold_parts(rows), fold_prices(rows), F.lit(CHECK_TIME))
+
+
 @query(f"WITH {_CHECKS_SQL} SELECT count(*) FILTER (WHERE ok) AS passed, count(*) AS total, "
        "count(*) FILTER (WHERE ok) = count(*) AS ok FROM report")
 def quality_summary(spark, sf_dir):
