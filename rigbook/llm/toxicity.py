@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-A word's beginning scores the log-odds of standing in toxic rather than clean documents, under a Dirichlet
-prior that the whole corpus gives, less a constant for every word. One scan over a text finds all its
+A word scores the log-odds of standing in toxic rather than clean documents, under a Dirichlet prior that
+the whole corpus gives, less a constant for every word. One scan over a text finds all its
 maximal segments. How likely a clean text of that length has a segment of such a score follows the
 extreme-value law of segment scores, whose two parameters come from the words of clean documents.
 """
@@ -17,30 +17,30 @@ from pyspark.sql import functions as F
 
 from rigbook.llm.common import columns_of, id_remainder, small_batches
 
-#: Words are known by their first four letters, which keeps inflected and compound forms together.
-STEMS = re.compile(r"([^\W\d_]{1,4})[^\W\d_]*").findall
-#: Stems share so many counters, which bounds the model; the corpus may have any number of them.
-SLOTS = 1 << 17
+#: Words are whole: forms of one stem differ in what they mark.
+WORDS = re.compile(r"[^\W\d_]+").findall
+#: Words share so many counters, which bounds the model; the corpus may have any number of them.
+SLOTS = 1 << 20
 #: At most about so many labelled documents are learnt from; chosen by a hash of the id.
 LEARN_ROWS = 40_000
 #: Weight of the prior in words, least significance of a log-odds in standard deviations, cost of a word.
-PRIOR, SIGNIFICANT, COST = 2000.0, 3.0, 0.25
+PRIOR, SIGNIFICANT, COST = 2000.0, 4.5, 0.25
 #: Passages expected by chance, in a clean text of that length, at which a document counts as toxic.
-CHANCE = 0.01
+CHANCE = 0.001
 REMEMBERED = 400_000
 
 
 class Slots(dict):
-    def __missing__(self, stem: str) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[stem] = slot = zlib.crc32(stem.encode()) % SLOTS
+        self[word] = slot = zlib.crc32(word.encode()) % SLOTS
         return slot
 
 
 def slots_of(text: str | None, known: Slots) -> np.ndarray:
-    stems = STEMS((text or "").lower())
-    return np.fromiter(map(known.__getitem__, stems), np.int64, count=len(stems))
+    words = WORDS((text or "").lower())
+    return np.fromiter(map(known.__getitem__, words), np.int64, count=len(words))
 
 
 def labelled_ids(labels: DataFrame, label: str, modulus: int) -> dict[int, int]:
@@ -73,12 +73,21 @@ def slot_counts(documents: DataFrame, known_labels: dict[int, int]) -> np.ndarra
     sums = (columns_of(documents, doc_id="doc_id", text="text")
             .mapInArrow(count, "slot int, n long, clean long, toxic long")
             .groupBy("slot").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    table = np.zeros((SLOTS, 3))
-    for r in sums.collect():    # at most SLOTS rows
-        table[r.slot] = r.n, r.clean, r.toxic
+    table, found = np.zeros((SLOTS, 3)), sums.toArrow()     # at most SLOTS rows, as columns
+    table[found["slot"].to_numpy()] = np.stack([found[c].to_numpy() for c in ("n", "clean", "toxic")], axis=1)
     return table
 
 
+def significance(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Root of the likelihood ratio of two shares and one: standard deviations by which they differ. It holds for
+    words that one side never has as well, whose log-odds have no finite deviation."""
+    share = (toxic + clean) / max(1.0, toxic.sum() + clean.sum())
+
+    def part(n: np.ndarray) -> np.ndarray:
+        return n * np.log(np.maximum(n, 1) / np.maximum(n.sum() * share, 1e-300))
+    return np.sqrt(np.maximum(2 * (part(toxic) + part(clean)), 0))
+
+
 class SegmentModel:
     """Scores of slots, and the parameters of the law of the largest segment score of a clean text."""
 
@@ -87,7 +96,7 @@ class SegmentModel:
         prior = PRIOR * (everything + 0.01) / (everything.sum() + 0.01 * len(everything))
         a, b = toxic + prior, clean + prior
         odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-        certain = np.abs(odds) / np.sqrt(1 / a + 1 / b) >= SIGNIFICANT
+        certain = significance(toxic, clean) >= SIGNIFICANT
         self.scores = np.where(certain, np.clip(odds, -2, 12), 0.0) - COST
         self.learnt = bool(toxic.sum() and clean.sum() and (self.scores > 0).any())
         if not self.learnt:

@@ -69,6 +69,21 @@ def test_toxicity_learns_marked_words(spark, documents):
     assert toxicity.toxicity(documents([]), table).count() == 0
 
 
+def test_toxicity_tells_forms_of_one_stem_apart(spark, documents):
+    pick = random.Random(3)
+    rows, labels = [], []
+    for k in range(600):
+        words = [pick.choice(["achl", "bome", "vire"]) + "".join(pick.choices("abdegiklmnorstu", k=2)) for _ in range(60)]
+        if k % 5 == 0:
+            words[20:24] = [pick.choice(["achlxy", "bomexy", "virexy"]) for _ in range(4)]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 5 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = {r.doc_id: r for r in toxicity.toxicity(documents(rows), table).collect()}
+    held = [(scored[k].predicted, y) for k, y in labels if scored[k].held_out]
+    assert np.mean([p for p, y in held if y]) >= 0.75 and not any(p for p, y in held if not y)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_segments_are_the_maximal_ones(seed):
     pick = np.random.default_rng(seed)
