@@ -11,7 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigbook.llm.common import grouped, small_batches
@@ -24,7 +25,7 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 
 #: What a merge, an inserted empty turn and a relabelled turn cost; a role nobody knows is cheap to relabel.
 MERGE, INSERT, RELABEL, NAME = 1, 2, 3, 1
-#: Turn numbers of one part of a conversation.
+#: Turns of one part of a conversation, at most.
 PART_TURNS = 1000
 NEVER = 10**9
 
@@ -144,18 +145,56 @@ def render(names: list[str | None], texts: list[str | None], first: int, last: i
     return "".join(out), done
 
 
+def in_parts(rows: DataFrame, part_turns: int) -> DataFrame:
+    """The rows with their part: how many turns of the conversation come before, divided by ``part_turns``.
+
+    A conversation of one part needs no order. The rows of the others are put in order by ranges, in which a
+    conversation may go over many tasks, and equal rows too; the rows in the ranges before are added to a row's
+    rank in its own.
+    """
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > part_turns)
+    long = cut_lineage(sizes.select(F.col("conv_id").alias("_long")))
+    is_long = rows["conv_id"].eqNullSafe(long["_long"])
+    short = rows.join(long, is_long, "left_anti").withColumn("part", F.lit(0).cast("long"))
+
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), F.col("_row")]
+    ranges = (rows.join(long, is_long, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+              .repartitionByRange(*order).sortWithinPartitions(*order).drop("_row"))
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, n = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            ranks = []
+            for key in batch.column("conv_id").to_pylist():
+                n = n + 1 if key == last else 0
+                last = key
+                ranks.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([task] * len(ranks), pa.int32()), pa.array(ranks, pa.int64())],
+                names=[*batch.schema.names, "_range", "_rank"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    ranked = cut_lineage(ranges.mapInArrow(number, f"{kinds}, _range int, _rank long"))
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranked.groupBy("conv_id", "_range").agg(F.count("*").alias("n"))
+              .select(F.col("conv_id").alias("_c"), F.col("_range").alias("_r"), F.sum("n").over(before).alias("_skip")))
+    starts = cut_lineage(starts.where("_skip > 0"))     # one row at most for each range
+    placed = ranked.join(starts, ranked["conv_id"].eqNullSafe(starts["_c"]) & (ranked["_range"] == starts["_r"]), "left")
+    part = F.floor((F.col("_rank") + F.coalesce("_skip", F.lit(0))) / part_turns).cast("long")
+    return short.unionByName(placed.withColumn("part", part).select(*short.columns))
+
+
 def chat_format(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per part of a conversation (conv_id, part): rendered, is_last, n_source, n_turns, n_merged,
     n_relabelled, n_inserted. The parts of a conversation in order make its rendered text.
 
     Turns are ordered by turn, role and text, null turn numbers last; a null text is an empty one, a null or
     unknown role may become any. Repeated turns are turns. All rows of a null conv_id are one conversation.
-    Every part is a group of its own, so a conversation with most of all turns is spread like any others.
+    Every part is a group of its own and has at most ``part_turns`` turns, whatever their numbers, so a
+    conversation with most of all turns is spread like any others. Parts are numbered from 0.
     """
     small_batches(conversations.sparkSession)
-    last_part = F.lit(2**62)
-    rows = (conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), "text")
-            .withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns).cast("long"), last_part)))
+    rows = in_parts(conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), "text"), part_turns)
     kind = rows.schema["conv_id"].dataType.simpleString()
     to_arrow = pa.string() if kind == "string" else pa.int64()
     order = [F.col("conv_id"), F.col("part"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]

@@ -144,3 +144,22 @@ def test_repairs_are_legal_and_cheapest(spark):
         assert total == brute_cost(roles)
     assert sum(r.n_source for r in parts) == len(rows)
     assert chat_format.chat_format(table.limit(0)).count() == 0
+
+
+def test_parts_hold_rows_not_turn_numbers(spark):
+    roles = ["user", "assistant", "bot", None]
+    rows = [(7, 0, roles[k % 4], f"t{k % 50:03}") for k in range(400)] + [(7, None, "user", "z")] * 60
+    rows += [(None, k % 3, "user", "same") for k in range(150)] + [(8, 5000, "user", "a"), (8, None, "assistant", "b")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {r.conv_id: r for r in chat_format.chat_format(table).collect()}
+    parts = chat_format.chat_format(table, part_turns=20).collect()
+    assert max(r.n_source for r in parts) <= 20
+    assert len(whole) == 3
+    for key, n in ((7, 460), (None, 150), (8, 2)):
+        cut = sorted((r for r in parts if r.conv_id == key), key=lambda r: r.part)
+        assert [r.part for r in cut] == list(range(-(-n // 20))) and sum(r.n_source for r in cut) == n
+        assert [r.is_last for r in cut] == [False] * (len(cut) - 1) + [True]
+        assert whole[key].n_source == n and whole[key].part == 0
+        texts = [[line for line in t.splitlines() if line and not line.startswith("<|")]
+                 for t in ("".join(r.rendered for r in cut), whole[key].rendered)]
+        assert texts[0] == texts[1] and len(texts[0]) == n
