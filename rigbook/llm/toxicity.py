@@ -128,8 +128,12 @@ class SegmentModel:
         last candidate that starts lower, if it ends higher as well.
         """
         scores = self.scores[slots]
-        # A word said over and over scores once; what follows is neither here nor there.
-        scores[1:][slots[1:] == slots[:-1]] = -COST
+        # The n-th time in a row a marked word scores an n-th; any other word costs what an unknown one does.
+        again = np.concatenate([np.zeros(min(1, len(slots)), bool), slots[1:] == slots[:-1]])
+        if again.any():
+            places = np.arange(len(slots))
+            nth = places - np.maximum.accumulate(np.where(again, 0, places)) + 1
+            scores[again] = np.where(scores > 0, (scores + COST) / nth, 0.0)[again] - COST
         at = np.flatnonzero(scores > 0)
         if not len(at):
             return []

@@ -84,6 +84,23 @@ def test_toxicity_tells_forms_of_one_stem_apart(spark, documents):
     assert np.mean([p for p, y in held if y]) >= 0.75 and not any(p for p, y in held if not y)
 
 
+def test_a_marked_word_said_again_scores_again():
+    counts = np.zeros((toxicity.SLOTS, 3))
+    counts[10:1010] = 600, 480, 120
+    counts[5] = 40, 0, 40
+    model = toxicity.SegmentModel(counts)
+    text = np.random.default_rng(1).integers(10, 1010, 50_000)
+    text[300] = 5
+    assert model.document(text)[0] < 0.5            # once may be chance in a text of that length
+    text[300:304] = 5
+    score, passages = model.document(text)
+    assert score >= 0.5 and [p[:2] for p in passages] == [(300, 304)]
+    text[300:304] = 10
+    text[700:900] = 10
+    assert model.document(text)[0] < 0.01 and model.segments(text) == []
+    assert model.segments(text[:0]) == []
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_segments_are_the_maximal_ones(seed):
     pick = np.random.default_rng(seed)
