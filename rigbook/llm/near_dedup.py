@@ -23,8 +23,9 @@ from rigbook.session import cut_lineage
 
 #: Bands of hashes: a pair of similarity 0.8 shares none with a chance of (1 - 0.8**4)**26, about 1e-6.
 BANDS, BAND_ROWS = 26, 4
-#: Hashes compared at a time, and the posterior chance of the similarity under which a pair is given up.
-BATCH, MISS = 26, 1e-5
+#: Hashes compared at a time, and the posterior chance of the similarity under which a pair is given up. A pair of
+#: exactly 0.8 is given up with a chance of 5e-6, over all batches.
+BATCH, MISS = 26, 1e-6
 #: Members of a bucket, and of a cluster, that one block of a work unit holds.
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 256
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,18 @@ def test_decontamination(spark, documents, monkeypatch, block):
     assert decontamination.decontaminate(documents([]), benchmark).count() == 0
 
 
+def test_pruning_gives_up_few_similar_pairs():
+    alive, lost = {0: 1.0}, 0.0
+    for least in near_dedup.least_matches(80):
+        after = defaultdict(float)
+        for m, chance in alive.items():
+            for k in range(near_dedup.BATCH + 1):
+                after[m + k] += chance * comb(near_dedup.BATCH, k) * 0.8**k * 0.2**(near_dedup.BATCH - k)
+        lost += sum(chance for m, chance in after.items() if m < least)
+        alive = {m: chance for m, chance in after.items() if m >= least}
+    assert lost <= 1e-5
+
+
 def test_proximity(documents):
     index = decontamination.build_index(documents([(1, "one x two y three"), (2, "one two x y z three"), (3, "three two one")]))
     found = decontamination.proximity_spans(index, [("q", [b"one", b"two", b"three"])], 2).collect()
