@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigbook.llm import (chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, quality,
-                         substring_dedup, token_counts, toxicity)
-from rigbook.session import configure
+from rigbook.llm import (chat_format, decontamination, exact_dedup, hard_negatives, language_id, near_dedup, packing,
+                         quality, spelling, substring_dedup, token_counts, token_files, toxicity)
+from rigbook.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,39 @@ def op9_chat_format(spark, sf_dir):
 @query()
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
+@query()
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_token_files(spark, sf_dir):
+    """Written to the shared folder and read back from there."""
+    path = scratch_path(spark, "ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_ids(spark, path)
+
+
+@query("""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS r, b.vec_id AS vec_id, a.label = b.label AS same,
+        CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+     positives AS (SELECT * FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.r ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 3""")
+def op13_hard_negatives(spark, sf_dir):
+    """Every seventh label is a wrong one, so that positives and negatives mix."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
