@@ -51,10 +51,10 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
     return needed
 
 
-def described(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest of the word sequence, n_shingles, band keys, and a byte of each hash; without words
-    the digest is null. Narrow."""
-    small_batches(documents.sparkSession)
+def described(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, digest of the word sequence, n_shingles, band keys, and a byte of each hash, of rows with row,
+    doc_id and text; without words the digest is null. Narrow."""
+    small_batches(rows.sparkSession)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,15 +65,15 @@ def described(documents: DataFrame, shingle: int) -> DataFrame:
             keys, low = band_keys(found, BAND_ROWS), found.astype(np.uint8)
             at = {k: i for i, k in enumerate(full)}
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"),
                 "digest": pa.array([xxhash.xxh3_128_digest(b" ".join(t)) if t else None for t in texts], pa.binary()),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "keys": pa.array([keys[at[k]] if k in at else None for k in range(len(sets))], pa.list_(pa.int64())),
                 "hashes": pa.array([low[at[k]].tobytes() if k in at else None for k in range(len(sets))],
                                    pa.binary())})
 
-    rows = columns_of(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(describe, "doc_id long, digest binary, n_shingles long, keys array<long>, hashes binary")
+    return rows.select("row", "doc_id", "text").mapInArrow(
+        describe, "row long, doc_id long, digest binary, n_shingles long, keys array<long>, hashes binary")
 
 
 def surviving(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -93,21 +93,22 @@ def surviving(hashes: np.ndarray, percent: int) -> np.ndarray:
     return linked
 
 
-def near_links(documents: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different texts that connect what is similar, exactly verified.
+def near_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different texts that connect what is similar, exactly verified.
 
-    ``texts`` has a row for each different text: node (its smallest id), keys and hashes.
+    ``texts`` has a line for each different text: node (the number of a row that has it), keys and hashes;
+    ``rows`` has row and text.
     """
     members = texts.select("node", F.explode("keys").alias("key"))
     units = buckets(members, BUCKET_BLOCK).join(texts.select("node", "hashes"), "node")
 
     def prune(unit: dict[str, list]) -> list[tuple]:
-        rows = np.frombuffer(b"".join(unit["hashes"]), np.uint8).reshape(-1, BANDS * BAND_ROWS)
-        return spanning(unit["node"], other_side(unit["side"], surviving(rows, percent)))
+        hashes = np.frombuffer(b"".join(unit["hashes"]), np.uint8).reshape(-1, BANDS * BAND_ROWS)
+        return spanning(unit["node"], other_side(unit["side"], surviving(hashes, percent)))
 
     candidates = cut_lineage(in_units(units, prune, ["node", "side", "hashes"], "a long, b long"))
     clusters = cut_lineage(components(candidates).select("node", F.col("component").alias("key")))
-    words = columns_of(documents, node="doc_id", text="text").withColumn("node", F.col("node").cast("long"))
+    words = rows.select(F.col("row").alias("node"), "text")
     # Merged at every size: texts are far too large to depend on a broadcast, and small runs show what large ones do.
     units = buckets(clusters, CLUSTER_BLOCK).join(words.where("text is not null").hint("merge"), "node")
 
@@ -118,23 +119,42 @@ def near_links(documents: DataFrame, texts: DataFrame, shingle: int, percent: in
     return in_units(units, verify, ["node", "side", "text"], "a long, b long")
 
 
-def near_dedup(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def same_document(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the different texts of ids that have several: from each to the first of them."""
+    nodes = named.select("doc_id", "digest").join(texts.select("digest", "node"), "digest").select("doc_id", "node")
+    several = (nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+               .where("a <> z").select("doc_id", "a"))
+    return nodes.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+
+
+def near_dedup(documents: DataFrame, shingle: int = 5, percent: int = 80, *, doc_id: str = "doc_id",
+               text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the smallest id of its component).
 
     Documents are linked if their sets of ``shingle`` successive words have a Jaccard similarity of at least
     ``percent`` in a hundred; a text of fewer words is one shingle. Texts that are null, empty or blank have
     no shingle and are linked with nothing. Copies are linked without being compared. Rows that repeat an id
-    are one document. A null id is linked with nothing, has a null component, and is kept.
+    are one document: each has the size of its own text, and all are in one component. A null id is linked with
+    nothing, has a null component, and is kept.
+
+    Rows are told apart by their number in the order of reading, whatever their ids. The texts are read a second
+    time for those in clusters, so ``documents`` should be a stored table.
     """
-    rows = cut_lineage(described(documents, shingle))
-    named = rows.where("digest is not null and doc_id is not null")
-    texts = cut_lineage(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"),
-                                                    F.first("hashes").alias("hashes")))
-    found = components(near_links(documents, texts, shingle, percent))
-    classes = (texts.select("digest", "node").join(found, "node", "left")
-               .select("digest", F.coalesce("component", "node").alias("component_id")))
+    rows = (columns_of(documents, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+            .withColumn("row", F.monotonically_increasing_id()))
+    found = cut_lineage(described(rows, shingle))
+    named = found.where("digest is not null and doc_id is not null")
+    texts = cut_lineage(named.groupBy("digest").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("keys").alias("keys"),
+        F.first("hashes").alias("hashes")))
+    links = near_links(rows, texts, shingle, percent).unionAll(same_document(named, texts))
+    parts = components(links)
+    lows = (texts.select("node", "low").join(parts, "node").groupBy("component")
+            .agg(F.min("low").alias("component_id")))
+    classes = (texts.select("digest", "node", "low").join(parts, "node", "left").join(lows, "component", "left")
+               .select("digest", F.coalesce("component_id", "low").alias("component_id")))
     linked = named.join(classes, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = (rows.where("digest is null or doc_id is null")
+    alone = (found.where("digest is null or doc_id is null")
              .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return (linked.unionAll(alone)
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

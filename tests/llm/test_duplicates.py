@@ -103,6 +103,23 @@ def test_near_dedup_links_what_brute_force_links(documents, monkeypatch, size):
     assert near_dedup.near_dedup(documents([])).count() == 0
 
 
+def test_near_dedup_of_several_texts_under_one_id(documents):
+    """Rows that repeat an id are one document, whether their texts are near, unlike or equal."""
+    pick = random.Random(4)
+    base = [f"w{pick.randrange(5000)}" for _ in range(60)]
+
+    def near(k):
+        return " ".join([*base, f"end{k}"])
+    rows = ([(1, near(k)) for k in range(800)] + [(None, near(k)) for k in range(40)]
+            + [(5, near(900)), (5, "something else altogether here"), (3, "something else altogether here"), (8, "alone x y z"),
+               (9, None), (9, "zwei drei vier fünf"), (9, "zwei drei vier fünf"), (10, "sechs sieben acht neun")])
+    got = near_dedup.near_dedup(documents(rows)).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter(
+        {(1, 1, True): 800, (None, None, True): 40, (5, 1, False): 2, (3, 1, False): 1, (8, 8, True): 1,
+         (9, 9, True): 3, (10, 10, True): 1})
+
+
 def brute_hits(text, items, window):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
