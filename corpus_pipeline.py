@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigbook.llm import decontamination, exact_dedup, near_dedup, packing, quality
@@ -12,37 +12,66 @@ from rigbook.session import configure, cut_lineage
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents among these ids."""
-    rows = docs.select(*DOCUMENT_COLUMNS)
-    return rows.join(ids.select(F.col("doc_id").alias("_id")), rows["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of its own for each row, in the order of reading. ``docs`` is a stored table,
+    which numbers its rows alike whenever it is read."""
+    return docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row"))
+
+
+def as_documents(docs: DataFrame) -> DataFrame:
+    """The texts under their rows' numbers, for operators to which an id is but a name."""
+    return numbered(docs).select(F.col("row").alias("doc_id"), "text")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of these numbers. Rows are told apart whatever ids they have, null or the same; further columns
+    than those of documents are left out."""
+    return numbered(docs).join(kept.select("row"), "row", "left_semi").select(*DOCUMENT_COLUMNS)
+
+
+def _first_of(docs: DataFrame, groups: DataFrame, order: Column) -> DataFrame:
+    """Of each group, the row that comes first. ``groups`` holds row and group, ``order`` is made of doc_id and row.
+    Found by aggregation, so that a group of most rows costs one row per task."""
+    ids = numbered(docs).select("doc_id", "row")
+    return groups.join(ids, "row").groupBy("group").agg(F.min_by("row", order).alias("row"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scored = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier accepts. Null and empty texts are scored like any other, a null id has
+    no label, and each row is decided for itself."""
+    scored = quality.quality_scores(numbered(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), row="row")
     return _only(docs, scored.where("predicted = 1"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the largest id. Half of them, by a hash, count as history."""
-    early = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)) == 0
-    return _only(docs, exact_dedup.exact_dedup(docs.where(~early), docs.where(early)).where("kept"))
+    """One row of each text, one with the largest id; of several with that id, the first read. Half of the rows, by
+    a hash of their numbers, count as history. Null texts count as empty, and null ids as smaller than all."""
+    rows = as_documents(docs)
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    groups = exact_dedup.exact_dedup(rows.where(~early), rows.where(early)).select(
+        F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    last = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20)"), F.col("row"))
+    return _only(docs, _first_of(docs, groups, last))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), the one with the smallest id."""
-    return _only(docs, near_dedup.near_dedup(docs).where("kept"))
+    """One row of each group of near duplicates (five words, 0.8), the one with the smallest id; of several with
+    that id, the first read. Null ids count as larger than all. Texts without words are in no group and stay."""
+    groups = near_dedup.near_dedup(as_documents(docs)).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    return _only(docs, _first_of(docs, groups, first))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.where("not contaminated"))
+    """Documents that the benchmark does not contaminate, each row decided for itself. A null text has no words
+    and stays, and an empty benchmark contaminates nothing."""
+    found = decontamination.decontaminate(as_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.where("not contaminated").select(F.col("doc_id").alias("row")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
+    """Every piece of every document with its sequence and its place there. A null text is an empty document."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
