@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what the one before kept."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline as pipeline
 import pytest
@@ -80,3 +81,48 @@ def test_each_stage_keeps_what_brute_force_keeps(spark, docs):
 def test_stages_stand_empty_tables(spark, docs):
     none = docs.limit(0)
     assert [stage(spark, none, SF).count() for _, stage in pipeline.STAGES] == [0] * len(pipeline.STAGES)
+
+
+def odd_documents(spark, rows, path):
+    """A stored table from (doc_id, text), with columns more than documents have and of names used inside."""
+    table = spark.createDataFrame([(*r, "de", "s", 1, 7, "g") for r in rows],
+                                  "doc_id long, text string, lang string, source string, n_chars long, row long, `group` string")
+    table.repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_rows_are_told_apart_whatever_their_ids(spark, tmp_path):
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, words), (1, words), (1, words + " end"), (2, words.upper()), (None, words), (None, "other words stand here now"),
+            (None, "Other Words stand here now"), (3, None), (None, ""), (1, "nothing like it at all"), (4, words + " close")]
+    docs = odd_documents(spark, rows, str(tmp_path / "docs"))
+
+    def after(stage):
+        kept = stage(spark, docs, SF)
+        assert tuple(kept.columns) == pipeline.DOCUMENT_COLUMNS
+        return Counter((r.doc_id, lower(r.text)) for r in kept.collect())
+    lowered = {(k, lower(t)) for k, t in rows}
+    copies = after(pipeline.without_copies)
+    assert copies == Counter({(2, words): 1, (1, words + " end"): 1, (None, "other words stand here now"): 1, (3, ""): 1,
+                              (1, "nothing like it at all"): 1, (4, words + " close"): 1})
+    near = after(pipeline.without_near_copies)
+    assert near[3, ""] == near[None, ""] == near[1, "nothing like it at all"] == near[None, "other words stand here now"] == 1
+    assert sum(near.values()) == 5 and sum(near[k] for k in lowered if k[1].startswith(words)) == 1
+    assert any(near[1, t] for t in (words, words + " end"))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    docs = odd_documents(spark, [(1, item), (1, "clean words"), (None, item), (None, "clean as well"), (5, None)],
+                         str(tmp_path / "more"))
+    assert after(pipeline.decontaminated) == Counter({(1, "clean words"): 1, (None, "clean as well"): 1, (5, ""): 1})
+
+
+def test_quality_decides_each_row(spark, tmp_path, docs):
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    scored = {r.doc_id: r.predicted for r in pipeline.quality.quality_scores(
+        docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    poor = next(t for k, t in rows if scored[k] == 0)
+    good = next(t for k, t in rows if scored[k] == 1 and t and k in labelled)
+    odd = odd_documents(spark, rows + [(None, poor), (None, good), (10**6, poor), (10**6, good)], str(tmp_path / "docs"))
+    kept = Counter((r.doc_id, r.text) for r in pipeline.good_quality(spark, odd, SF).collect())
+    assert kept[None, good] == kept[10**6, good] == 1 and kept[None, poor] == kept[10**6, poor] == 0
+    assert {k for k, _ in kept} - {None, 10**6} == {k for k, p in scored.items() if p}
