@@ -44,9 +44,9 @@ def test_random_access(monkeypatch, tmp_path, width):
     draw = np.random.default_rng(1)
     lengths = [1, 63, 64, 65, 1, 500, 3]
     ids = draw.integers(0, 2**width, sum(lengths))
-    (tmp_path / "x").write_bytes(token_files.file_bytes([5, None, 7, 7, -1, 2**60, 0], lengths, ids, 1234, width) + b"\n")
+    (tmp_path / "x").write_bytes(token_files.file_bytes([5, None, 7, 7, -1, 2**60, 0], lengths, ids, 3, 1234, width) + b"\n")
     held = token_files.TokenFile(np.memmap(tmp_path / "x", np.uint8, "r"))
-    assert held.doc_ids == [5, None, 7, 7, -1, 2**60, 0] and (held.start, held.n_ids) == (1234, sum(lengths))
+    assert held.doc_ids == [5, None, 7, 7, -1, 2**60, 0] and (held.slice, held.before, held.n_ids) == (3, 1234, sum(lengths))
     begins = np.cumsum([0, *lengths])
     for k in range(len(lengths)):
         assert np.array_equal(held.document(k), ids[begins[k]:begins[k + 1]])
