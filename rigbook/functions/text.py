@@ -89,10 +89,14 @@ def decimal_to_int(text: Column) -> Column:
 def whole_json(text: Column, kind: str) -> Column:
     """JSON text as a value of this type; NULL unless the whole text is one such value.
 
-    Read alone, a value would be taken even with other text behind it. As the one element of a list it is not.
+    Read alone, a value would be taken even with other text behind it, since Spark's parser stops at its end. So
+    the text is read as the one element of a list and as the one field of an object: what closes the list early
+    does not close the object, and the other way round.
     """
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
-    return F.when(F.size(parsed) == 1, parsed[0])
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
+    field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {kind}, broken string",
+                        {"columnNameOfCorruptRecord": "broken"})
+    return F.when((F.size(listed) == 1) & field["broken"].isNull() & field["v"].isNotNull(), listed[0])
 
 
 def price_digits(text: Column) -> Column:

@@ -39,8 +39,11 @@ def test_numbers_without_suffixes(spark):
 
 
 def test_json_must_be_the_whole_text(spark):
-    texts = ['{"a": 1}', ' {"a": 2} ', '{"a": 3} x', '{"a": 4}, {"a": 5}', "", None]
-    assert column(spark, texts, X.whole_json(F.col("t"), "struct<a: int>")["a"]) == [1, 2, None, None, None, None]
+    texts = ['{"a": 1}', ' {"a": 2}\n', '{"a": 3} x', '{"a": 4}, {"a": 5}', "", None, '{"a": 6}]', '{"a": 7}]x',
+             '{"a": 8}] , [{"a": 9}', '{"a": 1}}', '{"a": 1}}x', '{"a": 1}, "v": {"a": 2}', '{"a": 1', "[]", "null"]
+    assert column(spark, texts, X.whole_json(F.col("t"), "struct<a: int>")["a"]) == [1, 2] + [None] * 13
+    lists = ["[1, 2]", "[1], [2]", "[1]]", "[1]}", "[1"]
+    assert column(spark, lists, X.whole_json(F.col("t"), "array<int>")) == [[1, 2]] + [None] * 4
 
 
 def test_numbers(spark):
