@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rigbook.functions.specs import with_specs
 from rigbook.functions.text import part_key, slug
-from rigbook.schemas import LATEST_PRICES, PARTS, PREBUILTS, PRICE_LOG
+from rigbook.schemas import LATEST_PRICES, LISTING, PARTS, PREBUILTS, PRICE_LOG
 from rigbook.session import cut_lineage
 
 KEY = ["source", "source_id"]
@@ -38,21 +38,27 @@ def _not_stored(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return batch.join(hit, key, "left_anti")
 
 
-def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now: Column) -> DataFrame:
+def _merge(existing: DataFrame, batch: DataFrame, key: str, replaced: list, now: Column, newer: tuple = ()) -> DataFrame:
     """Stored rows updated from the batch, plus the batch's new rows.
 
-    url and created_at stay as first stored; a missing thumbnail never replaces one. The stored table is
-    the big side: it is only streamed past the batch when that is small enough for Spark to broadcast. The
-    folded batch is written out first, as each of the joins would fold it anew.
+    url and created_at stay as first stored; a missing thumbnail never replaces one. Columns of ``newer`` are
+    replaced together if the last of them, a time, is later. The stored table is the big side: it is only streamed
+    past the batch when that is small enough for Spark to broadcast. The folded batch should be a written table,
+    as each of the joins would fold it anew.
     """
-    batch = cut_lineage(batch)
     columns = existing.columns
-    fresh = batch.select(key, *[F.col(c).alias(f"new_{c}") for c in [*replaced, "thumbnail_url"]],
+    fresh = batch.select(key, *[F.col(c).alias(f"new_{c}") for c in [*replaced, "thumbnail_url", *newer]],
                          F.lit(True).alias("hit"))
+    is_newer = F.lit(False)
+    if newer:
+        time = newer[-1]
+        is_newer = F.col(f"new_{time}").isNotNull() & F.coalesce(F.col(f"new_{time}") > F.col(time), F.lit(True))
 
     def merged(column):
         if column in replaced:
             return F.when(F.col("hit"), F.col(f"new_{column}")).otherwise(F.col(column))
+        if column in newer:
+            return F.when(is_newer, F.col(f"new_{column}")).otherwise(F.col(column))
         if column == "thumbnail_url":
             return F.coalesce("new_thumbnail_url", "thumbnail_url")
         if column == "updated_at":
@@ -93,8 +99,21 @@ def fold_parts(feed: DataFrame) -> DataFrame:
 
 def upsert_parts(existing: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
     """The parts table after loading a cleaned feed."""
-    parts = _merge(existing, fold_parts(feed), "part_id", ["name", "category", "specs"], now)
-    return parts.to(PARTS)
+    batch = cut_lineage(fold_parts(feed))
+    return _merge(existing, batch, "part_id", ["name", "category", "specs"], now).to(PARTS)
+
+
+def fold_listing(feed: DataFrame) -> DataFrame:
+    """A cleaned feed as one row per part with the feed's latest price of it."""
+    latest = latest_prices(fold_prices(feed)).withColumnRenamed("scraped_at", "priced_at")
+    return fold_parts(feed).join(latest, "part_id", "left")
+
+
+def merge_listing(existing: DataFrame, folded: DataFrame, now: Column) -> DataFrame:
+    """Stored parts with their latest prices, after a folded batch. A price counts if it was scraped later than the
+    stored one: what the log holds already, or ignores, never is."""
+    merged = _merge(existing, folded, "part_id", ["name", "category", "specs"], now, ("price_pkr", "priced_at"))
+    return merged.to(LISTING)
 
 
 def fold_prices(feed: DataFrame) -> DataFrame:
@@ -141,12 +160,17 @@ def fold_prebuilts(feed: DataFrame) -> DataFrame:
                          "thumbnail_url", "last.*")
 
 
+def merge_prebuilts(existing: DataFrame, folded: DataFrame, now: Column) -> DataFrame:
+    """Stored systems after a folded batch."""
+    replaced = ["name", "price_pkr", "components", "scraped_at"]
+    return _merge(existing, folded, "prebuilt_id", replaced, now).to(PREBUILTS)
+
+
 def upsert_prebuilts(existing: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
     """The prebuilts table after loading a feed."""
-    replaced = ["name", "price_pkr", "components", "scraped_at"]
-    return _merge(existing, fold_prebuilts(feed), "prebuilt_id", replaced, now).to(PREBUILTS)
+    return merge_prebuilts(existing, cut_lineage(fold_prebuilts(feed)), now)
 
 
 def backfill_specs(parts: DataFrame) -> DataFrame:
     """All parts with their specifications read anew from their names. Changes nothing when repeated."""
-    return with_specs(parts).to(PARTS)
+    return with_specs(parts).to(LISTING if "priced_at" in parts.columns else PARTS)

@@ -30,6 +30,8 @@ PREBUILT_FEED = _table(name=_S, price_pkr=_L, url=_S, source=_S, scraped_at=_TS,
 
 PARTS = _table(part_id=_S, source=_S, source_id=_S, name=_S, category=_S, url=_S,
                thumbnail_url=_S, specs=SPECS, created_at=_TS, updated_at=_TS)
+#: The stored parts: with the latest price, which may be NULL, and its time.
+LISTING = T.StructType([*PARTS, T.StructField("price_pkr", _L), T.StructField("priced_at", _TS)])
 #: ``scraped_month`` is the directory column of the log.
 PRICE_LOG = _table(part_id=_S, price_pkr=_L, scraped_at=_TS, scraped_month=T.DateType())
 LATEST_PRICES = _table(part_id=_S, price_pkr=_L, scraped_at=_TS)

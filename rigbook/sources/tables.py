@@ -1,33 +1,53 @@
 """The stored catalogue: Parquet directories under one root.
 
-``price_log`` and ``shared_builds`` only grow, so rows are appended. ``parts``, ``latest_prices`` and
-``prebuilts`` change in place, which plain Parquet cannot do: each change writes a whole new snapshot
-directory next to the old ones. A snapshot counts once Spark has put its ``_SUCCESS`` marker there, so
-readers see the old or the new state and a failed write leaves nothing visible.
+``price_log`` and ``shared_builds`` only grow, so rows are appended. ``parts`` and ``prebuilts`` change in place,
+which plain Parquet cannot do, so they are kept in buckets: rows of one shop and one hash range of keys. A load
+writes the buckets its batch falls into anew, into a directory of its own, and then the list of which directory
+holds each bucket now. That list counts once Spark has put its ``_SUCCESS`` marker there: readers see the old or
+the new state, go on reading the one they opened, and a failed write leaves nothing visible. Buckets that a batch
+does not touch are neither read nor written.
 """
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rigbook import schemas
+from rigbook.session import cut_lineage
+
+#: Groups of shops; each has so many buckets as the tables are made with.
+SHOP_GROUPS = 32
+#: Key, and order within a bucket's files, which lets readers skip what their filters exclude.
+BUCKETED = {"parts": ("part_id", schemas.LISTING, ["category", "price_pkr"]),
+            "prebuilts": ("prebuilt_id", schemas.PREBUILTS, ["source", "price_pkr"])}
+#: Bytes of a row group: small enough that a category's or a part's rows fill some of them, not a share of all.
+ROW_GROUP = 16 << 20
 
 
 class CatalogueTables:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets_per_shop: int = 2):
+        """``buckets_per_shop`` must stay the same for a root; a bucket should fill a few files."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets_per_shop = buckets_per_shop
 
     # -- reading -----------------------------------------------------------------------------------
 
+    def listing(self) -> DataFrame:
+        """All parts with their latest price, in one table: listings need no join."""
+        return self._bucketed("parts")
+
     def parts(self) -> DataFrame:
-        return self._snapshot("parts", schemas.PARTS)
+        return self.listing().select(schemas.PARTS.names)
 
     def latest_prices(self) -> DataFrame:
-        return self._snapshot("latest_prices", schemas.LATEST_PRICES)
+        return self.listing().where("priced_at is not null").select(
+            "part_id", "price_pkr", F.col("priced_at").alias("scraped_at"))
 
     def prebuilts(self) -> DataFrame:
-        return self._snapshot("prebuilts", schemas.PREBUILTS)
+        return self._bucketed("prebuilts")
 
     def price_log(self) -> DataFrame:
         return self._read("price_log", schemas.PRICE_LOG)
@@ -37,62 +57,131 @@ class CatalogueTables:
 
     # -- writing -----------------------------------------------------------------------------------
 
-    def replace_parts(self, parts: DataFrame) -> None:
-        # Rebalancing, unlike a hash repartition, spreads a category that holds a third of the parts.
-        self._write_snapshot("parts", parts.hint("rebalance", "category"), "category")
+    def merge_parts(self, folded: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Rewrite the buckets of parts that a folded batch falls into; ``merge`` takes the stored rows of those
+        buckets and the batch. Returns the buckets."""
+        return self._merge("parts", folded, merge)
 
-    def replace_latest_prices(self, latest: DataFrame) -> None:
-        self._write_snapshot("latest_prices", latest.hint("rebalance"))
+    def merge_prebuilts(self, folded: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        return self._merge("prebuilts", folded, merge)
 
-    def replace_prebuilts(self, prebuilts: DataFrame) -> None:
-        self._write_snapshot("prebuilts", prebuilts.hint("rebalance"))
+    def replace_parts(self, listing: DataFrame) -> None:
+        """Write all parts anew."""
+        self._write_buckets("parts", listing, {})
 
     def append_prices(self, rows: DataFrame) -> int:
-        """Append log rows; sorted by part, so that row groups can be skipped by part later."""
-        laid_out = rows.hint("rebalance", "scraped_month")
-        return self._append("price_log", laid_out, ["scraped_month"], ["scraped_month", "part_id"])
+        """Append log rows, dealt out by month and part and sorted, with a Bloom filter of the parts in each row
+        group: one part's history is read from a few pages, not from all of its months. The time belongs to the
+        range, so that a part with most of a month's rows is cut as well."""
+        laid_out = rows.repartitionByRange("scraped_month", "part_id", "scraped_at")
+        return self._append("price_log", laid_out, ["scraped_month"], ["scraped_month", "part_id", "scraped_at"],
+                            {"parquet.bloom.filter.enabled#part_id": "true",
+                             "parquet.bloom.filter.expected.ndv#part_id": "100000",
+                             "parquet.block.size": str(ROW_GROUP)})
 
     def append_builds(self, rows: DataFrame) -> int:
-        return self._append("shared_builds", rows, [], ["code"])
-
-    # -- layout ------------------------------------------------------------------------------------
+        return self._append("shared_builds", rows, [], ["code"], {})
+
+    def keep_last(self, table: str, states: int = 1) -> int:
+        """Remove what only older states of a bucketed table refer to; readers of those fail from then on. Returns
+        the number of removed directories."""
+        numbers = self._states(table)
+        kept, gone = numbers[-states:], numbers[:-states]
+        if not kept:
+            return 0
+        held = {(r.version, r.bucket) for n in kept for r in self._state(table, n).collect()}
+        newest = max(v for v, _ in held)
+        removed = 0
+        for version in self._names(f"{table}/data", "version="):
+            for bucket in self._names(f"{table}/data/version={version}", "bucket=") if version <= newest else []:
+                if (version, bucket) not in held:
+                    removed += self._remove(f"{table}/data/version={version}/bucket={bucket}")
+        for number in gone:
+            self._remove(f"{table}/_states/v{number:08d}")
+        return removed
+
+    # -- buckets -----------------------------------------------------------------------------------
+
+    def _bucket(self, key: str) -> Column:
+        return (F.pmod(F.xxhash64("source"), F.lit(SHOP_GROUPS)) * self.buckets_per_shop
+                + F.pmod(F.xxhash64(key), F.lit(self.buckets_per_shop))).cast("int")
+
+    def _states(self, table: str) -> list[int]:
+        """Numbers of the finished states, in order."""
+        return [n for n in self._names(f"{table}/_states", "v") if self._exists(f"{table}/_states/v{n:08d}/_SUCCESS")]
+
+    def _state(self, table: str, number: int) -> DataFrame:
+        return self.spark.read.schema("bucket int, version int").parquet(f"{self.root}/{table}/_states/v{number:08d}")
+
+    def _places(self, table: str) -> dict[int, int]:
+        """Which version holds each bucket now: at most as many rows as there are buckets."""
+        numbers = self._states(table)
+        return {r.bucket: r.version for r in self._state(table, numbers[-1]).collect()} if numbers else {}
+
+    def _bucketed(self, table: str, only: list[int] | None = None) -> DataFrame:
+        _, schema, _ = BUCKETED[table]
+        places = self._places(table)
+        paths = [f"{self.root}/{table}/data/version={v}/bucket={b}" for b, v in sorted(places.items())
+                 if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/data")
+        return reader.parquet(*paths).select(schema.names)
+
+    def _merge(self, table: str, folded: DataFrame, merge) -> list[int]:
+        key, _, _ = BUCKETED[table]
+        batch = cut_lineage(folded.withColumn("bucket", self._bucket(key)))
+        touched = sorted(r.bucket for r in batch.select("bucket").distinct().collect())
+        if touched:
+            merged = merge(self._bucketed(table, touched), batch.drop("bucket"))
+            self._write_buckets(table, merged, self._places(table))
+        return touched
+
+    def _write_buckets(self, table: str, rows: DataFrame, places: dict[int, int]) -> None:
+        """Write the buckets of these rows, and the state in which the others stay where they are."""
+        key, schema, order = BUCKETED[table]
+        version = max(self._names(f"{table}/data", "version="), default=0) + 1
+        path = f"{table}/data/version={version}"
+        # Rebalancing, unlike a hash repartition, cuts a bucket that holds most of the rows into several files.
+        laid_out = rows.to(schema).withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket")
+        (laid_out.sortWithinPartitions("bucket", *order).write.mode("errorifexists").partitionBy("bucket")
+         .option("parquet.block.size", str(ROW_GROUP)).parquet(f"{self.root}/{path}"))
+        places = places | dict.fromkeys(self._names(path, "bucket="), version)
+        number = max(self._names(f"{table}/_states", "v"), default=0) + 1
+        state = self.spark.createDataFrame(sorted(places.items()), "bucket int, version int")
+        state.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/{table}/_states/v{number:08d}")
+
+    # -- files -------------------------------------------------------------------------------------
 
     def _folder(self, path: str):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _exists(self, path: str) -> bool:
         fs, folder = self._folder(path)
         return fs.exists(folder)
 
-    def _snapshots(self, table: str) -> list[int]:
-        """Numbers of all snapshot directories, finished or not."""
-        fs, folder = self._folder(f"{self.root}/{table}")
+    def _remove(self, path: str) -> bool:
+        fs, folder = self._folder(path)
+        return fs.delete(folder, True)
+
+    def _names(self, path: str, prefix: str) -> list[int]:
+        """The numbers in a folder whose names are this prefix and a number, in order."""
+        fs, folder = self._folder(path)
         if not fs.exists(folder):
             return []
         names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        return sorted(int(n.removeprefix("v")) for n in names if n.startswith("v"))
-
-    def _snapshot(self, table: str, schema: T.StructType) -> DataFrame:
-        for number in reversed(self._snapshots(table)):
-            if self._exists(f"{self.root}/{table}/v{number:08d}/_SUCCESS"):
-                return self._read(f"{table}/v{number:08d}", schema)
-        return self.spark.createDataFrame([], schema)
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        if not self._exists(f"{self.root}/{path}"):
+        if not self._exists(path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{path}").select(schema.names)
 
-    def _write_snapshot(self, table: str, rows: DataFrame, *partition_by: str) -> None:
-        number = max(self._snapshots(table), default=0) + 1
-        writer = rows.write.mode("errorifexists").partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/{table}/v{number:08d}")
-
-    def _append(self, table: str, rows: DataFrame, partition_by: list, order: list) -> int:
+    def _append(self, table: str, rows: DataFrame, partition_by: list, order: list, options: dict) -> int:
         written = Observation()
         counted = rows.observe(written, F.count(F.lit(1)).alias("rows"))
-        (counted.sortWithinPartitions(*order).write.mode("append")
+        (counted.sortWithinPartitions(*order).write.mode("append").options(**options)
          .partitionBy(*partition_by).parquet(f"{self.root}/{table}"))
         return written.get["rows"]

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rigbook import fixed, schemas
+from rigbook import fixed, schemas, session
 from rigbook.operators import crawl
 from rigbook.operators.details import extract_details, product_links
 from rigbook.operators.listing import extract_gpu_listing, extract_listing
@@ -305,6 +305,54 @@ def test_a_failing_shop_does_not_stop_the_others(spark):
     assert refresh.load_feed(tables, feed) == 1
 
 
+def test_an_error_of_the_cluster_ends_the_run(spark, tmp_path):
+    """It is no shop's failure: a full disk would otherwise read as a shop without products."""
+    good = spark.range(1)
+    (tmp_path / "file").write_text("no folder")
+
+    def full():
+        raise OSError(28, "No space left on device")
+
+    def unwritable():
+        good.write.parquet(f"{tmp_path}/file/below")
+    for broken in (full, unwritable):
+        with pytest.raises(Exception, match="No space left|Mkdirs failed|not a directory|Parent path"):
+            refresh.run_shops(spark, {"a": lambda: 1, "b": broken, "c": lambda: 1})
+
+    def odd():
+        session.cut_lineage(good.select(F.raise_error(F.lit("odd page")).cast("string").alias("x")))
+    report = refresh.run_shops(spark, {"a": lambda: 1, "b": odd, "c": lambda: 0}, 3)
+    assert [(r["source"], r["n"], r["warning"], r["error"] is None) for r in report.collect()] == [
+        ("a", 1, False, True), ("b", 0, True, False), ("c", 0, True, True)]
+
+
+def test_one_row_without_category_loads_nothing(spark):
+    """All or nothing: the shops' feeds are one batch, checked before anything is written."""
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    html = jsonld([{"name": "MSI RTX 4060 8GB", "url": "/a"}], ["90,000"])
+    feed, _ = refresh.collect_sources(spark, {
+        "czone.com.pk": lambda: refresh.listing_feed(pages(spark, "czone.com.pk", html), "czone.com.pk"),
+        "techarc.pk": lambda: refresh.listing_feed(pages(spark, "czone.com.pk", html), "czone.com.pk").withColumn(
+            "category", F.lit(None).cast("string"))})
+    with pytest.raises(Exception, match="without a category"):
+        refresh.load_feed(tables, feed)
+    assert tables.parts().count() == 0 and tables.price_log().count() == 0
+
+
+def test_systems_are_committed_shop_by_shop(spark):
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    rows = [("zestrogaming.com", None, 1, "https://z/p", '<h1>PC</h1>"price": 5', AT)]
+    n, report = refresh.refresh_prebuilts(tables, spark.createDataFrame(rows, schemas.PAGES))
+    assert n == 1 and {r["source"]: r["warning"] for r in report.collect()} == {
+        "zestrogaming.com": False, "redtech.pk": True, "techmatched.pk": True}
+    jobs = {"zestrogaming.com": lambda: refresh.load_prebuilts(tables, refresh.extract_details(
+                spark.createDataFrame([(*rows[0][:3], "https://z/q", *rows[0][4:])], schemas.PAGES), "zestrogaming.com")),
+            "redtech.pk": lambda: refresh.load_prebuilts(tables, refresh.extract_details(spark.range(1), "redtech.pk"))}
+    report = refresh.run_shops(spark, jobs)
+    assert {r["source"]: r["error"] is None for r in report.collect()} == {"zestrogaming.com": True, "redtech.pk": False}
+    assert tables.prebuilts().count() == 2
+
+
 def test_refresh_from_pages(spark):
     tables = CatalogueTables(spark, scratch_path(spark, "tables"))
     html = jsonld([{"name": "MSI RTX 4060 8GB", "url": "/a"}], ["90,000"])

@@ -63,17 +63,74 @@ def test_snapshots(spark):
     refresh.load_feed(tables, feed(spark, ("b", 6000, T1), ("c", 6000, T2)))
     assert before.count() == 1 and tables.parts().count() == 3  # readers keep the snapshot they opened
     assert tables.parts().schema.names == schemas.PARTS.names
-    # A snapshot without its marker does not count.
-    Path(f"{tables.root}/parts/v00000009".removeprefix("file:")).mkdir()
+    # A state without its marker does not count.
+    Path(f"{tables.root}/parts/_states/v00000009".removeprefix("file:")).mkdir()
     assert tables.parts().count() == 3
     refresh.enrich_stored_parts(tables)
-    assert tables.parts().count() == 3 and len(tables._snapshots("parts")) == 4
+    assert tables.parts().count() == 3 and tables.latest_prices().count() == 3 and len(tables._states("parts")) == 3
+
+
+def shop_feed(spark, source, *names):
+    rows = [(name, 5000, f"https://s/{name}", "gpu", source, T1, None, (0, 0, 1, i)) for i, name in enumerate(names)]
+    return spark.createDataFrame(rows, schemas.FEED)
+
+
+def bytes_below(folder):
+    return sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_a_load_rewrites_its_own_buckets_only(spark):
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"), buckets_per_shop=4)
+    names = [f"card {k} " + "x" * 200 for k in range(600)]
+    for shop in ("techarc.pk", "redtech.pk", "pakbyte.pk"):
+        refresh.load_feed(tables, shop_feed(spark, shop, *names))
+    whole = bytes_below(f"{tables.root}/parts/data")
+    before, places = tables.parts(), tables._places("parts")
+    refresh.load_feed(tables, shop_feed(spark, "redtech.pk", "card 7 new", "a new card"))
+    changed = {b for b, v in tables._places("parts").items() if places.get(b) != v}
+    assert 1 <= len(changed) <= 2 and len(places) == 12
+    written = bytes_below(f"{tables.root}/parts/data/version=4")
+    assert 0 < written < whole * len(changed) / len(places) * 1.5
+    assert tables.parts().count() == 1802 and before.count() == 1800
+    # The plan of a merge lists the touched buckets alone.
+    touched = sorted(changed)
+    files = tables._bucketed("parts", touched).inputFiles()
+    assert {f.split("bucket=")[1].split("/")[0] for f in files} == set(map(str, touched))
+    # Old directories go when asked for, and nothing that the last state needs.
+    assert tables.keep_last("parts") == len(changed) and tables.parts().count() == 1802
+    assert len(tables._states("parts")) == 1 and tables.keep_last("parts") == 0 and tables.keep_last("prebuilts") == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        before.agg(F.max("name")).collect()
+
+
+def test_scratch_tables_are_removed(spark):
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    refresh.load_feed(tables, feed(spark, ("a", 5000, T1)))
+    assert set(folder.iterdir()) - before == {Path(tables.root.removeprefix("file:"))}
+    with pytest.raises(RuntimeError, match="stop"), session.scratch_run(spark):
+        with session.scratch_run(spark):
+            inner = session.cut_lineage(spark.range(3))
+        assert inner.count() == 3
+        raise RuntimeError("stop")
+    assert set(folder.iterdir()) - before == {Path(tables.root.removeprefix("file:"))}
+
+
+def test_latest_price_is_kept_with_the_part(spark):
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    refresh.load_feed(tables, feed(spark, ("a", 5000, T2), ("b", 6000, T1)))
+    refresh.load_feed(tables, feed(spark, ("a", 4500, T1), ("b", 6500, T1), ("c", 7000, None)))
+    # An older row, another price for a known time, and a row without a time change no latest price.
+    assert {(r["name"], r["price_pkr"], r["priced_at"]) for r in tables.listing().collect()} == {
+        ("Größe a", 5000, T2), ("Größe b", 6000, T1), ("Größe c", None, None)}
+    assert {r["price_pkr"] for r in tables.latest_prices().collect()} == {5000, 6000}
 
 
 def test_failed_write_leaves_the_old_state(spark):
     tables = CatalogueTables(spark, scratch_path(spark, "tables"))
     refresh.load_feed(tables, feed(spark, ("a", 5000, T1)))
-    broken = tables.parts().withColumn("name", F.raise_error(F.lit("disk on fire")).cast("string"))
+    broken = tables.listing().withColumn("name", F.raise_error(F.lit("disk on fire")).cast("string"))
     with pytest.raises(Exception, match="disk on fire"):
         tables.replace_parts(broken)
     assert tables.parts().count() == 1
