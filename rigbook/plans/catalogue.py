@@ -1,7 +1,7 @@
 """Questions to the parts catalogue.
 
-Listings take ``latest``, one row per part: either :func:`latest_prices` of the log, or the stored
-``latest_prices`` table, which spares each listing a pass over the whole log.
+Listings take parts and ``latest``, one row per part, as :func:`latest_prices` of the log gives it; or, in place of
+both, the stored listing, which holds each part with its latest price: one scan, no join.
 """
 
 from functools import reduce
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rigbook import fixed
 from rigbook.functions.text import name_matches, part_key
 from rigbook.operators.loading import latest_prices  # noqa: F401  (part of this module's interface)
+from rigbook.plans.paging import FEW, deep_page
 
 SORTS = ("price_asc", "price_desc")
 
@@ -42,13 +43,12 @@ def sorted_page(rows: DataFrame, sort: str, limit: int, offset: int) -> DataFram
     return rows.orderBy(price, "source", "source_id").offset(offset).limit(limit)
 
 
-def matching_parts(parts: DataFrame, latest: DataFrame, *, category=None, source=None, min_price=None,
-                   max_price=None, specs=None, q=None) -> DataFrame:
-    """Parts that pass all filters, with their latest price.
+LISTED = ["part_id", "source", "source_id", "name", "category", "url", "thumbnail_url", "specs"]
 
-    A part whose latest price is NULL is left out, even if it had one before. An unknown category is an
-    error, an unknown shop no filter, and unknown specification names are ignored.
-    """
+
+def part_filters(category=None, source=None, specs=None, q=None) -> Column:
+    """Conditions on parts. An unknown category is an error, an unknown shop no filter, and unknown specification
+    names are ignored."""
     if category and category not in fixed.CATEGORIES:
         raise ValueError(f"unknown category {category!r}; known: {sorted(fixed.CATEGORIES)}")
     filters = [F.lit(True)]
@@ -61,22 +61,36 @@ def matching_parts(parts: DataFrame, latest: DataFrame, *, category=None, source
     for field, value in (specs or {}).items():
         if field in fixed.SPEC_FIELDS and value is not None:
             filters.append(F.col(f"specs.{field}") == value)
-    chosen = parts.where(reduce(and_, filters)).select(
-        "part_id", "source", "source_id", "name", "category", "url", "thumbnail_url", "specs")
+    return reduce(and_, filters)
+
+
+def matching_parts(parts: DataFrame, latest: DataFrame | None = None, *, min_price=None, max_price=None,
+                   **filters) -> DataFrame:
+    """Parts that pass all filters, with their latest price; see :func:`part_filters`.
+
+    A part whose latest price is NULL is left out, even if it had one before. Without ``latest``, ``parts`` is the
+    stored listing.
+    """
+    chosen = parts.where(part_filters(**filters))
+    priced = reduce(and_, price_filters(min_price, max_price))
+    if latest is None:
+        return chosen.where(priced).select(*LISTED, "price_pkr")
     # Price filters look at the latest row only, so they have to follow the choice of it.
-    prices = latest.where(reduce(and_, price_filters(min_price, max_price))).select(
-        "part_id", "price_pkr")
-    return chosen.join(prices, "part_id")
+    return chosen.select(*LISTED).join(latest.where(priced).select("part_id", "price_pkr"), "part_id")
 
 
-def list_parts(parts: DataFrame, latest: DataFrame, *, sort="price_asc", limit=50, offset=0,
+def list_parts(parts: DataFrame, latest: DataFrame | None = None, *, sort="price_asc", limit=50, offset=0,
                **filters) -> DataFrame:
-    """One page of the parts listing; see :func:`matching_parts` for the filters."""
+    """One page of the parts listing; see :func:`matching_parts` for the filters.
+
+    A page far behind is found by counting (:func:`deep_page`), so that rows before it are not sorted.
+    """
     check_page(sort, limit, offset, 100, filters.get("min_price"), filters.get("max_price"))
-    return sorted_page(matching_parts(parts, latest, **filters), sort, limit, offset)
+    rows = matching_parts(parts, latest, **filters)
+    return deep_page(rows, sort, limit, offset) if offset > FEW else sorted_page(rows, sort, limit, offset)
 
 
-def count_parts(parts: DataFrame, latest: DataFrame, **filters) -> DataFrame:
+def count_parts(parts: DataFrame, latest: DataFrame | None = None, **filters) -> DataFrame:
     """The number of rows all pages of a listing have together."""
     return matching_parts(parts, latest, **filters).agg(F.count(F.lit(1)).alias("total"))
 

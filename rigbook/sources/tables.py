@@ -24,6 +24,8 @@ BUCKETED = {"parts": ("part_id", schemas.LISTING, ["category", "price_pkr"]),
             "prebuilts": ("prebuilt_id", schemas.PREBUILTS, ["source", "price_pkr"])}
 #: Bytes of a row group: small enough that a category's or a part's rows fill some of them, not a share of all.
 ROW_GROUP = 16 << 20
+#: Rows of a page where single keys are looked up; readers skip whole pages by their least and largest key.
+PAGE_ROWS = 2000
 
 
 class CatalogueTables:
@@ -77,7 +79,8 @@ class CatalogueTables:
         return self._append("price_log", laid_out, ["scraped_month"], ["scraped_month", "part_id", "scraped_at"],
                             {"parquet.bloom.filter.enabled#part_id": "true",
                              "parquet.bloom.filter.expected.ndv#part_id": "100000",
-                             "parquet.block.size": str(ROW_GROUP)})
+                             "parquet.block.size": str(ROW_GROUP),
+                             "parquet.page.row.count.limit": str(PAGE_ROWS)})
 
     def append_builds(self, rows: DataFrame) -> int:
         return self._append("shared_builds", rows, [], ["code"], {})

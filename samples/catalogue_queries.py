@@ -15,7 +15,7 @@ from rigbook.operators.quality import quality_report as checks
 from rigbook.operators.quality import quality_summary as summary
 from rigbook.operators.reports import feed_counts as counts
 from rigbook.operators.reports import source_report, spec_coverage as coverage
-from rigbook.plans import builds, catalogue
+from rigbook.plans import builds, catalogue, name_index, paging
 from rigbook.plans.refresh import load_feed
 from rigbook.session import scratch_path
 from rigbook.sources.files import (add_missing_columns, as_json, from_json_text, read_feed, write_json)
@@ -291,6 +291,83 @@ def catalog_stats(spark, sf_dir):
     return catalogue.catalogue_stats(fold_parts(rows), fold_prices(rows))
 
 
+# -- listings from the stored tables ---------------------------------------------------------------------
+
+def stored_catalogue(spark, sf_dir):
+    """The feed loaded into stored tables in two runs, by time."""
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    feed = product_feed(spark, sf_dir)
+    for when, batch in ((FIRST_RUN, feed.where(F.col("scraped_at") < BATCH_BORDER)),
+                        (SECOND_RUN, feed.where(F.col("scraped_at") >= BATCH_BORDER))):
+        load_feed(tables, batch, F.lit(when))
+    return tables
+
+
+#: Parts after the two runs: names by run and then by feed order, unlike those of one run over the whole feed.
+_STORED_SQL = f"""{_TWO_BATCHES_SQL},
+two_log AS (
+  SELECT source, source_id, price_pkr, scraped_at FROM (SELECT *, row_number() OVER (
+    PARTITION BY source, source_id, scraped_at ORDER BY batch, l_orderkey, l_linenumber, l_suppkey) AS n FROM batches)
+  WHERE n = 1),
+two_latest AS (
+  SELECT source, source_id, max_by(price_pkr, scraped_at) AS price_pkr FROM two_log GROUP BY source, source_id),
+listing AS (
+  SELECT md5(source || '/' || source_id) AS part_id, source, source_id, name, category, first_url AS url,
+         last_thumbnail AS thumbnail_url, {SPEC_SQL}, l.price_pkr
+  FROM (SELECT * EXCLUDE (price_pkr) FROM two_ranked WHERE from_last = 1) JOIN two_latest l USING (source, source_id))"""
+
+
+@query(f"""WITH {_STORED_SQL} SELECT {_LISTED} FROM listing
+WHERE category = 'ram' AND price_pkr >= 15000 ORDER BY price_pkr, source, source_id LIMIT 100 OFFSET 40""")
+def stored_listing_page(spark, sf_dir):
+    return _flat(catalogue.list_parts(stored_catalogue(spark, sf_dir).listing(), category="ram", min_price=15000,
+                                      limit=100, offset=40))
+
+
+@query(f"""WITH {_STORED_SQL} SELECT count(*) AS total FROM listing
+WHERE category = 'gpu' AND brand = 'ASUS' AND price_pkr <= 60000""")
+def stored_listing_total(spark, sf_dir):
+    return catalogue.count_parts(stored_catalogue(spark, sf_dir).listing(), category="gpu", max_price=60000,
+                                 specs={"brand": "ASUS"})
+
+
+@query(f"""WITH {_STORED_SQL}, n AS (SELECT count(*) AS n FROM listing)
+SELECT {_LISTED} FROM (SELECT *, row_number() OVER (ORDER BY price_pkr DESC, source, source_id) AS place FROM listing), n
+WHERE place > n - 60 AND place <= n - 10""")
+def stored_listing_deep(spark, sf_dir):
+    """Fifty parts shortly before the listing's end, found by counting."""
+    listing = stored_catalogue(spark, sf_dir).listing()
+    total = catalogue.count_parts(listing).first()["total"]
+    return _flat(paging.deep_page(catalogue.matching_parts(listing), "price_desc", 50, total - 60, few=200))
+
+
+@query("WITH " + _STORED_SQL + " " + _FACETS_SQL.replace("FROM parts", "FROM listing"))
+def stored_facets(spark, sf_dir):
+    return catalogue.facet_values(stored_catalogue(spark, sf_dir).listing())
+
+
+@query(f"""WITH {_STORED_SQL} SELECT {_LISTED} FROM listing WHERE name ILIKE '%am_ %cold%'""")
+def indexed_name_search(spark, sf_dir):
+    """The search of ``parts_name_search``, over the stored listing and its index of trigrams."""
+    listing, path = stored_catalogue(spark, sf_dir).listing(), scratch_path(spark, "names")
+    name_index.write_index(listing, path)
+    return _flat(catalogue.matching_parts(name_index.search(listing, path, "aM_ %CoLd")))
+
+
+@query(f"""WITH {_TWO_BATCHES_SQL},
+two_log AS (
+  SELECT source, source_id, price_pkr, scraped_at FROM (SELECT *, row_number() OVER (
+    PARTITION BY source, source_id, scraped_at ORDER BY batch, l_orderkey, l_linenumber, l_suppkey) AS n FROM batches)
+  WHERE n = 1)
+SELECT price_pkr, scraped_at FROM two_log WHERE source = 'czone.com.pk' AND source_id = (
+  SELECT min(source_id) FROM clean WHERE source = 'czone.com.pk' AND category = 'monitor')""")
+def stored_price_history(spark, sf_dir):
+    """History of the shop's first monitor, from the stored log."""
+    tables = stored_catalogue(spark, sf_dir)
+    key = tables.parts().where("source = 'czone.com.pk' and category = 'monitor'").agg(F.min("source_id")).first()[0]
+    return catalogue.price_history(tables.parts(), tables.price_log(), "czone.com.pk", key)
+
+
 # -- saved part lists ------------------------------------------------------------------------------------
 
 _DIGIT = "(instr('0123456789abcdef', substr(digest, {}, 1)) - 1)"
