@@ -86,3 +86,22 @@ def resolve_builds(shared: DataFrame, parts: DataFrame, latest: DataFrame) -> Da
     return slots.join(priced, "part_id").select(
         "code", "slot", "part_id", "source", "source_id", "name", "category", "url", "thumbnail_url",
         "specs", "price_pkr")
+
+
+def resolve_build(shared: DataFrame, code: str, listing: DataFrame) -> DataFrame | None:
+    """The slots of one saved list as :func:`resolve_builds` gives them, or None if nobody saved this code; a list
+    whose parts are all gone is there and empty.
+
+    The list is read by its code, sorted files and statistics skip the others, and its few parts, at most one for
+    each slot, go as literals into the scan of the stored listing.
+    """
+    found = shared.where(F.col("code") == code).select("slots").head()
+    if found is None:
+        return None
+    order = {slot: k for k, slot in enumerate(fixed.BUILD_SLOTS)}
+    slot_of = {part: slot for slot, part in sorted(found.slots.items(), key=lambda x: order.get(x[0], -1)) if part}
+    slots = F.create_map(*[F.lit(x) for pair in slot_of.items() for x in pair]) if slot_of else F.lit(None).cast(
+        "map<string,string>")
+    return (listing.where(F.col("part_id").isin(list(slot_of)) & F.col("priced_at").isNotNull())
+            .select(F.lit(code).alias("code"), slots[F.col("part_id")].alias("slot"), "part_id", "source", "source_id",
+                    "name", "category", "url", "thumbnail_url", "specs", "price_pkr"))

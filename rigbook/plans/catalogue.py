@@ -128,8 +128,10 @@ def price_history(parts: DataFrame, price_log: DataFrame, source: str, source_id
 
 
 def _counts(rows: DataFrame, sets: list, total: str) -> DataFrame:
-    """(metric, value, n) for the whole table and by each of ``sets``, from one pass over the table."""
-    folded = rows.groupBy(*sets).agg(F.count(F.lit(1)).alias("n"))
+    """(metric, value, n) for the whole table and by each of ``sets``, from one pass over the table. A table with a
+    column n counts each row so many times."""
+    weight = F.col("n") if "n" in rows.columns else F.lit(1)
+    folded = rows.groupBy(*sets).agg(F.sum(weight).alias("n"))
     grouped = [folded.groupBy(F.lit(f"by_{s}").alias("metric"), F.col(s).alias("value"))
                .agg(F.sum("n").alias("n")) for s in sets]
     everything = folded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
@@ -138,7 +140,10 @@ def _counts(rows: DataFrame, sets: list, total: str) -> DataFrame:
 
 
 def catalogue_stats(parts: DataFrame, price_log: DataFrame) -> DataFrame:
-    """(metric, value, n): parts in all, by shop and by category, and price rows in all."""
+    """(metric, value, n): parts in all, by shop and by category, and price rows in all.
+
+    In place of parts, the stored counts of them may be given (a table with a column n), which are far fewer.
+    """
     prices = price_log.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("total_price_rows").alias("metric"), F.lit(None).cast("string").alias("value"), "n")
     return (_counts(parts, ["source", "category"], "total_parts").unionByName(prices)
@@ -146,5 +151,5 @@ def catalogue_stats(parts: DataFrame, price_log: DataFrame) -> DataFrame:
 
 
 def prebuilt_stats(prebuilts: DataFrame) -> DataFrame:
-    """(metric, value, n): systems in all and by shop."""
+    """(metric, value, n): systems in all and by shop, from systems or from the stored counts of them."""
     return _counts(prebuilts, ["source"], "total").orderBy("metric", "value")

@@ -5,7 +5,8 @@ which plain Parquet cannot do, so they are kept in buckets: rows of one shop and
 writes the buckets its batch falls into anew, into a directory of its own, and then the list of which directory
 holds each bucket now. That list counts once Spark has put its ``_SUCCESS`` marker there: readers see the old or
 the new state, go on reading the one they opened, and a failed write leaves nothing visible. Buckets that a batch
-does not touch are neither read nor written.
+does not touch are neither read nor written. With its buckets a load stores their counts, so that counts and
+facets of the whole table are sums over small rows that are always those of the state read.
 """
 
 from collections.abc import Callable
@@ -22,6 +23,8 @@ SHOP_GROUPS = 32
 #: Key, and order within a bucket's files, which lets readers skip what their filters exclude.
 BUCKETED = {"parts": ("part_id", schemas.LISTING, ["category", "price_pkr"]),
             "prebuilts": ("prebuilt_id", schemas.PREBUILTS, ["source", "price_pkr"])}
+#: What the rows of a bucket are counted by, beside the bucket itself.
+COUNTED = {"parts": ["source", "category", "specs"], "prebuilts": ["source"]}
 #: Bytes of a row group: small enough that a category's or a part's rows fill some of them, not a share of all.
 ROW_GROUP = 16 << 20
 #: Rows of a page where single keys are looked up; readers skip whole pages by their least and largest key.
@@ -51,6 +54,14 @@ class CatalogueTables:
     def prebuilts(self) -> DataFrame:
         return self._bucketed("prebuilts")
 
+    def part_counts(self) -> DataFrame:
+        """(source, category, specs, n): how many parts there are of each kind; sum over n."""
+        return self._counts("parts")
+
+    def prebuilt_counts(self) -> DataFrame:
+        """(source, n) of the prebuilts; sum over n."""
+        return self._counts("prebuilts")
+
     def price_log(self) -> DataFrame:
         return self._read("price_log", schemas.PRICE_LOG)
 
@@ -99,6 +110,9 @@ class CatalogueTables:
             for bucket in self._names(f"{table}/data/version={version}", "bucket=") if version <= newest else []:
                 if (version, bucket) not in held:
                     removed += self._remove(f"{table}/data/version={version}/bucket={bucket}")
+        for version in self._names(f"{table}/counts", "version="):
+            if version <= newest and version not in {v for v, _ in held}:
+                self._remove(f"{table}/counts/version={version}")
         for number in gone:
             self._remove(f"{table}/_states/v{number:08d}")
         return removed
@@ -122,10 +136,12 @@ class CatalogueTables:
         return {r.bucket: r.version for r in self._state(table, numbers[-1]).collect()} if numbers else {}
 
     def _bucketed(self, table: str, only: list[int] | None = None) -> DataFrame:
-        _, schema, _ = BUCKETED[table]
-        places = self._places(table)
-        paths = [f"{self.root}/{table}/data/version={v}/bucket={b}" for b, v in sorted(places.items())
-                 if only is None or b in only]
+        places = {b: v for b, v in self._places(table).items() if only is None or b in only}
+        return self._at(table, places)
+
+    def _at(self, table: str, places: dict[int, int], more: T.StructType = T.StructType()) -> DataFrame:
+        schema = T.StructType([*BUCKETED[table][1], *more])
+        paths = [f"{self.root}/{table}/data/version={v}/bucket={b}" for b, v in sorted(places.items())]
         if not paths:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/data")
@@ -149,11 +165,34 @@ class CatalogueTables:
         laid_out = rows.to(schema).withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket")
         (laid_out.sortWithinPartitions("bucket", *order).write.mode("errorifexists").partitionBy("bucket")
          .option("parquet.block.size", str(ROW_GROUP)).parquet(f"{self.root}/{path}"))
-        places = places | dict.fromkeys(self._names(path, "bucket="), version)
+        written = dict.fromkeys(self._names(path, "bucket="), version)
+        self._write_counts(table, written, version)
+        places = places | written
         number = max(self._names(f"{table}/_states", "v"), default=0) + 1
         state = self.spark.createDataFrame(sorted(places.items()), "bucket int, version int")
         state.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/{table}/_states/v{number:08d}")
 
+    def _write_counts(self, table: str, places: dict[int, int], version: int) -> None:
+        """The counts of freshly written buckets; only the columns counted by are read again."""
+        rows = self._at(table, places, T.StructType([T.StructField("bucket", T.IntegerType())]))
+        counts = rows.groupBy("bucket", *COUNTED[table]).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("errorifexists").parquet(f"{self.root}/{table}/counts/version={version}")
+
+    def _counts(self, table: str) -> DataFrame:
+        kept = [f for f in BUCKETED[table][1] if f.name in COUNTED[table]]
+        schema = T.StructType([T.StructField("bucket", T.IntegerType()), *kept, T.StructField("n", T.LongType())])
+        places = self._places(table)
+        if not places:
+            return self.spark.createDataFrame([], schema).drop("bucket")
+        versions = sorted(set(places.values()))
+        rows = (self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/counts")
+                .parquet(*(f"{self.root}/{table}/counts/version={v}" for v in versions)))
+        # A version's counts hold for those of its buckets that no later version has replaced.
+        current = F.lit(False)
+        for v in versions:
+            current |= (F.col("version") == v) & F.col("bucket").isin([b for b, at in places.items() if at == v])
+        return rows.where(current).select(*COUNTED[table], "n")
+
     # -- files -------------------------------------------------------------------------------------
 
     def _folder(self, path: str):

@@ -343,7 +343,18 @@ def stored_listing_deep(spark, sf_dir):
 
 @query("WITH " + _STORED_SQL + " " + _FACETS_SQL.replace("FROM parts", "FROM listing"))
 def stored_facets(spark, sf_dir):
-    return catalogue.facet_values(stored_catalogue(spark, sf_dir).listing())
+    """From the counts that each load stores with its buckets."""
+    return catalogue.facet_values(stored_catalogue(spark, sf_dir).part_counts())
+
+
+@query(f"""WITH {_STORED_SQL}
+SELECT 'total_parts' AS metric, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM listing
+UNION ALL SELECT 'total_price_rows', NULL, count(*) FROM two_log
+UNION ALL SELECT 'by_source', source, count(*) FROM listing GROUP BY source
+UNION ALL SELECT 'by_category', category, count(*) FROM listing GROUP BY category""")
+def stored_stats(spark, sf_dir):
+    tables = stored_catalogue(spark, sf_dir)
+    return catalogue.catalogue_stats(tables.part_counts(), tables.price_log())
 
 
 @query(f"""WITH {_STORED_SQL} SELECT {_LISTED} FROM listing WHERE name ILIKE '%am_ %cold%'""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed, schemas, session
 from rigbook.functions.text import name_matches
-from rigbook.plans import catalogue, name_index, paging
+from rigbook.plans import builds, catalogue, name_index, paging, refresh
 from rigbook.session import scratch_path
 from rigbook.sources.tables import CatalogueTables
 
@@ -176,3 +176,48 @@ def test_a_part_with_most_of_a_months_rows_is_cut(spark, monkeypatch):
     per_file = (spark.read.parquet(f"{tables.root}/price_log").where("part_id = 'hot'")
                 .groupBy(F.input_file_name()).count().collect())
     assert len(per_file) > 1
+
+
+# -- counts kept with the buckets ------------------------------------------------------------------------
+
+def test_counts_after_loads_that_move_parts(spark):
+    """Names, and with them specifications, and categories change from load to load."""
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    draw = random.Random(8)
+    names = ["MSI RTX 4060 8GB", "ASUS Radeon RX 6600 8GB", "Corsair 16GB DDR5 6000MHz", "Zotac GTX 1660"]
+
+    def same():
+        for counted, whole in ((tables.part_counts(), tables.parts()), (tables.prebuilt_counts(), tables.prebuilts())):
+            stats = catalogue.catalogue_stats if "category" in whole.columns else lambda rows, _: catalogue.prebuilt_stats(rows)
+            assert sorted(map(tuple, stats(counted, tables.price_log()).collect()), key=str) == sorted(
+                map(tuple, stats(whole, tables.price_log()).collect()), key=str)
+        assert catalogue.facet_values(tables.part_counts()).collect() == catalogue.facet_values(tables.parts()).collect()
+    same()
+    for load in range(3):
+        rows = [(draw.choice(names), 50_000, f"https://s/{draw.randrange(40)}", draw.choice(["gpu", "ram", "ssd"]),
+                 draw.choice(["techarc.pk", "redtech.pk"] if load < 2 else ["redtech.pk"]),
+                 T1 + datetime.timedelta(days=load), None, (0, 0, 1, k)) for k in range(30)]
+        refresh.load_feed(tables, spark.createDataFrame(rows, schemas.FEED))
+        same()
+    systems = spark.createDataFrame([(f"PC {k}", 1, f"https://s/{k}", draw.choice(["a", "b"]), T1, None, None, (0, 0, 1, k))
+                                     for k in range(9)], schemas.PREBUILT_FEED)
+    assert refresh.load_prebuilts(tables, systems) == 9
+    tables.keep_last("parts")
+    same()
+    assert catalogue.catalogue_stats(tables.part_counts(), tables.price_log()).first().n > 0
+    assert "part_id" not in plan_of(tables.part_counts())
+
+
+def test_one_code(spark, stored):
+    tables, rows = stored
+    ids = [f"{s}/{i}" for s, i, *_ in rows[:3]]
+    shared = spark.createDataFrame([("abc123", {"cpu": ids[0], "gpu": ids[1], "ram": ids[0], "psu": "gone", "case": None}, T1),
+                                    ("empty1", {"cpu": "gone"}, T1), ("nothin", {"cpu": None}, T1)], schemas.SHARED_BUILDS)
+    listing = tables.listing()
+    found = builds.resolve_build(shared, "abc123", listing)
+    assert sorted((r.slot, r.part_id) for r in found.collect()) == [("gpu", ids[1]), ("ram", ids[0])]
+    whole = builds.resolve_builds(shared.where("code = 'abc123'"), tables.parts(), tables.latest_prices())
+    assert found.columns == whole.columns and sorted(found.collect()) == sorted(whole.collect())
+    assert "Join" not in plan_of(found) and "In(part_id" in plan_of(found)
+    assert builds.resolve_build(shared, "empty1", listing).collect() == builds.resolve_build(shared, "nothin", listing).collect() == []
+    assert builds.resolve_build(shared, "zzzzzz", listing) is None
