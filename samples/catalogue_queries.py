@@ -195,14 +195,20 @@ def incremental_load(spark, sf_dir):
             .drop("part_id"))
 
 
+_WHOLE_SPECS = ", ".join(f'CASE WHEN price_pkr % 5 = 0 THEN NULL ELSE "{f}" END AS "{f}"' for f in fixed.SPEC_FIELDS)
+
+
 @query(f"WITH {FEED_SQL} SELECT name, price_pkr, url, category, source, scraped_at, thumbnail_url, "
-       f"{SPEC_SQL} FROM feed")
+       f"{_WHOLE_SPECS} FROM feed")
 def export_roundtrip(spark, sf_dir):
-    """The feed written as JSON and read back, with its specifications turned to JSON text and back."""
+    """The feed written as JSON and read back, with its specifications turned to JSON text and back. Where the price
+    is divisible by 5, something stands behind the text, which then is no JSON."""
     path = scratch_path(spark, "export")
     write_json(product_feed(spark, sf_dir), path)
     feed = with_specs(read_feed(spark, path))
-    specs = from_json_text(as_json(F.col("specs")), schemas.SPECS).alias("specs")
+    text = as_json(F.col("specs"))
+    text = F.when(F.col("price_pkr") % 5 == 0, F.concat(text, F.lit("]x"))).otherwise(text)
+    specs = from_json_text(text, schemas.SPECS).alias("specs")
     return feed.select("name", "price_pkr", "url", "category", "source", "scraped_at", "thumbnail_url",
                        specs).select("*", *SPEC_COLUMNS).drop("specs")
 

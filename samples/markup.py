@@ -140,6 +140,9 @@ def _ld_page(cards, total):
     prices = F.transform(cards, lambda c: F.substring_index(c, "\t", -1))
     return _text("<html><p>", total, ' Products</p><script type="application/ld+json">{broken</script>',
                  '<script type="application/ld+json">{"@type": "Organization"}</script>',
+                 # Whole objects with something behind them are no JSON.
+                 *(f'<script type="application/ld+json">{{"@type": "CollectionPage", "mainEntity": '
+                   f'{{"itemListElement": []}}}}{behind}</script>' for behind in ("]x", "}x")),
                  '<script type="application/ld+json">{"@type": "CollectionPage", "mainEntity": '
                  '{"itemListElement": [', F.array_join(items, ", "), "]}}</script>",
                  F.array_join(prices, "\n"), "</html>")
