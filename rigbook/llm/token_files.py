@@ -32,8 +32,8 @@ HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"TID1"
 #: Ids of a block, a multiple of 8, so that blocks end at whole bytes whatever the width.
 BLOCK_IDS = 1 << 15
-#: Ids after which a file is closed; a document is never divided. 16 MB at 16 bits.
-FILE_IDS = 1 << 23
+#: Ids after which a file is closed; a document is never divided. 8 MB at 16 bits.
+FILE_IDS = 1 << 22
 #: Least ids worth a task of their own, and the most slices of the order (a slice becomes one file or more).
 LEAST_IDS, MOST_SLICES = 1 << 18, 10_000
 
@@ -186,7 +186,7 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str, *, end_id: int =
             yield one()
 
     ordered = (rows.mapInArrow(encode, "slice int, doc_id long, row long, ids binary")
-               .repartition(slices, "slice").sortWithinPartitions("slice", "doc_id", "row"))
+               .repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "doc_id", "row"))
     (ordered.select("slice", "doc_id", "ids").mapInArrow(files, "content binary")
      .select(F.col("content").cast("string").alias("value"))
      .write.mode("errorifexists").option("compression", "none").option("maxRecordsPerFile", 1).text(path))
