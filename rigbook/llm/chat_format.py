@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rigbook.llm.common import grouped, small_batches
 from rigbook.session import cut_lineage
@@ -27,6 +28,8 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 MERGE, INSERT, RELABEL, NAME = 1, 2, 3, 1
 #: Turns of one part of a conversation, at most.
 PART_TURNS = 1000
+#: Rows, and characters of text, after which a task hands on its answers.
+BATCH_ROWS, BATCH_CHARS = 512, 4 << 20
 NEVER = 10**9
 
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -184,6 +187,25 @@ def in_parts(rows: DataFrame, part_turns: int) -> DataFrame:
     return short.unionByName(placed.withColumn("part", part).select(*short.columns))
 
 
+def in_batches(rows: Iterable[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of some hundred rows, or of fewer once their texts are large."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) == BATCH_ROWS or size > BATCH_CHARS:
+            yield _batch(held, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, kinds)
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)],
+                                      names=list(kinds))
+
+
 def chat_format(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per part of a conversation (conv_id, part): rendered, is_last, n_source, n_turns, n_merged,
     n_relabelled, n_inserted. The parts of a conversation in order make its rendered text.
@@ -196,37 +218,34 @@ def chat_format(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataF
     small_batches(conversations.sparkSession)
     rows = in_parts(conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), "text"), part_turns)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    to_arrow = pa.string() if kind == "string" else pa.int64()
+    to_arrow = to_arrow_type(rows.schema["conv_id"].dataType)
     order = [F.col("conv_id"), F.col("part"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
 
     def dealt(table: DataFrame) -> DataFrame:
         return table.repartition("conv_id", "part").sortWithinPartitions(*order)
 
     def cost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*key, matrix(part["role"]).ravel().tolist()) for key, part in grouped(batches, ["conv_id", "part"], ["role"])]
-        ids, parts, costs = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow), pa.array(parts, pa.int64()),
-                                          pa.array(costs, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
+        found = ((*key, matrix(part["role"]).ravel().tolist()) for key, part in grouped(batches, ["conv_id", "part"], ["role"]))
+        yield from in_batches(found, {"conv_id": to_arrow, "part": pa.int64(), "costs": pa.list_(pa.int64())})
 
     def pass_through(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in grouped(batches, ["conv_id"], ["part", "costs"]):
-            ways = borders([np.array(c).reshape(4, 4) for c in held["costs"]])
-            n = len(ways)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * n, to_arrow), pa.array(held["part"], pa.int64()),
-                 pa.array([a for a, _ in ways], pa.int32()), pa.array([b for _, b in ways], pa.int32()),
-                 pa.array([k == n - 1 for k in range(n)], pa.bool_())],
-                names=["conv_id", "part", "first_state", "last_state", "is_last"])
+        def rows() -> Iterator[tuple]:
+            for key, held in grouped(batches, ["conv_id"], ["part", "costs"]):
+                ways = borders([np.array(c).reshape(4, 4) for c in held["costs"]])
+                for k, (part, (first, last)) in enumerate(zip(held["part"], ways, strict=True)):
+                    yield key[0], part, first, last, k == len(ways) - 1
+        yield from in_batches(rows(), {"conv_id": to_arrow, "part": pa.int64(), "first_state": pa.int32(),
+                                       "last_state": pa.int32(), "is_last": pa.bool_()})
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in grouped(batches, ["conv_id", "part"], ["role", "text", "first_state", "last_state", "is_last"]):
-            text, done = render(held["role"], held["text"], held["first_state"][0], held["last_state"][0],
-                                held["is_last"][0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], to_arrow), pa.array([key[1]], pa.int64()), pa.array([text]),
-                 pa.array([held["is_last"][0]]), pa.array([len(held["role"])], pa.int64()),
-                 *(pa.array([n], pa.int64()) for n in done.values())],
-                names=["conv_id", "part", "rendered", "is_last", "n_source", *done])
+        def rows() -> Iterator[tuple]:
+            for key, held in grouped(batches, ["conv_id", "part"], ["role", "text", "first_state", "last_state", "is_last"]):
+                last = held["is_last"][0]
+                text, done = render(held["role"], held["text"], held["first_state"][0], held["last_state"][0], last)
+                yield *key, text, last, len(held["role"]), *done.values()
+        counts = dict.fromkeys(("n_source", "n_turns", "n_merged", "n_relabelled", "n_inserted"), pa.int64())
+        yield from in_batches(rows(), {"conv_id": to_arrow, "part": pa.int64(), "rendered": pa.string(),
+                                       "is_last": pa.bool_()} | counts)
 
     costs = dealt(rows.drop("text").withColumn("text", F.lit(None).cast("string"))).mapInArrow(
         cost, f"conv_id {kind}, part long, costs array<long>")

@@ -163,6 +163,22 @@ def test_repairs_are_legal_and_cheapest(spark):
     assert chat_format.chat_format(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint", "string", "decimal(10,0)"])
+def test_conversations_with_ids_of_any_type(spark, monkeypatch, kind):
+    """Extra columns with names used inside, a very long text, and batches of a few rows change nothing."""
+    monkeypatch.setattr(chat_format, "BATCH_ROWS", 2)
+    monkeypatch.setattr(chat_format, "BATCH_CHARS", 1000)
+    long = "word " * 20_000
+    rows = [(k, t, role, text, 7, "x", None) for k in (1, 2, 3, 4, 5, None) for t, role, text in (
+        (0, "user", f"hello {k}"), (1, "assistant", long if k == 3 else "there"))]
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, part long, side string, costs int")
+    got = chat_format.chat_format(table.withColumn("conv_id", table.conv_id.cast(kind)))
+    assert got.schema["conv_id"].dataType.simpleString() == kind
+    found = {None if r.conv_id is None else int(r.conv_id): (r.n_source, r.n_turns, r.is_last, long in r.rendered)
+             for r in got.collect()}
+    assert found == {k: (2, 2, True, k == 3) for k in (1, 2, 3, 4, 5, None)}
+
+
 def test_parts_hold_rows_not_turn_numbers(spark):
     roles = ["user", "assistant", "bot", None]
     rows = [(7, 0, roles[k % 4], f"t{k % 50:03}") for k in range(400)] + [(7, None, "user", "z")] * 60
