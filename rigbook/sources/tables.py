@@ -89,7 +89,7 @@ class CatalogueTables:
         laid_out = rows.repartitionByRange("scraped_month", "part_id", "scraped_at")
         return self._append("price_log", laid_out, ["scraped_month"], ["scraped_month", "part_id", "scraped_at"],
                             {"parquet.bloom.filter.enabled#part_id": "true",
-                             "parquet.bloom.filter.expected.ndv#part_id": "100000",
+                             "parquet.bloom.filter.adaptive.enabled": "true",   # as large as its parts need
                              "parquet.block.size": str(ROW_GROUP),
                              "parquet.page.row.count.limit": str(PAGE_ROWS)})
 
