@@ -4,15 +4,13 @@ They follow Unicode rules throughout: regular expressions that use ``\\s``, ``\\
 carry the ``(?U)`` flag, because Java's classes are ASCII-only without it.
 """
 
-import html
 import re
 import sys
 import unicodedata
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Whitespace and decimal digits of all scripts, from the Unicode tables.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -137,16 +135,58 @@ def name_matches(name: Column, query: str) -> Column:
     return name.rlike(f"(?is){pattern}")
 
 
-def _decoder():
-    # Nested, so that it is shipped by value and executors need no copy of this package.
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
-    return F.pandas_udf(decode, T.StringType())
+# An entity: a number, a number in base 16, or a name, which may lack its semicolon.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_COMMON = ("amp;", "quot;", "lt;", "gt;", "nbsp;")
+_NAMES = {**{name: html5[name] for name in _COMMON}, **html5}
+#: Names that also count without a semicolon, and then in front of any other text; the longest one wins.
+_OPEN_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
+_REPLACEMENT = "\ufffd"
+#: Numbers that browsers read as bytes of Windows-1252, as far as it has a character for them.
+_BYTES = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point. The byte order mark in front is the one the decoder takes away."""
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(number), 8, "0"))), "UTF-32")
+
+
+def _numeric_entity(number: Column) -> Column:
+    windows = F.try_element_at(F.create_map(*[F.lit(x) for pair in _BYTES.items() for x in pair]), number)
+    unassigned = (number.between(1, 8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F)
+                  | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE))
+    return (F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), _REPLACEMENT)
+            .when(number.between(0x80, 0x9F), F.coalesce(windows, _character(number)))
+            .when(unassigned, "").otherwise(_character(number)))
+
+
+def _entity_value(entity: Column) -> Column:
+    """What one entity stands for; what is none stays as it is."""
+    # Leading zeros mean nothing, and eight digits are too many for a character in either base.
+    digits = F.substring(F.ltrim(F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+)", 1), F.lit("0")), 1, 8)
+    base16 = F.lower(F.substring(entity, 3, 1)) == "x"
+    number = F.when(digits == "", 0).when(base16, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
+    table = F.str_to_map(F.lit("\x02".join(f"{name}\x01{value}" for name, value in _NAMES.items())),
+                         F.lit("\x02"), F.lit("\x01"))
+
+    def named(name):
+        prefix = F.regexp_extract(name, f"^(?:{'|'.join(_OPEN_NAMES)})", 0)
+        open_name = bind(prefix, lambda found: F.when(found != "", F.concat(
+            F.try_element_at(table, found), F.substring(name, F.length(found) + 1, MAX_LENGTH))))
+        return F.coalesce(F.try_element_at(table, name), open_name)
+
+    value = bind(F.substring(entity, 2, MAX_LENGTH), named)
+    return F.when(entity.startswith("&#"), bind(number, _numeric_entity)).otherwise(F.coalesce(value, entity))
 
 
 def unescape(text: Column) -> Column:
-    """Decode HTML entities. Spark has no built-in for it, so this is the one Python function here.
+    """Decode HTML entities, as browsers and Python's ``html.unescape`` do.
 
-    Only texts with an ampersand travel to Python; the others are sent as NULL.
+    The text is cut at its entities, each is looked up, and the pieces are joined again. Texts without an
+    ampersand are passed on. :func:`bind` the result where it is used several times.
     """
-    return F.coalesce(_decoder()(F.when(text.contains("&"), text)), text)
+    def decode(whole):
+        values = F.transform(find_all(whole, _ENTITY, 0), _entity_value)
+        return F.array_join(F.zip_with(F.split(whole, _ENTITY, -1), values, lambda piece, value: F.concat(
+            piece, F.coalesce(value, F.lit("")))), "")
+    return bind(text, lambda whole: F.when(whole.contains("&"), decode(whole)).otherwise(whole))

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigbook import fixed
-from rigbook.functions.text import (bind, contains_any, decimal_to_int, find, find_all, find_or_empty, strip,
-                                    strip_tags, to_int, unescape)
+from rigbook.functions.text import (MAX_LENGTH, bind, contains_any, decimal_to_int, find, find_all,
+                                    find_or_empty, strip, strip_tags, to_int, unescape)
 from rigbook.operators.crawl import first_seen
 from rigbook.schemas import COMPONENTS, PREBUILT_FEED
 
@@ -19,10 +19,17 @@ MARKUP_PRICE = r'(?U)woocommerce-Price-amount amount">\s*<bdi>\s*<span[^>]+>[^<]
 SHARED_IMAGE = r'<meta property="og:image" content="([^"]+)"'
 PLACEHOLDER = "woocommerce-placeholder"
 
+# Product links on the category pages.
+ZESTRO_LINK = r'href="(https://zestrogaming\.com/product/[^"?#]+)"'
+REDTECH_LINK = r'href="(https://redtech\.pk/product/[^"?#]+)"'
+TECHMATCHED_LINK = r'href="(https://techmatched\.pk/product/[^"?#]+)"'
+
 # Patterns of the component lists; group 1 is the label, group 2 the value.
 SECTION_TITLE = "Full Spec"
+SECTION_END = r'(?i)<h[1-3][\s>]|</section>'
 SECTION_PAIR = r'(?s)<strong>(.*?)</strong>(.*?)(?=<strong>|</p>|<br|</div>)'
-ICON_ITEM = r'(?is)<li[^>]*>.*?<img[^>]+src="[^"]*icon-([a-z]+)[^"]*"[^>]*/?>(.{3,}?)</li>'
+ICON_VALUE = r'(?is)^[^>]*>.*?<img[^>]+src="[^"]*icon-([a-z]+)[^"]*"[^>]*/?>(.{3,}?)</li>'
+LIST_ITEM = r'(?i)<li(?=[\s>])'
 TABLE_PAIR = (r'(?iU)<tr[^>]*>\s*<td[^>]*>\s*([^<]{2,}?)\s*</td>\s*'
               r'<td[^>]*>\s*([^<]{2,}?)\s*</td>')
 STRONG_PAIR = (r'(?iU)<strong>\s*([^<]{2,}?)\s*:?\s*</strong>\s*(?:<br\s*/?>|:)?\s*'
@@ -57,16 +64,22 @@ def _pairs(labels: Column, values: Column) -> Column:
 
 
 def _section_pairs(html: Column) -> Column:
-    """Pairs of the specification section, which is the text from its title on; unknown labels are dropped later."""
+    """Pairs of the specification section, from its title to its end or the next heading, so that lists of other
+    products further down the page fill no gap; unknown labels are dropped later."""
     start = F.locate(SECTION_TITLE, html)
-    section = F.when(start > 0, F.substring(html, start, F.length(html)))
-    return _pairs(find_all(section, SECTION_PAIR, 1), find_all(section, SECTION_PAIR, 2))
+    section = F.when(start > 0, F.get(F.split(F.substring(html, start, F.length(html)), SECTION_END, 2), F.lit(0)))
+    return bind(section, lambda text: _pairs(find_all(text, SECTION_PAIR, 1), find_all(text, SECTION_PAIR, 2)))
 
 
 def _icon_pairs(html: Column) -> Column:
-    """The icon's file name is the label, and has to be in small letters."""
-    return F.zip_with(find_all(html, ICON_ITEM, 1), find_all(html, ICON_ITEM, 2), lambda l, v: F.struct(
-        l.alias("label"), strip(strip_tags(v)).alias("value")))
+    """The icon's file name is the label, and has to be in small letters.
+
+    The page is cut into its list items first, so that an item without an icon is looked through once.
+    """
+    items = F.slice(F.split(html, LIST_ITEM), 2, MAX_LENGTH)
+    return F.transform(F.filter(items, lambda item: item.rlike(ICON_VALUE)), lambda item: F.struct(
+        F.regexp_extract(item, ICON_VALUE, 1).alias("label"),
+        strip(strip_tags(F.regexp_extract(item, ICON_VALUE, 2))).alias("value")))
 
 
 def _table_pairs(html: Column) -> Column:
@@ -101,13 +114,13 @@ def _arrow_pairs(html: Column) -> Column:
 
 DETAIL_PROFILES = {
     "zestrogaming.com": DetailProfile(
-        links=r'href="(https://zestrogaming\.com/product/[^"?#]+)"',
+        links=ZESTRO_LINK,
         components=(_section_pairs, _icon_pairs), keep_without_components=True),
     "redtech.pk": DetailProfile(
-        links=r'href="(https://redtech\.pk/product/[^"?#]+)"',
+        links=REDTECH_LINK,
         components=(_table_pairs, _emphasis_pairs(STRONG_PAIR))),
     "techmatched.pk": DetailProfile(
-        links=r'href="(https://techmatched\.pk/product/[^"?#]+)"',
+        links=TECHMATCHED_LINK,
         components=(_arrow_pairs, _emphasis_pairs(BOLD_PAIR))),
 }
 
@@ -185,7 +198,7 @@ def extract_details(pages: DataFrame, source: str) -> DataFrame:
         rows = rows.where("size(hits) > 0")
     rows = rows.select("*", unescape(F.col("title")).alias("name"))
     if fixed.NOT_A_SYSTEM[source]:
-        rows = rows.where(~contains_any(F.lower("name"), fixed.NOT_A_SYSTEM[source]))
+        rows = rows.where(bind(F.lower("name"), lambda name: ~contains_any(name, fixed.NOT_A_SYSTEM[source])))
     return rows.select(
         "name", "price_pkr", "url", "source", F.col("fetched_at").alias("scraped_at"), "thumbnail_url",
         component_struct(F.col("hits"), source).alias("components"),

@@ -83,6 +83,27 @@ PAKBYTE_BASE = "https://www.pakbyte.pk"
 JUNAIDTECH_BASE = "https://www.junaidtech.pk"
 JUNAIDTECH_FILES = "https://static.webx.pk/files"
 
+# Addresses of products, prices and pictures by shop, by preference where there are several.
+ZAH_URL = r'href="(https://zahcomputers\.pk/product/[^"]+)"'
+TECHARC_URL = (r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://techarc\.pk/[^"?#]+)"',
+               r'href="(https://techarc\.pk/[^"?#]+/)"')
+REDTECH_URL = (r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://redtech\.pk/[^"?#]+)"',
+               r'href="(https://redtech\.pk/product/[^"?#]+)"')
+REDTECH_PRICE = (r"(?sU)<ins[^>]*>.*?" + WOODMART_SYMBOL_PRICE, "(?sU)" + WOODMART_SYMBOL_PRICE)
+AMDHOUSE_URL = (FLATSOME_URL, r'href="(https://amdhouse\.pk/product/[^"]+)"')
+AMDHOUSE_IMAGE = r'<img[^>]+src="(https://amdhouse\.pk/wp-content/uploads/[^"]+)"'
+RBTECH_URL = (r'href="(https://rbtechngames\.com/[^"]+)"[^>]*class="woocommerce-LoopProduct',
+              r'href="(https://rbtechngames\.com/shop[^"]+)"',
+              r'href="(https://rbtechngames\.com/[^"]+)"')
+RBTECH_IMAGE = (FLATSOME_POST_IMAGE, r'<img[^>]+src="(https://rbtechngames\.com/wp-content/uploads/[^"]+)"')
+
+# Marks of sold-out cards and of stand-in pictures, and one shop's slogan round its names, in small letters.
+SOLD_OUT = "outofstock"
+SHOPIFY_SOLD_OUT = ("inventory--out", "sold-out")
+SHOPIFY_STAND_INS = ("placeholder", "no-image")
+LAZY = "lazy"
+SLOGAN_HEAD, SLOGAN_TAIL = "buy ", "| techmatched"
+
 # The only entities one shop's names are decoded from.
 THREE_ENTITIES = (("&#8211;", "–"), ("&amp;", "&"), ("&#039;", "'"))
 
@@ -144,7 +165,7 @@ def _contains(*words: str) -> ColumnStep:
 
 def _marked_out_of_stock(leading_class: str, stock: str) -> ColumnStep:
     """Sold out by the class of the card's own tag or by a stock paragraph; nested hints do not count."""
-    return lambda card: (F.regexp_extract(card, leading_class, 1).contains("outofstock")
+    return lambda card: (F.regexp_extract(card, leading_class, 1).contains(SOLD_OUT)
                          | card.rlike(stock))
 
 
@@ -165,10 +186,14 @@ def _three_entities(text: Column) -> Column:
 
 def _without_slogan(text: Column) -> Column:
     """Drop the shop's 'Buy …' in front and '… | TechMatched' behind."""
-    name = _decoded(text)
-    name = F.when(F.lower(name).startswith("buy "), strip(F.substring(name, 5, MAX_LENGTH))).otherwise(name)
-    head = F.regexp_replace(name, r"(?i)\| techmatched$", "")
-    return F.when(F.lower(name).endswith("| techmatched"), strip(F.rtrim(head, F.lit(" |")))).otherwise(name)
+    def without_head(name):
+        return F.when(F.lower(name).startswith(SLOGAN_HEAD),
+                      strip(F.substring(name, len(SLOGAN_HEAD) + 1, MAX_LENGTH))).otherwise(name)
+
+    def without_tail(name):
+        head = strip(F.rtrim(F.substring(name, F.lit(1), F.length(name) - len(SLOGAN_TAIL)), F.lit(" |")))
+        return F.when(F.lower(name).endswith(SLOGAN_TAIL), head).otherwise(name)
+    return bind(bind(_decoded(text), without_head), without_tail)
 
 
 def _real(address: Column, *unwanted: str) -> Column:
@@ -178,7 +203,7 @@ def _real(address: Column, *unwanted: str) -> Column:
 
 def _lazy_thumbnail(card: Column) -> Column:
     return F.coalesce(_real(find(card, WOODMART_SLIDE)), _real(find(card, WOODMART_LAZY_IMAGE)),
-                      _real(find(card, WOODMART_ANY_IMAGE), "lazy"))
+                      _real(find(card, WOODMART_ANY_IMAGE), LAZY))
 
 
 def _shopify_price(card: Column) -> Column:
@@ -187,12 +212,12 @@ def _shopify_price(card: Column) -> Column:
 
 
 def _shopify_amount(text: Column) -> Column:
-    return to_int(find(unescape(text), SHOPIFY_AMOUNT, SHOPIFY_DIGITS))
+    return bind(unescape(text), lambda amount: to_int(find(amount, SHOPIFY_AMOUNT, SHOPIFY_DIGITS)))
 
 
 def _shopify_thumbnail(card: Column) -> Column:
     src = find(card, *SHOPIFY_IMAGE)
-    src = F.when(~_contains("placeholder", "no-image")(F.lower(src)), src)
+    src = F.when(~_contains(*SHOPIFY_STAND_INS)(F.lower(src)), src)
     src = F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).otherwise(src)
     return F.rtrim(F.regexp_replace(src, SHOPIFY_WIDTH, "$1"), F.lit("?&"))
 
@@ -200,18 +225,17 @@ def _shopify_thumbnail(card: Column) -> Column:
 PROFILES = {
     "zahcomputers.pk": CardProfile(
         cards=_split_after(WOODMART_CARD),
-        sold_out=_contains("outofstock"),
+        sold_out=_contains(SOLD_OUT),
         name=_first(WOODMART_NAME), clean_name=strip,
-        url=_first(r'href="(https://zahcomputers\.pk/product/[^"]+)"'),
+        url=_first(ZAH_URL),
         price=_first(WOODMART_SALE, WOODMART_PRICE),
         thumbnail=lambda card: _real(find(card, WOODMART_SLIDE)),
     ),
     "techarc.pk": CardProfile(
         cards=_split_after(WOODMART_CARD),
-        sold_out=_contains("outofstock"),
+        sold_out=_contains(SOLD_OUT),
         name=_first(WOODMART_NAME), clean_name=_decoded,
-        url=_first(r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://techarc\.pk/[^"?#]+)"',
-                   r'href="(https://techarc\.pk/[^"?#]+/)"'),
+        url=_first(*TECHARC_URL),
         price=_first(WOODMART_SALE, WOODMART_PRICE),
         thumbnail=lambda card: F.coalesce(_real(find(card, WOODMART_SLIDE)),
                                           _real(find(card, WOODMART_IMAGE))),
@@ -220,33 +244,29 @@ PROFILES = {
         cards=_split_before(WOODMART_CARD_TAG),
         sold_out=_marked_out_of_stock(WOODMART_LEADING_CLASS, WOODMART_STOCK),
         name=_first(WOODMART_NAME, WOODMART_TITLE), clean_name=_decoded,
-        url=_first(r'(?U)class="wd-product-img-link[^"]*"\s+href="(https://redtech\.pk/[^"?#]+)"',
-                   r'href="(https://redtech\.pk/product/[^"?#]+)"'),
-        price=_first(r"(?sU)<ins[^>]*>.*?" + WOODMART_SYMBOL_PRICE, "(?sU)" + WOODMART_SYMBOL_PRICE),
+        url=_first(*REDTECH_URL),
+        price=_first(*REDTECH_PRICE),
         thumbnail=_lazy_thumbnail,
     ),
     "amdhouse.pk": CardProfile(
         cards=_pieces_with(FLATSOME_CARD, FLATSOME_TITLE),
         sold_out=_never,
         name=_first(FLATSOME_NAME), clean_name=strip,
-        url=_first(FLATSOME_URL, r'href="(https://amdhouse\.pk/product/[^"]+)"'),
+        url=_first(*AMDHOUSE_URL),
         price=_first(FLATSOME_PRICE),
-        thumbnail=_first(r'<img[^>]+src="(https://amdhouse\.pk/wp-content/uploads/[^"]+)"'),
+        thumbnail=_first(AMDHOUSE_IMAGE),
     ),
     "rbtechngames.com": CardProfile(
         cards=_pieces_with(FLATSOME_CARD, FLATSOME_TITLE),
         sold_out=_never,
         name=_first(FLATSOME_NAME), clean_name=_three_entities,
-        url=_first(r'href="(https://rbtechngames\.com/[^"]+)"[^>]*class="woocommerce-LoopProduct',
-                   r'href="(https://rbtechngames\.com/shop[^"]+)"',
-                   r'href="(https://rbtechngames\.com/[^"]+)"'),
+        url=_first(*RBTECH_URL),
         price=_first(FLATSOME_PRICE),
-        thumbnail=_first(FLATSOME_POST_IMAGE,
-                         r'<img[^>]+src="(https://rbtechngames\.com/wp-content/uploads/[^"]+)"'),
+        thumbnail=_first(*RBTECH_IMAGE),
     ),
     "pakbyte.pk": CardProfile(
         cards=_split_after(SHOPIFY_CARD),
-        sold_out=_contains("inventory--out", "sold-out"),
+        sold_out=_contains(*SHOPIFY_SOLD_OUT),
         name=_first(SHOPIFY_NAME), clean_name=_decoded,
         url=lambda card: F.concat(F.lit(PAKBYTE_BASE), find(card, SHOPIFY_URL)),
         price=_shopify_price, clean_price=_shopify_amount,

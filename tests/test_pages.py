@@ -258,6 +258,26 @@ def test_detail_a(spark):
           ("", None, None, None)]
 
 
+def test_a_section_ends_where_other_products_begin(spark):
+    spec = "<h2>Full Specifications</h2><p><strong>CPU</strong>i5<br><strong>RAM</strong>" + "8GB " * 3000 + "</p>"
+    other = "<p><strong>GPU</strong>RTX 4090</p>"
+    late = "<p>" + "x" * 20_000 + "</p><p><strong>PSU</strong>650W</p>"
+    long = ("8GB " * 3000).strip()
+    assert [d[3] for d in details(
+        spark, "zestrogaming.com", f"<h1>A</h1>{spec}<h2 class='r'>Related</h2>{other}",
+        f"<h1>B</h1><section>{spec}</section>{other}", f"<h1>C</h1>{spec}{late}<hr>{other}",
+    )] == [{"cpu": "i5", "ram": long}, {"cpu": "i5", "ram": long},
+           {"cpu": "i5", "ram": long, "psu": "650W", "gpu": "RTX 4090"}]
+
+
+def test_icons_are_looked_for_item_by_item(spark):
+    plain = "<li>no icon</li>" * 20_000
+    icons = ('<li class="a"><b>x</b><img class="i" src="/icon-cpu-80.png" alt=""/> i7 <b>K</b></li>'
+             '<LI><img src="/icon-ram.png">16GB</LI><li><img src="/logo.png">none</li>')
+    assert details(spark, "zestrogaming.com", f'<link rel="x"><h1>A</h1><ul>{plain}{icons}{plain}</ul>') == [
+        ("A", None, None, {"cpu": "i7 K", "ram": "16GB"})]
+
+
 def test_detail_b(spark):
     table = ("<tr><td> CPU: </td><td> i5 </td><td>New</td></tr><tr><td>Processor</td><td>i7</td></tr>"
              "<tr><td>NVMe</td><td>—</td></tr><tr><td>SSD</td><td>1TB</td></tr>"
@@ -280,6 +300,14 @@ def test_detail_c(spark):
           ("B", None, None, {"os": "11 Pro"})]
 
 
+@pytest.mark.parametrize("source", ["zestrogaming.com", "redtech.pk", "techmatched.pk"])
+def test_links_of_each_shop(spark, source):
+    own, other = f"https://{source}/product/", "https://elsewhere.pk/product/"
+    page = f'<a href="{own}b"><a href="{other}x"><a href="{own}a"><a href="{own}q?y"><a href="{own}h#z"><a href="{own}b">'
+    rows = product_links(spark.createDataFrame([(source, None, 1, "u", page, AT)], schemas.PAGES), source)
+    assert [(r["pos"], r["url"]) for r in rows.orderBy("pos").collect()] == [(0, own + "b"), (1, own + "a")]
+
+
 def test_product_links(spark):
     def link(n):
         return f'<a href="https://zestrogaming.com/product/{n}">'

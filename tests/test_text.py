@@ -1,6 +1,7 @@
 """Text helpers, against Python's own notion of the same."""
 
 import html
+from html.entities import html5
 import re
 
 import pytest
@@ -72,6 +73,27 @@ def test_unescape(spark):
     assert column(spark, values, X.unescape(F.col("t"))) == [v and html.unescape(v) for v in values]
 
 
+def test_unescape_knows_every_name(spark):
+    names = sorted(html5)
+    values = [form for name in names for form in (f"&{name}", f"a&{name}b&{name}", f"&{name[:-1]}x;", f"&{name[:3]} ")]
+    values += ["&", "&&amp", "&;", "&#;", "&#x;", "&ampamp;", "&notit;", "&" + "a" * 40 + ";", "x&lt\ny", "&Amp;", "\U0001f600&gt;é"]
+    found = column(spark, values, X.unescape(F.col("t")))
+    assert [(v, f) for v, f in zip(values, found) if f != html.unescape(v)] == []
+
+
+def test_unescape_knows_every_number(spark):
+    near = [n for plane in range(1, 18) for n in range(plane * 0x10000 - 3, plane * 0x10000 + 3)]
+    numbers = [*range(0x500), *range(0xD7FE, 0xE002), *range(0xFDCE, 0xFDF2), 0xFEFF, 0xFFFD, *near, 10**7, 10**8, 10**30]
+    values = [form for n in numbers for form in (f"&#{n};", f"&#x{n:x};", f"&#X{n:X}.", f"&#000000000{n}")]
+    found = column(spark, values, X.unescape(F.col("t")))
+    assert [(v, f) for v, f in zip(values, found) if f != html.unescape(v)] == []
+
+
+def test_unescape_stays_on_the_jvm(spark):
+    plan = spark.range(1).select(X.unescape(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "pythonUDF" not in plan
+
+
 @pytest.mark.parametrize("query, hits", [
     ("RTX", {"Rtx 40_60 100%", "xRTX"}), ("x_40", {"Rtx 40_60 100%"}), ("0%0", {"Rtx 40_60 100%"}),
     ("\\", {"back\\slash"}), ("ÜB", {"ÜBER"}), ("üb", {"über"}), ("(", {"a(b"}), ("100%%", {"Rtx 40_60 100%"}),
