@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigbook import fixed
+from rigbook.functions.text import bind
 from rigbook.schemas import SHARED_BUILDS
 from rigbook.session import cut_lineage
 
@@ -65,6 +66,74 @@ def save_builds(builds: DataFrame, shared: DataFrame, now: Column, salt: str | N
     raise RuntimeError(f"no unique share code after {fixed.CODE_ATTEMPTS} attempts")
 
 
+#: Numbers that a half of a code can be, and how often the halves are mixed.
+HALF = len(fixed.CODE_ALPHABET) ** (fixed.CODE_LENGTH // 2)
+ROUNDS = 8
+#: How many different codes there are.
+CODES = HALF * HALF
+
+
+def _mask(key: str, step: Column, half: Column) -> Column:
+    digest = F.sha2(F.concat_ws("/", F.lit(key), step.cast("string"), half.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % HALF
+
+
+def _halves(left: Column, right: Column) -> Column:
+    return F.struct(left.cast("bigint").alias("left"), right.cast("bigint").alias("right"))
+
+
+def code_of(number: Column, key: str) -> Column:
+    """The share code with this number, from 0 up to ``CODES``: a permutation of all codes that only ``key`` tells.
+
+    The number's two halves are mixed in turn, each step adding a keyed hash of one half to the other (a Feistel
+    network with addition modulo HALF). Every step can be taken back, so different numbers have different codes.
+    """
+    mixed = F.aggregate(
+        F.sequence(F.lit(0), F.lit(ROUNDS - 1)), _halves(F.floor(number / HALF), number % HALF),
+        lambda s, step: _halves(s["right"], (s["left"] + _mask(key, step, s["right"])) % HALF))
+
+    def letters(half):
+        digits = [F.floor(half / 62 ** k) % 62 for k in range(fixed.CODE_LENGTH // 2 - 1, -1, -1)]
+        return [F.substring(F.lit(fixed.CODE_ALPHABET), d.cast("int") + 1, F.lit(1)) for d in digits]
+    return bind(mixed, lambda s: F.concat(*letters(s["left"]), *letters(s["right"])))
+
+
+def number_of(code: Column, key: str) -> Column:
+    """The number whose code this is, the inverse of :func:`code_of`; NULL for what is no such code."""
+    def half(begin):
+        digits = [F.position(F.substring(code, begin + k, 1), F.lit(fixed.CODE_ALPHABET)) - 1
+                  for k in range(fixed.CODE_LENGTH // 2)]
+        return sum((d.cast("bigint") * 62 ** k for k, d in enumerate(reversed(digits))), F.lit(0))
+    mixed = F.aggregate(
+        F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)), _halves(half(1), half(1 + fixed.CODE_LENGTH // 2)),
+        lambda s, step: _halves(F.pmod(s["right"] - _mask(key, step, s["left"]), F.lit(HALF)), s["left"]))
+    known = code.rlike(rf"\A[{fixed.CODE_ALPHABET}]{{{fixed.CODE_LENGTH}}}\z")
+    return F.when(known, bind(mixed, lambda s: s["left"] * HALF + s["right"]))
+
+
+def save_builds_in_range(builds: DataFrame, first: int, now: Column, key: str) -> tuple[DataFrame, int]:
+    """Give each new part list (build_id, slots) a code out of the numbers from ``first`` on, and say where the next
+    range begins.
+
+    The codes are unique by construction, so none is looked up: neither the saved ones nor those of other jobs, as long
+    as all codes come from this key and the caller hands out each range once, say from a counter. Lists are
+    numbered in the order of a written table: tasks count their rows, and a running sum of these counts, one row for
+    each task, gives each its place. So a task that is run again hands out the same numbers.
+    """
+    rows = cut_lineage(drop_empty_slots(builds).select("build_id", "slots")
+                       .withColumn("place", F.monotonically_increasing_id()))
+    task = F.shiftright("place", 33)        # the identifier is the task's number and, in 33 bits, the row's
+    tasks = rows.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(tasks.select("task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    end = first + (starts.agg(F.sum("n")).first()[0] or 0)
+    if not 0 <= first <= end <= CODES:
+        raise ValueError(f"no codes from {first} to {end}; there are {CODES}")
+    number = F.lit(first) + F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)
+    coded = rows.join(starts, task == F.col("task")).select("build_id", code_of(number, key).alias("code"), "slots")
+    return coded.withColumn("created_at", now), end
+
+
 def resolve_builds(shared: DataFrame, parts: DataFrame, latest: DataFrame) -> DataFrame:
     """One row per slot of each saved list, with the part and its latest price, which may be NULL.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed
 from rigbook.operators.cleaning import clean_feed
-from rigbook.operators.crawl import first_seen
+from rigbook.operators.crawl import first_seen, unmatched_pages
 from rigbook.operators.details import extract_details
 from rigbook.operators.listing import extract_listing
 from rigbook.operators.loading import (backfill_specs, fold_listing, fold_prebuilts, merge_listing, merge_prebuilts,
@@ -125,10 +125,16 @@ def refresh_parts(tables: CatalogueTables, pages: DataFrame, now: Column | None
                   sources=fixed.PART_SOURCES):
     """All shops' listing pages into the catalogue, all or nothing; returns (new price rows, report). The shops'
     feeds are one batch: a product without category aborts the load of all of them, as rows are checked before
-    anything is written."""
+    anything is written. The report also has ``unmatched``: each shop's pages that belong to no known seed and so
+    gave no rows."""
     jobs = {s: (lambda s=s: listing_feed(pages, s)) for s in sources}
     with scratch_run(tables.spark):
         feed, report = collect_sources(tables.spark, jobs)
+        # A row for each shop, worked out now: the pages may be gone when the report is read.
+        strays = {r.source: r.unmatched for r in unmatched_pages(pages.where(F.col("source").isin(*sources))).collect()}
+        report = tables.spark.createDataFrame(
+            [(*r, strays.get(r.source, 0)) for r in report.collect()],
+            "source string, n bigint, warning boolean, error string, unmatched bigint")
         return (load_feed(tables, feed, now) if feed is not None else 0), report
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rigbook import fixed, schemas
@@ -178,6 +179,28 @@ def stored_tables(spark, sf_dir):
             .join(tables.price_log().select("part_id", "price_pkr", "scraped_at"), "part_id"))
 
 
+@query(f"""WITH {CATALOGUE_SQL.replace("FROM feed", "FROM (SELECT * FROM feed WHERE source <> 'redtech.pk')")}
+SELECT p.part_id, source, source_id, name, category, url, thumbnail_url, price_pkr, scraped_at, true AS aborted
+FROM parts p JOIN price_log l USING (part_id, source, source_id)""")
+def aborted_load(spark, sf_dir):
+    """The feed of all shops but one is loaded; then all of it, where one of that shop's rows has no category, which
+    stops the load. What is stored is that of the first load."""
+    tables, feed = CatalogueTables(spark, scratch_path(spark, "tables")), product_feed(spark, sf_dir)
+    load_feed(tables, feed.where("source <> 'redtech.pk'"), F.lit(FIRST_RUN))
+    last = feed.where("source = 'redtech.pk'").agg(F.max("seq").alias("seq")).first().seq
+    is_last = (F.col("source") == "redtech.pk") & (F.col("seq") == F.struct(*map(F.lit, last)).cast(
+        feed.schema["seq"].dataType))
+    broken = feed.withColumn("category", F.when(~is_last, F.col("category")))
+    try:
+        load_feed(tables, broken, F.lit(SECOND_RUN))
+        aborted = False
+    except PySparkException as error:
+        aborted = "feed row without a category" in str(error)
+    return (tables.parts().select(*PART_COLUMNS)
+            .join(tables.price_log().select("part_id", "price_pkr", "scraped_at"), "part_id")
+            .withColumn("aborted", F.lit(aborted)))
+
+
 @query(f"""WITH {CATALOGUE_SQL}
 SELECT source, source_id, name, thumbnail_url, price_pkr, scraped_at
 FROM parts p JOIN price_log l USING (part_id, source, source_id)""")
@@ -405,6 +428,38 @@ def save_builds(spark, sf_dir):
     return saved.select("build_id", F.size("slots").cast("bigint").alias("slots"), "code")
 
 
+_HALF = 62 ** 3
+_RANGE_CODES_SQL = f"""steps AS (
+  SELECT o_orderkey, 0 AS step, o_orderkey // {_HALF} AS a, o_orderkey % {_HALF} AS b FROM orders
+  UNION ALL
+  SELECT o_orderkey, step + 1, b,
+         (a + CAST('0x' || substr(sha256('sample/' || step || '/' || b), 1, 15) AS BIGINT) % {_HALF}) % {_HALF}
+  FROM steps WHERE step < 8)"""
+_HALF_LETTERS = " || ".join("substr('" + fixed.CODE_ALPHABET + f"', CAST({{0}} // {62 ** k} % 62 + 1 AS INT), 1)"
+                            for k in (2, 1, 0))
+
+
+@query(f"""WITH RECURSIVE {_RANGE_CODES_SQL}
+SELECT o_orderkey, {_HALF_LETTERS.format("a")} || {_HALF_LETTERS.format("b")} AS code, o_orderkey AS number
+FROM steps WHERE step = 8""")
+def range_codes(spark, sf_dir):
+    """The share code that each order's key has as a number, and the number read back from the code."""
+    coded = table(spark, sf_dir, "orders").select("o_orderkey", builds.code_of(F.col("o_orderkey"), "sample").alias("code"))
+    return coded.withColumn("number", builds.number_of(F.col("code"), "sample"))
+
+
+@query(f"""WITH {PART_LISTS_SQL},
+saved AS (SELECT build_id, count(*) AS slots FROM build_lines GROUP BY build_id)
+SELECT build_id, slots, 1000 AS least, 999 + (SELECT count(*) FROM saved) AS largest,
+       (SELECT count(*) FROM saved) AS numbers FROM saved""")
+def save_builds_in_range(spark, sf_dir):
+    """All part lists saved under a range of numbers: which ones were handed out, beside each list."""
+    saved, _ = builds.save_builds_in_range(part_lists(spark, sf_dir), 1000, F.lit(FIRST_RUN), "sample")
+    numbers = saved.select(builds.number_of(F.col("code"), "sample").alias("number")).agg(
+        F.min("number").alias("least"), F.max("number").alias("largest"), F.count_distinct("number").alias("numbers"))
+    return saved.select("build_id", F.size("slots").cast("bigint").alias("slots")).join(F.broadcast(numbers))
+
+
 @query(f"""WITH {CATALOGUE_SQL}, {PART_LISTS_SQL},
 last_slots AS (SELECT build_id, part_id, max(slot_no) AS slot_no FROM build_lines GROUP BY ALL)
 SELECT CAST(build_id AS VARCHAR) AS code, {sql_pick(fixed.BUILD_SLOTS, "slot_no")} AS slot, part_id,

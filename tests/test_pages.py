@@ -384,10 +384,13 @@ def test_systems_are_committed_shop_by_shop(spark):
 def test_refresh_from_pages(spark):
     tables = CatalogueTables(spark, scratch_path(spark, "tables"))
     html = jsonld([{"name": "MSI RTX 4060 8GB", "url": "/a"}], ["90,000"])
-    crawled = pages(spark, "czone.com.pk", html).unionByName(pages(spark, "techarc.pk", "nothing"))
+    stray = [("techarc.pk", "https://techarc.pk/unknown", 1, "https://techarc.pk/unknown", html, AT)]
+    crawled = (pages(spark, "czone.com.pk", html).unionByName(pages(spark, "techarc.pk", "nothing"))
+               .unionByName(spark.createDataFrame(stray, schemas.PAGES)))
     written, report = refresh.refresh_parts(tables, crawled, sources=("czone.com.pk", "techarc.pk"))
     assert written == 1 and tables.parts().first()["specs"]["vram"] == "8GB"
-    assert {r["source"]: r["n"] for r in report.collect()} == {"czone.com.pk": 1, "techarc.pk": 0}
+    assert {r["source"]: (r["n"], r["unmatched"]) for r in report.collect()} == {
+        "czone.com.pk": (1, 0), "techarc.pk": (0, 1)}
     systems = [("zestrogaming.com", None, 1, "https://z/p", '<h1>PC</h1>"price": 5', AT)]
     n, _ = refresh.refresh_prebuilts(tables, spark.createDataFrame(systems, schemas.PAGES))
     assert n == 1 and tables.prebuilts().first()["name"] == "PC"

@@ -169,6 +169,39 @@ def test_no_free_code(spark, monkeypatch):
         builds.save_builds(lists(spark, {"cpu": "1"}, {"cpu": "2"}), shared(spark), F.lit(T1))
 
 
+def test_codes_of_a_range_are_a_permutation(spark):
+    edges = [0, 1, builds.HALF - 1, builds.HALF, builds.HALF + 1, builds.CODES - 2, builds.CODES - 1]
+    numbers = spark.range(300_000).unionByName(spark.createDataFrame([(n,) for n in edges[3:]], "id long"))
+    coded = numbers.select("id", builds.code_of(F.col("id"), "key").alias("code"))
+    found = coded.select("id", "code", builds.number_of(F.col("code"), "key").alias("back"),
+                         builds.number_of(F.col("code"), "other").alias("other"),
+                         builds.is_valid_code(F.col("code")).alias("valid"))
+    seen = found.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("code").alias("codes"),
+                     F.count_if("valid").alias("valid"), F.count_if(F.col("id") == F.col("back")).alias("back"),
+                     F.count_if(F.col("id") == F.col("other")).alias("other")).first()
+    assert seen.ids == seen.codes and seen.n == seen.valid == seen.back and seen.other < 5
+    # Neighbouring numbers show nothing of each other: each place of a code takes all letters.
+    letters = coded.where("id < 5000").select("code").collect()
+    assert all(len({r.code[k] for r in letters}) == 62 for k in range(6))
+
+
+def test_number_of_what_is_no_code(spark):
+    rows = spark.createDataFrame([(x,) for x in (None, "", "abc", "abcde-", "abcdeä", "abcdefg", "abcdef\n")], "code string")
+    assert [r[0] for r in rows.select(builds.number_of(F.col("code"), "key")).collect()] == [None] * 7
+
+
+def test_ranges_follow_each_other(spark):
+    now = F.lit(T1)
+    first, end = builds.save_builds_in_range(lists(spark, *[{"cpu": "1", "gpu": None}] * 57), 10, now, "key")
+    second, last = builds.save_builds_in_range(lists(spark, *[{"cpu": "2"}] * 3), end, now, "key")
+    none, same = builds.save_builds_in_range(lists(spark, {"cpu": "2"}).limit(0), last, now, "key")
+    assert (end, last, same, none.count()) == (67, 70, 70, 0)
+    both = first.unionByName(second).select("slots", builds.number_of(F.col("code"), "key").alias("n")).collect()
+    assert sorted(r.n for r in both) == list(range(10, 70)) and all(None not in r.slots.values() for r in both)
+    with pytest.raises(ValueError, match="no codes"):
+        builds.save_builds_in_range(lists(spark, {"cpu": "1"}), builds.CODES, now, "key")
+
+
 def test_repeated_build_id_is_refused(spark):
     twice = lists(spark, {"cpu": "1"}).unionAll(lists(spark, {"cpu": "2"}))
     with pytest.raises(ValueError, match="not unique"):
