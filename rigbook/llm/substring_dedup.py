@@ -3,11 +3,15 @@
 A paragraph is a line, and a line of several sentences is as many paragraphs as it has sentences of some
 length, so that a passage is found wherever it was pasted. Paragraphs of equal words are one; the different
 ones are banded for high recall, those that collide are verified by their exact Jaccard similarity, and what
-is connected is one class. Of a class that stands in several documents, the first document keeps it. In the
-others, neighbouring repeated paragraphs form passages, which go if they are long enough.
+is connected is one class. Long paragraphs are cut into pieces as well, behind words whose hash says so: a passage
+pasted between two marks has the same cuts everywhere, and its pieces are classes if they are equal. Of a class
+that stands in several documents, the first document keeps it. In the others, neighbouring repeated paragraphs
+and pieces form passages, which go if they are long enough.
 """
 
+import bisect
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,29 +30,49 @@ SHINGLE, PERCENT = 5, 80
 BANDS, BAND_ROWS = 6, 2
 #: Words below which a sentence goes with the next one of its line.
 SENTENCE_WORDS = 5
+#: Words above which a paragraph is cut into pieces too: of a passage of over 50 words, shorter ones at its ends leave half.
+LONG_WORDS = 24
+#: Least words of a piece, and the share of words behind which it may end: 8 words on average.
+PIECE_WORDS, PIECE_RATE = 4, 4
 #: Shingles below which no set is similar to another without being equal.
 LEAST = PERCENT // (100 - PERCENT)
-#: Words from which neighbouring repeated paragraphs are a passage.
+#: Words from which neighbouring repeated paragraphs are a passage, unless the caller says otherwise: half of the 50
+#: words that make a passage, as one that begins and ends inside paragraphs is seen without its ends.
 PASSAGE_WORDS = 25
 BLOCK = 512
 #: So many paragraphs a task remembers to have sent, before it starts afresh.
 REMEMBERED = 500_000
 
 _BREAKS = re.compile(r"[.!?]+(?=\s)|\n").finditer
+_WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
 
-PARAGRAPHS = "doc_id long, number int, begin int, end int, n_words int, digest long, words binary"
+PARAGRAPHS = "row long, doc_id long, at int, begin int, end int, n_words int, digest long, words binary"
 
 
-def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(begin, end, words) of each paragraph, in characters; words lie between blanks, A-Z lower-cased."""
+def pieces_of(text: str, begin: int, end: int, words: list[bytes]) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(begin, end, number of the first word, words) of the pieces of a long paragraph, which fill it."""
+    first = 0
+    for k, found in enumerate(_WORDS(text, begin, end)):
+        if k + 1 == len(words) or k + 1 - first >= PIECE_WORDS and not zlib.crc32(words[k]) % PIECE_RATE:
+            cut = end if k + 1 == len(words) else found.end()
+            yield begin, cut, first, words[first:k + 1]
+            begin, first = cut, k + 1
+
+
+def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, int, list[bytes], bool]]:
+    """(begin, end, number of the first word, words, is whole) of each paragraph, and of each piece of long ones. Places
+    are in characters, and those of paragraphs follow each other without a gap; words lie between blanks, A-Z
+    lower-cased."""
     text = text or ""
-    begin = 0
+    begin = at = 0
     for cut in [*(found.end() for found in _BREAKS(text)), len(text)]:
         words = text[begin:cut].encode().translate(LOWER_BYTES).split()
-        if len(words) >= SENTENCE_WORDS or cut == len(text) or text[cut - 1] == "\n":
-            if words:
-                yield begin, cut, words
-            begin = cut
+        if words and (len(words) >= SENTENCE_WORDS or cut == len(text) or text[cut - 1] == "\n"):
+            yield begin, cut, at, words, True
+            if len(words) > LONG_WORDS:
+                for a, b, first, part in pieces_of(text, begin, cut, words):
+                    yield a, b, at + first, part, False
+            begin, at = cut, at + len(words)
 
 
 def node_of(words: list[bytes]) -> int:
@@ -56,9 +80,10 @@ def node_of(words: list[bytes]) -> int:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """All paragraphs with their digests; narrow. Null texts and null ids have none.
+    """All paragraphs and pieces with their digests; narrow. Null texts and null ids have none. ``row`` numbers the
+    rows in the order of reading, ``at`` the words of a text.
 
-    ``words`` holds the words of those that can be like others without being equal, and is null elsewhere:
+    ``words`` holds the words of paragraphs that can be like others without being equal, and is null elsewhere:
     sets of fewer than five shingles are only ever similar from 80 % on if one has five, so all that can have
     four have it. Within a task the words of a digest are given once while it is remembered.
     """
@@ -67,24 +92,30 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            out = [[], [], [], [], [], [], []]
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, (a, b, words) in enumerate(paragraphs_of(text)):
-                    node, whole = node_of(words), None
-                    if len(words) >= SHINGLE + LEAST - 1 and node not in sent:
-                        whole = b" ".join(words)
+            out = [[], [], [], [], [], [], [], []]
+            for row, key, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                for begin, end, at, words, whole in paragraphs_of(text):
+                    node, sending = node_of(words), None
+                    if whole and len(words) >= SHINGLE + LEAST - 1 and node not in sent:
+                        sending = b" ".join(words)
                         sent.add(node)
-                    for column, x in zip(out, (key, k, a, b, len(words), node, whole), strict=True):
+                    for column, x in zip(out, (row, key, at, begin, end, len(words), node, sending), strict=True):
                         column.append(x)
             if len(sent) > REMEMBERED:
                 sent.clear()
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(out, kinds, strict=True)],
-                names=["doc_id", "number", "begin", "end", "n_words", "digest", "words"])
+                names=["row", "doc_id", "at", "begin", "end", "n_words", "digest", "words"])
+
+    rows = numbered(documents).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(cut, PARAGRAPHS)
 
-    rows = columns_of(documents, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PARAGRAPHS)
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """row, doc_id and text of all rows; the row is its number in the order of reading."""
+    return (columns_of(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+            .withColumn("row", F.monotonically_increasing_id()))
 
 
 def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,67 +194,97 @@ def repeated_paragraphs(documents: DataFrame) -> DataFrame:
     return rows.join(by_class.select("digest", "class_id").join(spread, "class_id"), "digest")
 
 
-def repeated_passages(documents: DataFrame) -> DataFrame:
-    """One row for each passage: doc_id, begin, end (in characters), n_words, class_id (of its first paragraph),
+Stretch = tuple[int, int, int, int, int, int]
+"""Words from and to, characters from and to, class and first document of repeated text."""
+
+
+def joined(stretches: Iterable[Stretch]) -> list[Stretch]:
+    """What overlaps or follows without a gap becomes one, with the class and first document of its beginning."""
+    out: list[Stretch] = []
+    for x in sorted(stretches):
+        if out and x[0] <= out[-1][1]:
+            last = out[-1]
+            out[-1] = (last[0], max(last[1], x[1]), last[2], max(last[3], x[3]), *last[4:])
+        else:
+            out.append(x)
+    return out
+
+
+def outside(stretch: Stretch, others: list[Stretch]) -> Iterator[Stretch]:
+    """The parts of a stretch that none of the others, joined and in order, covers."""
+    at, end, begin, stop, *rest = stretch
+    k = bisect.bisect_right(others, at, key=lambda x: x[1])
+    while at < end and k < len(others) and others[k][0] < end:
+        if others[k][0] > at:
+            yield at, others[k][0], begin, others[k][2], *rest
+        at, begin = others[k][1], others[k][3]
+        k += 1
+    if at < end:
+        yield at, end, begin, stop, *rest
+
+
+def repeated_passages(documents: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row for each passage: row, doc_id, begin, end (in characters), n_words, class_id (of its first paragraph),
     first_doc (the first document that has it), removed (this is not the first document).
 
-    A passage is a run of repeated paragraphs without another one between; runs of fewer than PASSAGE_WORDS
-    words are none. Grouped by document, so a group is no larger than a document.
+    A passage is a run of repeated paragraphs and pieces without anything between; runs of fewer than ``least_words``
+    words are none. What goes and what the document keeps are passages of their own kinds; where both cover a
+    word, it goes. Grouped by row, so a group is no larger than a text.
     """
     rows = repeated_paragraphs(documents)
-    parts = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(
-        "number", "begin", "end", "n_words", "class_id", "first_doc"))).alias("parts"))
+    parts = rows.groupBy("row", "doc_id").agg(F.collect_list(F.struct(
+        "at", "begin", "end", "n_words", "class_id", "first_doc")).alias("parts"))
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, found in zip(batch.column("doc_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                runs = []
+            for row, key, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "parts")), strict=True):
+                kinds: tuple[list[Stretch], list[Stretch]] = [], []
                 for p in found:
-                    # What the document itself has first is a passage of its own kind.
-                    if runs and p["number"] <= runs[-1][-1]["number"] + 1 and \
-                            (p["first_doc"] == key) == (runs[-1][-1]["first_doc"] == key):
-                        runs[-1].append(p)
-                    else:
-                        runs.append([p])
-                out += [(key, r[0]["begin"], r[-1]["end"], n, r[0]["class_id"], r[0]["first_doc"],
-                         r[0]["first_doc"] != key)
-                        for r in runs if (n := sum(p["n_words"] for p in r)) >= PASSAGE_WORDS]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[
-                "doc_id", "begin", "end", "n_words", "class_id", "first_doc", "removed"])
-
-    return parts.mapInArrow(join, "doc_id long, begin int, end int, n_words long, class_id long, first_doc long, "
-                                  "removed boolean")
-
-
-def substring_dedup(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_passages, n_repeated and n_removed (words in repeated passages, and in
-    those that an earlier document keeps), class_id and first_doc of its first passage, spans (what to remove).
+                    kinds[p["first_doc"] != key].append((p["at"], p["at"] + p["n_words"], p["begin"], p["end"],
+                                                         p["class_id"], p["first_doc"]))
+                gone = joined(kinds[True])
+                kept = joined(x for own in joined(kinds[False]) for x in outside(own, gone))
+                out += [(row, key, begin, end, to - at, of, first, removed)
+                        for runs, removed in ((gone, True), (kept, False))
+                        for at, to, begin, end, of, first in runs if to - at >= least_words]
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[
+                "row", "doc_id", "begin", "end", "n_words", "class_id", "first_doc", "removed"])
+
+    return parts.mapInArrow(join, "row long, doc_id long, begin int, end int, n_words long, class_id long, "
+                                  "first_doc long, removed boolean")
+
+
+def substring_dedup(documents: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per document: doc_id, row (its number in the order of reading), n_passages, n_repeated and n_removed
+    (words in repeated passages, and in those that an earlier document keeps), class_id and first_doc of its first
+    passage, spans (what to remove).
 
     A null or empty text has no passage, nor has a null id. Rows that repeat an id count as one document
-    whose paragraphs stand beside each other, so a passage in them alone is no repeat.
+    whose paragraphs stand beside each other, so a passage in them alone is no repeat; each has the spans of its own
+    text. Rows are told apart by their number, so ``documents`` should be a stored table.
     """
     spot = F.struct("begin", "end", "class_id", "first_doc")
-    by_doc = repeated_passages(documents).groupBy("doc_id").agg(
+    by_row = repeated_passages(documents, least_words).groupBy("row").agg(
         F.count("*").alias("n_passages"), F.sum("n_words").alias("n_repeated"),
         F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).alias("n_removed"), F.min(spot).alias("first"),
         F.sort_array(F.collect_list(F.when(F.col("removed"), F.struct("begin", "end")))).alias("spans"))
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return (ids.join(by_doc, "doc_id", "left")
-            .select("doc_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c)
-                                for c in ("n_passages", "n_repeated", "n_removed")),
+    return (numbered(documents).select("doc_id", "row").join(by_row, "row", "left")
+            .select("doc_id", "row", *(F.coalesce(c, F.lit(0).cast("long")).alias(c)
+                                       for c in ("n_passages", "n_repeated", "n_removed")),
                     F.col("first.class_id").alias("class_id"), F.col("first.first_doc").alias("first_doc"),
                     F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans")))
 
 
 def without_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with their spans cut out of the text; all other columns stay."""
-    named = found.where("doc_id is not null and size(spans) > 0").select(
-        F.col("doc_id").alias("_of"), F.col("spans").alias("_spans")).distinct()
+    named = found.where("size(spans) > 0").select(F.col("row").alias("_of"), F.col("spans").alias("_spans"))
     kept = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda s, x: F.struct(
         F.concat(s["out"], F.col("text").substr(s["at"] + 1, x["begin"] - s["at"])).alias("out"),
         x["end"].alias("at")), lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
-    return (documents.join(named, documents["doc_id"] == named["_of"], "left")
-            .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).drop("_of", "_spans"))
+    rows = documents.withColumn("_row", F.monotonically_increasing_id())
+    return (rows.join(named, rows["_row"] == named["_of"], "left")
+            .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept))
+            .drop("_row", "_of", "_spans"))

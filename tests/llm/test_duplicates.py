@@ -192,6 +192,96 @@ def test_repeated_passages(documents):
     assert substring_dedup.substring_dedup(documents([])).count() == 0
 
 
+def test_passages_inside_lines_without_marks(documents):
+    pick = random.Random(12)
+
+    def words(n):
+        return " ".join(f"w{pick.randrange(10**6)}" for _ in range(n))
+    passage = words(70)
+    rows = [(k, f"{words(90)} {passage if k % 2 else words(70)} {words(90)}") for k in range(20)]
+    for r in substring_dedup.substring_dedup(documents(rows)).collect():
+        assert (r.n_passages, r.n_removed > 0) == ((1, r.doc_id > 1) if r.doc_id % 2 else (0, False))
+        assert r.n_repeated <= 70 and (r.doc_id % 2 == 0 or r.n_repeated >= 45 and r.first_doc <= r.doc_id)
+        text = dict(rows)[r.doc_id]
+        assert all(text[a:b].strip() in passage for a, b in r.spans)
+
+
+def windows(text, size=51):
+    found = lower(text).split()
+    return {tuple(found[k:k + size]) for k in range(len(found) - size + 1)}
+
+
+def test_passages_against_brute_force(documents):
+    """Passages of 51 to 90 words pasted anywhere, in texts of sentences, of long sentences and of lines without any:
+    all documents that share 51 words in a row with an earlier one, and no others."""
+    pick = random.Random(13)
+
+    def text(n, mean):
+        out = []
+        while len(out) < n:
+            out += [f"w{pick.randrange(10**6)}" for _ in range(pick.randint(1, 2 * mean))]
+            out[-1] += pick.choice([".", "!", "\n", "?"])
+        return out
+    rows, passages = [], [text(pick.randint(51, 90), pick.choice([8, 15, 30, 200])) for _ in range(40)]
+    for key in range(400):
+        words, mean = [], pick.choice([8, 15, 30, 200])
+        words += text(pick.randint(5, 200), mean)
+        if key % 2:
+            at = pick.randrange(len(words))
+            words[at:at] = pick.choice(passages)
+        rows.append((key, " ".join(words)))
+    seen, repeated = set(), set()
+    for key, t in rows:
+        if windows(t) & seen:
+            repeated.add(key)
+        seen |= windows(t)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(rows)).collect()}
+    found = {key for key, r in got.items() if r.n_removed}
+    assert len(found & repeated) >= 0.98 * len(repeated) > 100 and found <= repeated
+    for key, r in got.items():      # and what goes stands before, but for words that similar paragraphs differ in
+        before = set().union(*(windows(t, 5) for k, t in rows if k < key))
+        for a, b in r.spans:
+            cut = windows(dict(rows)[key][a:b], 5)
+            assert len(cut & before) >= 0.7 * len(cut)
+
+
+def test_texts_of_one_id_have_spans_of_their_own(documents):
+    pick = random.Random(14)
+
+    def words(n):
+        return " ".join(f"w{pick.randrange(10**6)}" for _ in range(n))
+    passage, own = words(60), [words(100), words(40), words(30)]
+    rows = [(1, passage), (7, f"{own[0]}\n{passage}\n{own[1]}"), (7, own[2]), (7, f"{passage}\n{own[1]}"), (None, passage)]
+    found = substring_dedup.substring_dedup(documents(rows))
+    cut = [r.text for r in substring_dedup.without_spans(documents(rows), found).collect()]
+    assert sorted(" ".join(t.split()) for t in cut) == sorted(
+        [passage, passage, f"{own[0]} {own[1]}", own[2], own[1]])
+    assert sorted((r.doc_id or 0, r.n_removed) for r in found.collect()) == [(0, 0), (1, 0), (7, 0), (7, 60), (7, 60)]
+
+
+def test_stretches():
+    def part(a, b, of=1):
+        return a, b, 10 * a, 10 * b, of, 5
+    assert substring_dedup.joined([part(5, 9), part(0, 3), part(3, 4, 2), part(6, 7)]) == [part(0, 4), part(5, 9)]
+    assert substring_dedup.joined([]) == []
+    others = [part(2, 4), part(6, 8), part(20, 30)]
+    assert list(substring_dedup.outside(part(0, 10), others)) == [part(0, 2), part(4, 6), part(8, 10)]
+    assert list(substring_dedup.outside(part(3, 7), others)) == [part(4, 6)]
+    assert list(substring_dedup.outside(part(21, 25), others)) == []
+    assert list(substring_dedup.outside(part(4, 6), others)) == [part(4, 6)]
+
+
+def test_paragraphs_fill_the_text():
+    text = "One two three four five. Six seven\n\n  eight\n" + "w" + " x".join(map(str, range(90))) + ". end"
+    whole = [p for p in substring_dedup.paragraphs_of(text) if p[4]]
+    assert [p[2] for p in whole] == [0, 5, 7, 8, 98] and whole[0][0] == 0 and whole[-1][1] == len(text)
+    assert all(a[1] == b[0] for a, b in zip(whole, whole[1:]))
+    pieces = [p for p in substring_dedup.paragraphs_of(text) if not p[4]]
+    assert (pieces[0][0], pieces[-1][1]) == whole[3][:2] and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    assert [w for p in pieces for w in p[3]] == whole[3][3] and [p[2] for p in pieces][0] == 8
+    assert list(substring_dedup.paragraphs_of(None)) == list(substring_dedup.paragraphs_of(" \n \n")) == []
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
 def test_shared_keys(size):
     pick = random.Random(size)
