@@ -10,6 +10,7 @@ and pieces form passages, which go if they are long enough.
 """
 
 import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -44,19 +45,35 @@ BLOCK = 512
 REMEMBERED = 500_000
 
 _BREAKS = re.compile(r"[.!?]+(?=\s)|\n").finditer
-_WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
+
+
+@functools.cache
+def _next_words(n: int):
+    """Matches so many words with the blanks before them."""
+    return re.compile(rf"(?:[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+){{{n}}}").match
+
 
 PARAGRAPHS = "row long, doc_id long, at int, begin int, end int, n_words int, digest long, words binary"
 
 
 def pieces_of(text: str, begin: int, end: int, words: list[bytes]) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """(begin, end, number of the first word, words) of the pieces of a long paragraph, which fill it."""
-    first = 0
-    for k, found in enumerate(_WORDS(text, begin, end)):
-        if k + 1 == len(words) or k + 1 - first >= PIECE_WORDS and not zlib.crc32(words[k]) % PIECE_RATE:
-            cut = end if k + 1 == len(words) else found.end()
-            yield begin, cut, first, words[first:k + 1]
-            begin, first = cut, k + 1
+    first, last = 0, len(words) - 1
+    while first <= last:
+        k = min(first + PIECE_WORDS - 1, last)
+        while k < last and zlib.crc32(words[k]) % PIECE_RATE:
+            k += 1
+        cut = end if k == last else skipped(text, begin, k + 1 - first)
+        yield begin, cut, first, words[first:k + 1]
+        begin, first = cut, k + 1
+
+
+def skipped(text: str, begin: int, n: int) -> int:
+    """Where the n-th word from a place on ends."""
+    while n > 0:
+        begin = _next_words(min(n, 64))(text, begin).end()
+        n -= 64
+    return begin
 
 
 def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, int, list[bytes], bool]]:
@@ -76,7 +93,8 @@ def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]
 
 
 def node_of(words: list[bytes]) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64))
+    digest = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return digest - (digest >> 63 << 64)        # as a signed number
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
@@ -92,20 +110,19 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            out = [[], [], [], [], [], [], [], []]
+            out = []
             for row, key, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 for begin, end, at, words, whole in paragraphs_of(text):
                     node, sending = node_of(words), None
                     if whole and len(words) >= SHINGLE + LEAST - 1 and node not in sent:
                         sending = b" ".join(words)
                         sent.add(node)
-                    for column, x in zip(out, (row, key, at, begin, end, len(words), node, sending), strict=True):
-                        column.append(x)
+                    out.append((row, key, at, begin, end, len(words), node, sending))
             if len(sent) > REMEMBERED:
                 sent.clear()
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, kinds, strict=True)],
+                [pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)],
                 names=["row", "doc_id", "at", "begin", "end", "n_words", "digest", "words"])
 
     rows = numbered(documents).where("doc_id is not null and text is not null")
