@@ -7,8 +7,8 @@ extreme-value law of segment scores, whose two parameters come from the words of
 """
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,31 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigbook.llm.common import columns_of, id_remainder, small_batches
+from rigbook.session import cut_lineage
 
 #: Words are whole: forms of one stem differ in what they mark.
 WORDS = re.compile(r"[^\W\d_]+").findall
-#: Words share so many counters, which bounds the model; the corpus may have any number of them.
-SLOTS = 1 << 20
 #: At most about so many labelled documents are learnt from; chosen by a hash of the id.
 LEARN_ROWS = 40_000
 #: Weight of the prior in words, least significance of a log-odds in standard deviations, cost of a word.
 PRIOR, SIGNIFICANT, COST = 2000.0, 4.5, 0.25
 #: Passages expected by chance, in a clean text of that length, at which a document counts as toxic.
 CHANCE = 0.001
-REMEMBERED = 400_000
+#: Different words that a task holds before it sends their counts on.
+HELD_WORDS = 200_000
 
 
-class Slots(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = slot = zlib.crc32(word.encode()) % SLOTS
-        return slot
-
-
-def slots_of(text: str | None, known: Slots) -> np.ndarray:
+def numbers_of(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """The words of a text by their numbers; 0 stands for every word that marks nothing."""
     words = WORDS((text or "").lower())
-    return np.fromiter(map(known.__getitem__, words), np.int64, count=len(words))
+    return np.fromiter(map(known.get, words, repeat(0)), np.int64, count=len(words))
 
 
 def labelled_ids(labels: DataFrame, label: str, modulus: int) -> dict[int, int]:
@@ -52,30 +45,80 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int) -> dict[int, int]:
     return {r.doc_id: int(r.y) for r in chosen.groupBy("doc_id").agg(F.max("y").alias("y")).collect()}
 
 
-def slot_counts(documents: DataFrame, known_labels: dict[int, int]) -> np.ndarray:
-    """Words of each slot in all documents, in clean and in toxic labelled ones: a table of SLOTS by 3."""
+def labelled_words(documents: DataFrame, known_labels: dict[int, int]) -> DataFrame:
+    """Every word of the labelled documents, and in how many clean and toxic ones it stands: word, clean, toxic."""
     spark = documents.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(known_labels)   # at most about LEARN_ROWS
 
+    def rows(held: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(held, pa.string()),
+                                           "clean": pa.array([n for n, _ in held.values()], pa.int64()),
+                                           "toxic": pa.array([n for _, n in held.values()], pa.int64())})
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if (y := sent.value.get(key)) is None:
+                    continue
+                for word in set(WORDS((text.as_py() or "").lower())):
+                    held.setdefault(word, [0, 0])[y > 0] += 1
+                if len(held) >= HELD_WORDS:
+                    yield rows(held)
+                    held = {}
+        yield rows(held)
+
+    return (columns_of(documents, doc_id="doc_id", text="text")
+            .mapInArrow(count, "word string, clean long, toxic long")
+            .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+
+
+def corpus_counts(documents: DataFrame, words: list[str]) -> np.ndarray:
+    """In how many of all documents each word stands; place 0 holds all other words together."""
+    spark = documents.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast({word: k for k, word in enumerate(words, 1)})
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, totals = Slots(), np.zeros((3, SLOTS), np.int64)
+        known = sent.value
+        marked, totals = frozenset(known), np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                slots = np.unique(slots_of(text, known))
-                totals[0, slots] += 1
-                if (y := sent.value.get(key)) is not None:
-                    totals[1 + (y > 0), slots] += 1
-        at = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "n": pa.array(totals[0, at]),
-                                          "clean": pa.array(totals[1, at]), "toxic": pa.array(totals[2, at])})
-
-    sums = (columns_of(documents, doc_id="doc_id", text="text")
-            .mapInArrow(count, "slot int, n long, clean long, toxic long")
-            .groupBy("slot").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    table, found = np.zeros((SLOTS, 3)), sums.toArrow()     # at most SLOTS rows, as columns
-    table[found["slot"].to_numpy()] = np.stack([found[c].to_numpy() for c in ("n", "clean", "toxic")], axis=1)
-    return table
+            for text in batch.column("text").to_pylist():
+                found = set(WORDS((text or "").lower()))
+                here = found & marked
+                totals[0] += len(found) - len(here)
+                totals[[known[w] for w in here]] += 1
+        yield pa.RecordBatch.from_pydict({"number": pa.array(range(len(totals)), pa.int32()), "n": pa.array(totals)})
+
+    sums = (columns_of(documents, text="text").mapInArrow(count, "number int, n long")
+            .groupBy("number").agg(F.sum("n").alias("n")))
+    found = np.zeros(len(words) + 1)
+    for row in sums.collect():      # one row for each word that was asked for
+        found[row.number] = row.n
+    return found
+
+
+def word_counts(documents: DataFrame, known_labels: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """The words that differ significantly between clean and toxic documents, and a table of how many documents have
+    each: all, clean and toxic ones. Row 0 holds all other words together, row k the k-th word.
+
+    Words are counted by themselves, however many there are. Only those of labelled documents can be significant,
+    and only significant ones reach the driver.
+    """
+    words = cut_lineage(labelled_words(documents, known_labels))
+    all_clean, all_toxic = (float(n or 0) for n in words.agg(F.sum("clean"), F.sum("toxic")).first())
+    share = (F.col("clean") + F.col("toxic")) / F.lit(max(1.0, all_clean + all_toxic))
+
+    def part(n, total: float):
+        return n * F.log(F.greatest(n, F.lit(1)) / F.greatest(F.lit(total) * share, F.lit(1e-300)))
+    ratio = 2 * (part(F.col("clean"), all_clean) + part(F.col("toxic"), all_toxic))
+    chosen = words.where(ratio >= SIGNIFICANT ** 2).orderBy("word").collect()   # a part of the labelled sample's words
+    table = np.zeros((len(chosen) + 1, 3))
+    table[:, 0] = corpus_counts(documents, [r.word for r in chosen])
+    table[1:, 1:] = np.array([(r.clean, r.toxic) for r in chosen]).reshape(-1, 2)
+    table[0, 1:] = (all_clean, all_toxic) - table[1:, 1:].sum(axis=0)
+    return [r.word for r in chosen], table
 
 
 def significance(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -89,14 +132,17 @@ def significance(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
 
 
 class SegmentModel:
-    """Scores of slots, and the parameters of the law of the largest segment score of a clean text."""
+    """Scores of words by number, and the parameters of the law of the largest segment score of a clean text. Row 0
+    of the counts holds all words that mark nothing; each of them costs what a word costs."""
 
     def __init__(self, counts: np.ndarray):
         everything, clean, toxic = counts.T
         prior = PRIOR * (everything + 0.01) / (everything.sum() + 0.01 * len(everything))
         a, b = toxic + prior, clean + prior
-        odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
         certain = significance(toxic, clean) >= SIGNIFICANT
+        certain[0] = False
+        odds = np.zeros(len(counts))
+        odds[certain] = (np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b)))[certain] if certain.any() else 0.0
         self.scores = np.where(certain, np.clip(odds, -2, 12), 0.0) - COST
         self.learnt = bool(toxic.sum() and clean.sum() and (self.scores > 0).any())
         if not self.learnt:
@@ -121,17 +167,17 @@ class SegmentModel:
         """Segments of at least this score that a clean text of so many words has by chance."""
         return self.factor * max(1, words) * float(np.exp(-self.rate * score))
 
-    def segments(self, slots: np.ndarray) -> list[tuple[int, int, float]]:
+    def segments(self, numbers: np.ndarray) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (begin, end, score), in one scan over the words that score above 0.
 
         A list of candidates is kept, each with the sums before and after it. A new one is joined to the
         last candidate that starts lower, if it ends higher as well.
         """
-        scores = self.scores[slots]
+        scores = self.scores[numbers]
         # The n-th time in a row a marked word scores an n-th; any other word costs what an unknown one does.
-        again = np.concatenate([np.zeros(min(1, len(slots)), bool), slots[1:] == slots[:-1]])
+        again = np.concatenate([np.zeros(min(1, len(numbers)), bool), numbers[1:] == numbers[:-1]])
         if again.any():
-            places = np.arange(len(slots))
+            places = np.arange(len(numbers))
             nth = places - np.maximum.accumulate(np.where(again, 0, places)) + 1
             scores[again] = np.where(scores > 0, (scores + COST) / nth, 0.0)[again] - COST
         at = np.flatnonzero(scores > 0)
@@ -154,10 +200,10 @@ class SegmentModel:
                 del stack[j:], lower[j:]
         return [(a, b, float(r - x)) for a, b, x, r in stack]
 
-    def document(self, slots: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+    def document(self, numbers: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score from 0 to 1, and its significant passages."""
-        found = self.segments(slots)
-        chances = [self.expected(s, len(slots)) for _, _, s in found]
+        found = self.segments(numbers)
+        chances = [self.expected(s, len(numbers)) for _, _, s in found]
         passages = [x for x, e in zip(found, chances, strict=True) if e <= CHANCE]
         least = min(chances, default=1e9)
         return 1 / (1 + (least / CHANCE) ** 0.5), passages
@@ -171,13 +217,14 @@ def toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", modu
     empty or without letters scores near 0, and so does every text when labels of both kinds are missing. Words are counted over
     all documents; labels come from ids whose remainder is not 0. Rows that repeat are scored each.
     """
-    model = SegmentModel(slot_counts(documents, labelled_ids(labels, label, modulus)))
-    sent = documents.sparkSession.sparkContext.broadcast(model)     # SLOTS numbers
+    words, counts = word_counts(documents, labelled_ids(labels, label, modulus))
+    sent = documents.sparkSession.sparkContext.broadcast(
+        ({word: k for k, word in enumerate(words, 1)}, SegmentModel(counts)))   # significant words only
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = Slots(), sent.value
+        known, model = sent.value
         for batch in batches:
-            found = [model.document(slots_of(t, known)) for t in batch.column("text").to_pylist()]
+            found = [model.document(numbers_of(t, known)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in found], pa.float64()),
                 "passages": pa.array([[{"begin": a, "end": b, "score": s} for a, b, s in p] for _, p in found],
