@@ -36,6 +36,56 @@ def test_languages(spark, documents):
     assert language_id.language_ids(documents([])).count() == 0
 
 
+def slow_sum(text):
+    """One letter after the other: the sum of the vectors of its n-grams, and how many there are."""
+    signs = [0]
+    for c in (text or "").lower():
+        sign = ord(c) if c.isalpha() else 0
+        if sign or signs[-1]:
+            signs.append(sign)
+    signs.append(0)
+
+    def bits(sign, moved):
+        return np.unpackbits(np.roll(language_id.letter_bits(np.array([sign])).view(np.uint8), moved))
+    total, n = np.zeros(language_id.DIMENSIONS), 0
+    for a, b, c in zip(signs, signs[1:], signs[2:]):
+        if b:
+            total += 1.0 - 2 * (bits(a, 2) ^ bits(b, 1) ^ bits(c, 0))
+            n += 1
+    return total, n
+
+
+def test_language_sums_are_those_of_every_ngram(monkeypatch):
+    """Many scripts, odd texts, and chunks of a few n-grams, in small and in large blocks of texts."""
+    texts = [t for _, t in ODD if len(t or "") < 500]
+    texts += ["Hello wörld, Straße!", "日本語のテキスト 漢字", "привет мир", "γειά σου\nκόσμε", "ÀÉ ñandú " * 5, "\n\n", "a", "𐐀𐐁 ﬁ İ"]
+    wanted = [slow_sum(t) for t in texts]
+    for chunk, table, more in ((4096, 1 << 22, 0), (3, 1 << 22, 0), (5, 0, 100), (4096, 0, 200)):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        monkeypatch.setattr(language_id, "TABLE", table)
+        sums, lengths = language_id.Block(["abc def"] * more + texts).sums()
+        for (total, n), got, length in zip(wanted, sums[more:], lengths[more:], strict=True):
+            assert n == length and np.array_equal(total, got)
+    assert language_id.Block([]).sums()[0].shape == (0, language_id.DIMENSIONS)
+
+
+def test_languages_of_one_script_by_brute_force(spark):
+    """Chinese and Japanese signs, Russian and Bulgarian words: the largest cosine with the sums of what was learnt."""
+    pick = random.Random(6)
+    alphabets = {"zh": "的一是不了人我在有他这中大来上国", "ja": "のにはをたがでてとしれさある国一", "ru": "оеаинтсрвлкмдпуыэ", "bg": "аиоентрсвлкдпмзъщ"}
+    words = {lang: ["".join(pick.choices(signs, k=4)) for _ in range(40)] for lang, signs in alphabets.items()}
+    rows = [(k, " ".join(pick.choices(words[lang], k=12)), lang) for k in range(160) for lang in [pick.choice(sorted(words))]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnt = {lang: sum(slow_sum(t)[0] for k, t, x in rows if x == lang and remainder(k, 4) != 2) for lang in alphabets}
+    got = {r.doc_id: r for r in language_id.language_ids(table).collect()}
+    for k, t, _ in rows:
+        own = slow_sum(t)[0]
+        cosines = {x: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for x, v in learnt.items()}
+        assert got[k].lang_pred == max(cosines, key=cosines.get)
+        assert abs(got[k].score - max(cosines.values())) < 1e-5
+    assert np.mean([got[k].lang_pred == x for k, _, x in rows if got[k].held_out]) > 0.9
+
+
 def test_quality(spark, documents):
     docs, labels = tables(spark)
     truth = {r.doc_id: r.quality for r in labels.collect()}
@@ -84,8 +134,45 @@ def test_toxicity_tells_forms_of_one_stem_apart(spark, documents):
     assert np.mean([p for p, y in held if y]) >= 0.75 and not any(p for p, y in held if not y)
 
 
+def test_words_are_counted_one_by_one(spark, monkeypatch):
+    """Counts against a plain loop, with many words, tasks that send early, repeated ids, nulls and unlabelled rows."""
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 50)
+    pick = random.Random(8)
+    words = ["".join(pick.choices("abcdeé", k=4)) for _ in range(400)]
+    rows = [(None if k % 50 == 0 else k % 280, None if k % 41 == 0 else " ".join(
+        pick.choices(words, k=12) + pick.choices(["Foul", "fouL", "nice"], [1, 1, 2] if k % 280 % 3 else [0, 0, 1], k=2))) for k in range(300)]
+    known = {k: int(k % 3 > 0) for k in range(0, 280) if k % 7}
+    counts = {}
+    for key, text in rows:
+        for word in set((text or "").lower().split()):
+            row = counts.setdefault(word, [0, 0, 0])
+            row[0] += 1
+            if key in known:
+                row[1 + known[key]] += 1
+    got, table = toxicity.word_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), known)
+    names = sorted(counts)
+    every = np.array([counts[w] for w in names], float)
+    far = toxicity.significance(every[:, 2], every[:, 1]) >= toxicity.SIGNIFICANT
+    assert got == [w for w, x in zip(names, far, strict=True) if x] and "foul" in got
+    assert np.array_equal(table[1:], every[far]) and np.array_equal(table[0], every[~far].sum(axis=0))
+
+
+def test_chance_passages_are_as_rare_as_the_law_says():
+    """Random clean texts: as many have a segment of a score as expected, or fewer, and not by orders of magnitude."""
+    pick = np.random.default_rng(5)
+    counts = np.array([[98_000.0, 60_000, 9_000], *[[200.0, 20, 160]] * 10])
+    model = toxicity.SegmentModel(counts)
+    assert model.learnt and (model.scores[1:] > 0).all()
+    clean = (counts[:, 1] + toxicity.PRIOR * counts[:, 0] / counts[:, 0].sum())
+    texts = pick.choice(len(counts), (4000, 100), p=clean / clean.sum())
+    best = np.array([max((s for _, _, s in model.segments(t)), default=0.0) for t in texts])
+    for score in np.quantile(best[best > 0], [0.0, 0.5, 0.9]):
+        share, expected = np.mean(best >= score), 1 - np.exp(-model.expected(score, 100))
+        assert 0.2 * share - 0.01 <= expected and share <= 1.5 * expected + 0.01
+
+
 def test_a_marked_word_said_again_scores_again():
-    counts = np.zeros((toxicity.SLOTS, 3))
+    counts = np.zeros((1010, 3))
     counts[10:1010] = 600, 480, 120
     counts[5] = 40, 0, 40
     model = toxicity.SegmentModel(counts)
@@ -104,13 +191,13 @@ def test_a_marked_word_said_again_scores_again():
 @pytest.mark.parametrize("seed", range(30))
 def test_segments_are_the_maximal_ones(seed):
     pick = np.random.default_rng(seed)
-    model = toxicity.SegmentModel(np.ones((toxicity.SLOTS, 3)))
-    model.scores = np.round(pick.normal(-0.3, 1, toxicity.SLOTS), 3)
-    slots = np.arange(40)
+    model = toxicity.SegmentModel(np.ones((41, 3)))
+    model.scores = np.round(pick.normal(-0.3, 1, 41), 3)
+    slots = np.arange(1, 41)
 
     def split(a, b):
         """The best segment, and what is left on both sides of it, again and again."""
-        spans = [(model.scores[i:j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        spans = [(model.scores[1 + i:1 + j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
         if not spans or (top := max(spans))[0] <= 1e-12:
             return []
         return split(a, top[2]) + [(top[2], top[3], round(top[0], 6))] + split(top[3], b)
