@@ -46,14 +46,18 @@ def _facts(parts: DataFrame, price_log: DataFrame, now: Column) -> DataFrame:
 
 def quality_report(parts: DataFrame, price_log: DataFrame, now: Column,
                    sources=fixed.PART_SOURCES) -> DataFrame:
-    """(check_name, subject, ok, observed, total), one row per check and shop or per check of all.
+    """(check_name, subject, ok, observed, total), one row per check and shop or per check of all."""
+    return report_of(_facts(parts, price_log, now), sources)
+
+
+def report_of(facts: DataFrame, sources=fixed.PART_SOURCES) -> DataFrame:
+    """The report from facts by shop and category, wherever they were folded.
 
     Expected shops without any part are added to the folded facts; one rollup then gives the figures of
     each shop and of the whole catalogue.
     """
     c, source, everything = F.col, F.col("source"), F.lit("all")
-    facts = _facts(parts, price_log, now).unionByName(
-        source_dimension(parts.sparkSession, sources), allowMissingColumns=True)
+    facts = facts.unionByName(source_dimension(facts.sparkSession, sources), allowMissingColumns=True)
     found = F.when((c("parts") > 0) & source.isin(*sources), source)
     measures = ("parts", "thumbnails", "specs", "rows", "recent", "outliers", "orphans")
     figures = facts.rollup("source").agg(

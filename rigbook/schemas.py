@@ -34,6 +34,8 @@ PARTS = _table(part_id=_S, source=_S, source_id=_S, name=_S, category=_S, url=_S
 LISTING = T.StructType([*PARTS, T.StructField("price_pkr", _L), T.StructField("priced_at", _TS)])
 #: ``scraped_month`` is the directory column of the log.
 PRICE_LOG = _table(part_id=_S, price_pkr=_L, scraped_at=_TS, scraped_month=T.DateType())
+#: Rows of one log file by shop and hour (hours since 1970); ``part_id`` is that of rows without a part only.
+PRICE_PROFILES = _table(file=_S, source=_S, part_id=_S, hour=_L, rows=_L, outliers=_L)
 LATEST_PRICES = _table(part_id=_S, price_pkr=_L, scraped_at=_TS)
 PREBUILTS = _table(prebuilt_id=_S, source=_S, source_id=_S, name=_S, url=_S, thumbnail_url=_S,
                    price_pkr=_L, components=COMPONENTS, scraped_at=_TS, created_at=_TS,

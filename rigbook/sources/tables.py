@@ -55,16 +55,35 @@ class CatalogueTables:
         return self._bucketed("prebuilts")
 
     def part_counts(self) -> DataFrame:
-        """(source, category, specs, n): how many parts there are of each kind; sum over n."""
+        """(source, category, specs, n, thumbnails): how many parts there are of each kind, and with a thumbnail; sum
+        over both."""
         return self._counts("parts")
 
     def prebuilt_counts(self) -> DataFrame:
-        """(source, n) of the prebuilts; sum over n."""
+        """(source, n, thumbnails) of the prebuilts; sum over both."""
         return self._counts("prebuilts")
 
     def price_log(self) -> DataFrame:
         return self._read("price_log", schemas.PRICE_LOG)
 
+    def price_files(self, paths: list[str]) -> DataFrame:
+        """Rows of some files of the log, with the file's directory and name."""
+        reader = self.spark.read.schema(schemas.PRICE_LOG).option("basePath", f"{self.root}/price_log")
+        name = F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0)
+        return reader.parquet(*paths).select(*schemas.PRICE_LOG.names, name.alias("file"))
+
+    def price_profiles(self) -> DataFrame:
+        return self._read("price_profiles", schemas.PRICE_PROFILES)
+
+    def unprofiled_files(self) -> list[str]:
+        """Files of the log that no profile is about; names only, as the reader of the log holds them too."""
+        paths = {"/".join(path.rsplit("/", 2)[1:]): path for path in self.price_log().inputFiles()}
+        if not paths:
+            return []
+        names = self.spark.createDataFrame([(name,) for name in paths], "file string")
+        new = names.join(self.price_profiles().select("file"), "file", "left_anti")
+        return [paths[row.file] for row in new.collect()]
+
     def shared_builds(self) -> DataFrame:
         return self._read("shared_builds", schemas.SHARED_BUILDS)
 
@@ -93,6 +112,9 @@ class CatalogueTables:
                              "parquet.block.size": str(ROW_GROUP),
                              "parquet.page.row.count.limit": str(PAGE_ROWS)})
 
+    def append_profiles(self, rows: DataFrame) -> int:
+        return self._append("price_profiles", rows.to(schemas.PRICE_PROFILES).hint("rebalance"), [], ["file", "hour"], {})
+
     def append_builds(self, rows: DataFrame) -> int:
         return self._append("shared_builds", rows, [], ["code"], {})
 
@@ -175,12 +197,14 @@ class CatalogueTables:
     def _write_counts(self, table: str, places: dict[int, int], version: int) -> None:
         """The counts of freshly written buckets; only the columns counted by are read again."""
         rows = self._at(table, places, T.StructType([T.StructField("bucket", T.IntegerType())]))
-        counts = rows.groupBy("bucket", *COUNTED[table]).agg(F.count(F.lit(1)).alias("n"))
+        counts = rows.groupBy("bucket", *COUNTED[table]).agg(
+            F.count(F.lit(1)).alias("n"), F.count("thumbnail_url").alias("thumbnails"))
         counts.write.mode("errorifexists").parquet(f"{self.root}/{table}/counts/version={version}")
 
     def _counts(self, table: str) -> DataFrame:
         kept = [f for f in BUCKETED[table][1] if f.name in COUNTED[table]]
-        schema = T.StructType([T.StructField("bucket", T.IntegerType()), *kept, T.StructField("n", T.LongType())])
+        schema = T.StructType([T.StructField("bucket", T.IntegerType()), *kept, T.StructField("n", T.LongType()),
+                               T.StructField("thumbnails", T.LongType())])
         places = self._places(table)
         if not places:
             return self.spark.createDataFrame([], schema).drop("bucket")
@@ -191,7 +215,7 @@ class CatalogueTables:
         current = F.lit(False)
         for v in versions:
             current |= (F.col("version") == v) & F.col("bucket").isin([b for b, at in places.items() if at == v])
-        return rows.where(current).select(*COUNTED[table], "n")
+        return rows.where(current).select(*COUNTED[table], "n", "thumbnails")
 
     # -- files -------------------------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from rigbook.operators.quality import quality_report as checks
 from rigbook.operators.quality import quality_summary as summary
 from rigbook.operators.reports import feed_counts as counts
 from rigbook.operators.reports import source_report, spec_coverage as coverage
-from rigbook.plans import builds, catalogue, name_index, paging
+from rigbook.plans import builds, catalogue, name_index, paging, profiles
 from rigbook.plans.refresh import load_feed
 from rigbook.session import scratch_path
 from rigbook.sources.files import (add_missing_columns, as_json, from_json_text, read_feed, write_json)
@@ -543,3 +543,27 @@ def quality_report_whole(spark, sf_dir):
        "count(*) FILTER (WHERE ok) = count(*) AS ok FROM report")
 def quality_summary(spark, sf_dir):
     return summary(_report(spark, sf_dir))
+
+
+_WHOLE_CHECKS_SQL = _CHECKS_SQL.replace(_WITHOUT_SOME_SQL, "SELECT * FROM parts")
+
+
+def _profiled(spark, sf_dir):
+    """The feed in two loads, shop by shop, each of which is profiled by itself."""
+    tables, feed = CatalogueTables(spark, scratch_path(spark, "tables")), product_feed(spark, sf_dir)
+    for batch in (feed.where("seq.source_no < 4"), feed.where("seq.source_no >= 4")):
+        load_feed(tables, batch, F.lit(FIRST_RUN))
+        profiles.profile_prices(tables)
+    return profiles.quality_from_profiles(tables, F.lit(CHECK_TIME))
+
+
+@query(f"WITH {_WHOLE_CHECKS_SQL} SELECT * FROM report")
+def quality_from_profiles(spark, sf_dir):
+    """The report on stored tables, from the profiles of the log's files and the counts of the parts."""
+    return _profiled(spark, sf_dir)
+
+
+@query(f"WITH {_WHOLE_CHECKS_SQL} SELECT count(*) FILTER (WHERE ok) AS passed, count(*) AS total, "
+       "count(*) FILTER (WHERE ok) = count(*) AS ok FROM report")
+def quality_summary_whole(spark, sf_dir):
+    return summary(_profiled(spark, sf_dir))

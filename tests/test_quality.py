@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from rigbook import fixed, schemas
 from rigbook.operators import reports
+from rigbook.operators.loading import fold_listing
 from rigbook.operators.quality import quality_report, quality_summary
+from rigbook.plans import profiles, refresh
+from rigbook.session import scratch_path
+from rigbook.sources.tables import CatalogueTables
 
 NOW = datetime.datetime(2024, 3, 2, 12)
 RECENT, OLD = NOW - datetime.timedelta(hours=24), NOW - datetime.timedelta(hours=24, seconds=1)
@@ -113,3 +117,56 @@ def test_reports(spark):
     coverage = reports.spec_coverage(spark.createDataFrame(parts, schemas.PARTS)).where("category = 'gpu'")
     assert coverage.first().asDict() == {"category": "gpu", "total": 18, "with_specs": 18, "with_brand": 18,
                                          "specs_percent": 100.0, "brand_percent": 100.0}
+
+
+def stored_feed(spark, load, shops, times):
+    """Rows of some shops, scraped at these times; some prices are out of range, some rows have no thumbnail."""
+    rows = [(f"AMD Ryzen 5 {k}", 50 if (k + load) % 7 == 0 else 40_000 + k, f"https://{shop}/p{k}", fixed.CATEGORIES[(k + load) % 6], shop,
+             time, "t" if k % 3 else None, (0, 0, load, 100 * k + n))
+            for shop in shops for k in range(8) for n, time in enumerate(times)]
+    return spark.createDataFrame(rows, schemas.FEED)
+
+
+def test_report_from_profiles_equals_the_one_from_the_tables(spark):
+    """After each load, after one that profiled nothing, with rows in the border hour, orphans and orphans adopted."""
+    tables, now = CatalogueTables(spark, scratch_path(spark, "tables")), NOW + datetime.timedelta(minutes=20)
+    border = now - datetime.timedelta(hours=24)
+    second, hour = datetime.timedelta(seconds=1), datetime.timedelta(hours=1)
+
+    def check():
+        got = profiles.quality_from_profiles(tables, F.lit(now)).collect()
+        want = quality_report(tables.parts(), tables.price_log(), F.lit(now)).collect()
+        assert sorted(got) == sorted(want) and got
+        return {(r.check_name, r.subject): r for r in got}
+
+    assert not check()["no_orphan_prices", "all"].total
+    shops = fixed.PART_SOURCES
+    refresh.load_feed(tables, stored_feed(spark, 0, shops[:3], [border - hour, border - second, border, border + second]))
+    assert profiles.profile_prices(tables) > 0 and profiles.profile_prices(tables) == 0
+    assert check()["source_is_fresh", shops[0]].observed == 16 - 2 * 2      # prices under the floor are no rows
+    refresh.load_feed(tables, stored_feed(spark, 1, shops[2:6], [NOW, border + hour, NOW - datetime.timedelta(days=40)]))
+    refresh.load_feed(tables, stored_feed(spark, 1, shops[2:6], [NOW]))
+    assert check()["no_orphan_prices", "all"].observed == 0
+    later = stored_feed(spark, 2, shops[6:8], [border, NOW])
+    rows = fold_listing(later).select("part_id", F.lit(1).alias("price_pkr").cast("long"), F.lit(border + second).alias("scraped_at"),
+                                      F.trunc(F.lit(border), "month").alias("scraped_month"))
+    tables.append_prices(rows)
+    found = check()
+    assert found["no_orphan_prices", "all"].observed == 16 and not found["sane_prices", "all"].ok
+    again = tables.price_profiles().collect()
+    tables.append_profiles(spark.createDataFrame(again, schemas.PRICE_PROFILES))      # two runs at the same time
+    check()
+    refresh.load_feed(tables, later)
+    found = check()
+    # One part of each shop stays away, as all its prices are under the floor.
+    assert found["no_orphan_prices", "all"].observed == 2 and found["source_is_fresh", shops[6]].observed == 7 * 3
+
+
+def test_profiles_spare_the_log(spark):
+    tables = CatalogueTables(spark, scratch_path(spark, "tables"))
+    refresh.load_feed(tables, stored_feed(spark, 0, fixed.PART_SOURCES[:2], [NOW, NOW - datetime.timedelta(days=70)]))
+    profiles.profile_prices(tables)
+    plan = profiles.quality_from_profiles(tables, F.lit(NOW))._jdf.queryExecution().executedPlan().toString()
+    log = [line for line in plan.splitlines() if "FileScan" in line and "scraped_at" in line]
+    assert len(log) == 1 and "PartitionFilters: [isnotnull(scraped_month" in log[0]
+    assert "GreaterThanOrEqual(scraped_at" in log[0] and "LessThan(scraped_at" in log[0]
