@@ -260,6 +260,12 @@ def _values(c):
         ("SSD", _text(number, "GB NVMe")),
         ("HDD", F.lit("2TB")),
         ("Warranty", F.lit("1 year")),
+        ("Motherboard", _text("B650-", number)),
+        ("Power Supply", F.when(c("k") % 3 != 2, _text(number, " W"))),
+        ("Case", _text("Mesh Tower " * 40, number)),
+        ("CPU Cooler", _text("Air ", number)),
+        ("Fans", _text("Three ", number)),
+        ("Operating System", F.when(c("k") % 2 == 0, _text("Windows ", number))),
     )
 
 
@@ -334,3 +340,18 @@ def detail_sql(source: str) -> str:
   FROM (SELECT p_partkey AS id, p_partkey // 10 AS k, p_name AS plain,
                CAST(floor(p_retailprice * 10) AS BIGINT) AS price FROM part)
   WHERE {keep})"""
+
+
+def late_components_sql(source: str) -> str:
+    """The components that stand behind the warranty, on the systems of one shop's detail pages. The label of the fans
+    is known to one shop only."""
+    zestro = source == "zestrogaming.com"
+    listed = f"NOT (k % 9 = 4) AND NOT (k % 4 = 0 AND {str(zestro).lower()})"
+    keep = "true" if zestro else "NOT (k % 9 = 4) AND k % 17 <> 6"
+    fields = {"motherboard": "'B650-' || id", "psu": "CASE WHEN k % 3 <> 2 THEN id || ' W' END",
+              "tower": "repeat('Mesh Tower ', 40) || id", "cpu_cooler": "'Air ' || id",
+              "case_fans": "'Three ' || id" if zestro else "CAST(NULL AS VARCHAR)",
+              "os": "CASE WHEN k % 2 = 0 THEN 'Windows ' || id END"}
+    columns = ", ".join(f"CASE WHEN {listed} THEN {value} END AS {name}" for name, value in fields.items())
+    return (f"SELECT '{source}' AS source, 'https://{source}/product/pc-' || id AS url, {columns} "
+            f"FROM (SELECT p_partkey AS id, p_partkey // 10 AS k FROM part) WHERE {keep}")

@@ -16,7 +16,7 @@ from rigbook.session import scratch_path
 from rigbook.sources.files import read_pages, write_pages
 from rigbook.sources.tables import CatalogueTables
 from samples.feed import table
-from samples.markup import detail_pages, detail_sql, listing_pages, listing_sql
+from samples.markup import detail_pages, detail_sql, late_components_sql, listing_pages, listing_sql
 from samples.registry import query
 
 _ROW = "name, price_pkr, url, category, source, thumbnail_url, page"
@@ -131,6 +131,31 @@ def category_links(spark, sf_dir):
     return links.select("source", F.col("page").cast("bigint").alias("page"), "url")
 
 
+_LINKS_SQL = """SELECT '{0}' AS source, k // 24 + 1 AS page,
+       'https://{0}/product/' || replace(p_name, ' ', '-') || '-' || p_partkey || '/' AS url
+FROM (SELECT *, p_partkey // 10 AS k FROM part)"""
+_OTHER_SHOPS = ("zestrogaming.com", "redtech.pk")
+
+
+@query(" UNION ALL ".join(_LINKS_SQL.format(source) for source in _OTHER_SHOPS))
+def category_links_elsewhere(spark, sf_dir):
+    """The same pages as two other shops print them, each with its own address and links of other shops between."""
+    pages = listing_pages(spark, sf_dir, "techmatched.pk")
+    found = [product_links(pages.withColumns({"source": F.lit(source), "html": F.concat(
+        F.replace("html", F.lit("https://techmatched.pk/"), F.lit(f"https://{source}/")),
+        F.lit('<a href="https://techmatched.pk/product/other/">'))}), source) for source in _OTHER_SHOPS]
+    return found[0].unionAll(found[1]).select("source", F.col("page").cast("bigint").alias("page"), "url")
+
+
+@query(" UNION ALL ".join(late_components_sql(source) for source in DETAIL_QUERIES.values()))
+def late_components(spark, sf_dir):
+    """The six components behind the warranty, one of them 400 characters long, on the pages of all three shops."""
+    rows = [extract_details(detail_pages(spark, sf_dir, source), source).select(
+        "source", "url", "components.motherboard", "components.psu", F.col("components.case").alias("tower"),
+        "components.cpu_cooler", "components.case_fans", "components.os") for source in DETAIL_QUERIES.values()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
 # -- the driver's pages ----------------------------------------------------------------------------------
 
 _ENTITIES_SQL = ("replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
