@@ -289,6 +289,15 @@ def parts_by_specs(spark, sf_dir):
                                           specs={"brand": "ASUS", "socket": "LGA1700", "colour": "red"}))
 
 
+@query(f"""WITH {CATALOGUE_SQL} {_LISTING_SQL} WHERE price_pkr % 3 <> 0""")
+def parts_without_latest_price(spark, sf_dir):
+    """Every price that 3 divides is missing in the log: a part whose newest row is such a one is not listed, whatever
+    its older rows say."""
+    rows = clean_rows(spark, sf_dir)
+    log = fold_prices(rows).withColumn("price_pkr", F.when(F.col("price_pkr") % 3 != 0, F.col("price_pkr")))
+    return _flat(catalogue.matching_parts(fold_parts(rows), catalogue.latest_prices(log)))
+
+
 _FACETS_SQL = " UNION ALL ".join(
     f"SELECT DISTINCT category, '{f}' AS field, \"{f}\" AS value FROM parts WHERE \"{f}\" <> '' "
     f"AND category = '{c}'" for c, fields in fixed.FACET_FIELDS.items() for f in fields)
@@ -428,6 +437,21 @@ def save_builds(spark, sf_dir):
     return saved.select("build_id", F.size("slots").cast("bigint").alias("slots"), "code")
 
 
+@query(f"""WITH {PART_LISTS_SQL},
+hashed AS (SELECT build_id, count(*) AS slots,
+                  sha256('sample/' || build_id || CASE WHEN build_id % 4 = 0 THEN '/1' ELSE '/0' END) AS digest
+           FROM build_lines GROUP BY build_id)
+SELECT build_id, slots, {_LETTERS} AS code FROM hashed""")
+def save_builds_again(spark, sf_dir):
+    """Every fourth list is saved already. When all are saved with the same salt, the codes those would get first
+    are taken, and they get the ones of the second attempt."""
+    lists = part_lists(spark, sf_dir)
+    none = spark.createDataFrame([], schemas.SHARED_BUILDS)
+    shared = builds.save_builds(lists.where("build_id % 4 = 0"), none, F.lit(FIRST_RUN), salt="sample")
+    saved = builds.save_builds(lists, shared, F.lit(SECOND_RUN), salt="sample")
+    return saved.select("build_id", F.size("slots").cast("bigint").alias("slots"), "code")
+
+
 _HALF = 62 ** 3
 _RANGE_CODES_SQL = f"""steps AS (
   SELECT o_orderkey, 0 AS step, o_orderkey // {_HALF} AS a, o_orderkey % {_HALF} AS b FROM orders
