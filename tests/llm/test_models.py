@@ -97,6 +97,72 @@ def test_quality(spark, documents):
     assert quality.quality_scores(documents([]), labels).count() == 0
 
 
+def slow_features(text):
+    """The statistics byte by byte and word by word."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [0.0, 1.0] + [0.0] * (len(quality.FEATURES) - 2)
+    kinds = dict.fromkeys(("letter", "upper", "digit", "blank", "mark", "sign"), 0)
+    for b in raw:
+        c = chr(b)
+        kinds["letter" if "a" <= c <= "z" or b > 127 else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else
+              "blank" if c in "\t\n\r " else "mark" if c in ".,;:'\"-()?" else "sign"] += 1
+    shown, n = max(1, len(raw) - kinds["blank"]), len(words)
+    letters = max(1, kinds["letter"] + kinds["upper"])
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    same, seen, seen_pairs, glued = 0, set(), set(), 0
+    for k, word in enumerate(words):
+        same += k > 0 and words[k - 1] == word
+        seen.add(word)
+        if k:
+            seen_pairs.add((words[k - 1], word))
+        end = len(word)
+        while end and not (chr(word[end - 1]).isascii() and chr(word[end - 1]).isalnum() or word[end - 1] > 127):
+            end -= 1
+        glued += len(word) - end >= 2 and end > 0 and not word[end - 1:end].isdigit()
+    return [min(1, np.log1p(len(raw)) / 12), 0, kinds["upper"] / letters, kinds["digit"] / shown, kinds["sign"] / shown,
+            letters / shown, kinds["mark"] / shown, min(1, 4 * sum(w == b"|" for w in words) / n),
+            min(1, 4 * sum(b == 33 for b in raw) / n), same / n, 1 - len(seen_pairs) / (n - 1) if n > 1 else 0,
+            len(seen) / n, min(1, len(zlib.compress(raw, 1)) / len(raw)), min(1, shown / n / 20),
+            min(1, n / max(1, len(lines)) / 100), 1 - len(set(lines)) / max(1, len(lines)), min(1, glued / n)]
+
+
+def test_quality_features_by_brute_force():
+    pick = random.Random(9)
+    pieces = ["a", "Bc", "7", "é", "日本", " ", " ", "\n", "\t", "|", "!", "!!", "##", "...", "word", "word", " word ", "?", "\n\n", "x1~~ "]
+    texts = [t for _, t in ODD] + ["".join(pick.choices(pieces, k=pick.randint(0, 80))) for _ in range(400)]
+    for text in texts:
+        assert np.allclose(quality.features(text), slow_features(text)), text[:200]
+
+
+def test_strengths_minimise_the_pairwise_loss():
+    """Overlapping kinds: over all pairs of a good and a poor document, no weights nearby have a clearly smaller loss,
+    and the order is that of the likelihood."""
+    pick = np.random.default_rng(10)
+    width = len(quality.FEATURES)
+    y = (pick.random(400) < 0.6).astype(int)
+    truth = np.zeros(width)
+    truth[:4] = 1.0, -0.7, 0.4, 0.0
+    x = pick.normal(size=(400, width)) + y[:, None] * truth
+    model = quality.Strengths(x, y)
+    z = model.standard(x)
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, width)
+
+    def loss(weights):
+        return np.logaddexp(0, -(pairs @ weights)).mean() + quality.RIDGE / 2 * weights @ weights
+    least = loss(model.weights)
+    for _ in range(60):
+        assert loss(model.weights + pick.normal(size=width) * 0.05) > least - 2e-3
+    for k in range(width):
+        step = np.eye(width)[k] * 1e-4
+        assert abs(loss(model.weights + step) - loss(model.weights - step)) / 2e-4 < 0.03
+    assert least < loss(np.zeros(width)) - 0.1 and (np.sign(model.weights[:3]) == (1, -1, 1)).all()
+    scores = model.scores(x, 0.3)
+    assert abs((scores < 0.3).sum() - (y == 0).sum()) <= 4
+    assert (np.diff(scores[np.argsort(z @ model.weights)]) >= 0).all()
+
+
 def test_toxicity_learns_marked_words(spark, documents):
     pick = random.Random(2)
     rows, labels = list(ODD), []
