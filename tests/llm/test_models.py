@@ -177,8 +177,7 @@ def test_toxicity_learns_marked_words(spark, documents):
     got = toxicity.toxicity(documents(rows), table).collect()
     scored = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
-    wrong = [(k, y) for k, y in labels if scored[k].predicted != y]
-    assert len(wrong) <= 5 and all(y for _, y in wrong)   # one marked word said four times scores once
+    assert [k for k, y in labels if scored[k].predicted != y] == []
     found = scored[100].passages
     assert len(found) >= 1 and all(20 <= p.begin < p.end <= 24 for p in found)
     assert not any(r.predicted for r in toxicity.toxicity(documents(rows), table.limit(0)).collect())
