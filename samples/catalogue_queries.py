@@ -208,8 +208,7 @@ def incremental_load(spark, sf_dir):
     """The feed arrives as JSON files and is loaded by a stream; the files come in feed order, as the
     order of files is the order of runs."""
     arrived = scratch_path(spark, "arrived")
-    write_json(product_feed(spark, sf_dir).repartitionByRange(3, "seq").sortWithinPartitions("seq"),
-               arrived)
+    write_json(product_feed(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), arrived)
     tables = CatalogueTables(spark, scratch_path(spark, "tables"))
     stream = read_feed_stream(spark, arrived)
     start_loading(stream, tables, scratch_path(spark, "progress"), F.lit(FIRST_RUN)).awaitTermination()
