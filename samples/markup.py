@@ -28,7 +28,9 @@ def _amount(number):
 
 def _card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all shops' cards have in common."""
-    part, k = table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 10)
+    # A part is few bytes and its pages are many: by the size of the table alone, a few tasks would make them all.
+    part = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    k = F.floor(F.col("p_partkey") / 10)
     return part.select(
         F.col("p_partkey").alias("id"), k.alias("k"), category(F.col("p_partkey")).alias("category"),
         F.replace("p_name", F.lit(" "), F.lit("-")).alias("path"),
