@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rigbook.functions.specs import with_specs
 from rigbook.functions.text import part_key, slug
-from rigbook.schemas import LATEST_PRICES, LISTING, PARTS, PREBUILTS, PRICE_LOG
+from rigbook.schemas import LATEST_PRICES, LISTING, PARTS, PREBUILTS, PRICE_LOG, SEQ
 from rigbook.session import cut_lineage
 
 KEY = ["source", "source_id"]
@@ -89,11 +89,15 @@ def fold_parts(feed: DataFrame) -> DataFrame:
 
     Specifications are read from the surviving name only, once per part instead of once per row.
     """
+    return _fold_parts(feed)
+
+
+def _fold_parts(feed: DataFrame, **more: Column) -> DataFrame:
     folded = (with_keys(feed).groupBy(*KEY)
               .agg(_last("name", "category"), F.min_by("url", "seq").alias("url"),
-                   _last_known("thumbnail_url")))
+                   _last_known("thumbnail_url"), *[value.alias(c) for c, value in more.items()]))
     keyed = folded.select(part_key(F.col("source"), F.col("source_id")).alias("part_id"), *KEY, "url",
-                          "thumbnail_url", "last.name", "last.category")
+                          "thumbnail_url", "last.name", "last.category", *more)
     return with_specs(keyed)
 
 
@@ -105,8 +109,13 @@ def upsert_parts(existing: DataFrame, feed: DataFrame, now: Column) -> DataFrame
 
 def fold_listing(feed: DataFrame) -> DataFrame:
     """A cleaned feed as one row per part with the feed's latest price of it."""
-    latest = latest_prices(fold_prices(feed)).withColumnRenamed("scraped_at", "priced_at")
-    return fold_parts(feed).join(latest, "part_id", "left")
+    # The first row of the newest time, as the log has it. It is found in the fold of the part itself, which saves the
+    # shuffles of a fold of its own and of the join. Turned bits order numbers from large to small and never overflow.
+    seq = F.col("seq")
+    first = F.struct(*[x for f in SEQ.names for x in (seq[f].isNull(), F.bitwise_not(seq[f]))])
+    newest = F.when(F.col("scraped_at").isNotNull(), F.struct("scraped_at", seq.isNotNull(), first))
+    return _fold_parts(feed, price_pkr=F.max_by(F.when(seq.isNotNull(), F.col("price_pkr")), newest),
+                       priced_at=F.max("scraped_at"))
 
 
 def merge_listing(existing: DataFrame, folded: DataFrame, now: Column) -> DataFrame:

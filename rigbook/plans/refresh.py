@@ -16,8 +16,8 @@ from rigbook.operators.cleaning import clean_feed
 from rigbook.operators.crawl import first_seen, unmatched_pages
 from rigbook.operators.details import extract_details
 from rigbook.operators.listing import extract_listing
-from rigbook.operators.loading import (backfill_specs, fold_listing, fold_prebuilts, merge_listing, merge_prebuilts,
-                                       new_prices)
+from rigbook.operators.loading import (backfill_specs, fold_listing, fold_prebuilts, fold_prices, merge_listing,
+                                       merge_prebuilts, new_prices)
 from rigbook.session import cut_lineage, scratch_run
 from rigbook.sources.tables import CatalogueTables
 
@@ -44,6 +44,8 @@ def load_feed(tables: CatalogueTables, feed: DataFrame, now: Column | None = Non
         months = [row[0] for row in batch.where("scraped_at is not null")
                   .select(F.trunc("scraped_at", "month")).distinct().collect()]
         log = tables.price_log().where(F.col("scraped_month").isin(months))
+        if log.isEmpty():       # nothing stored that a row could repeat
+            return tables.append_prices(cut_lineage(fold_prices(batch)))
         return tables.append_prices(cut_lineage(new_prices(log, batch)))
 
 

@@ -165,7 +165,7 @@ class CatalogueTables:
         schema = T.StructType([*BUCKETED[table][1], *more])
         paths = [f"{self.root}/{table}/data/version={v}/bucket={b}" for b, v in sorted(places.items())]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self._none(schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/data")
         return reader.parquet(*paths).select(schema.names)
 
@@ -207,7 +207,7 @@ class CatalogueTables:
                                T.StructField("thumbnails", T.LongType())])
         places = self._places(table)
         if not places:
-            return self.spark.createDataFrame([], schema).drop("bucket")
+            return self._none(schema).drop("bucket")
         versions = sorted(set(places.values()))
         rows = (self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/counts")
                 .parquet(*(f"{self.root}/{table}/counts/version={v}" for v in versions)))
@@ -240,9 +240,13 @@ class CatalogueTables:
         names = [status.getPath().getName() for status in fs.listStatus(folder)]
         return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
 
+    def _none(self, schema: T.StructType) -> DataFrame:
+        """No rows, and the planner knows: joins with them are dropped before anything is shuffled."""
+        return self.spark.createDataFrame([], schema).limit(0)
+
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         if not self._exists(path):
-            return self.spark.createDataFrame([], schema)
+            return self._none(schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{path}").select(schema.names)
 
     def _append(self, table: str, rows: DataFrame, partition_by: list, order: list, options: dict) -> int:
