@@ -146,9 +146,10 @@ def resolve_builds(shared: DataFrame, parts: DataFrame, latest: DataFrame) -> Da
     hot part's slots over several tasks.
     """
     order = F.array_position(F.lit(list(fixed.BUILD_SLOTS)), F.col("slot"))
-    slots = (shared.select("code", F.explode("slots").alias("slot", "part_id"))
-             .where("part_id is not null")
-             .groupBy("code", "part_id").agg(F.max_by("slot", order).alias("slot")))
+    # Written out, as the lists may be dear to make, and are read twice.
+    slots = cut_lineage(shared.select("code", F.explode("slots").alias("slot", "part_id"))
+                        .where("part_id is not null")
+                        .groupBy("code", "part_id").agg(F.max_by("slot", order).alias("slot")))
     needed = slots.select("part_id").distinct()
     priced = cut_lineage(needed.join(parts, "part_id")
                          .join(latest.select("part_id", "price_pkr"), "part_id"))
