@@ -91,10 +91,15 @@ def whole_json(text: Column, kind: str) -> Column:
     the text is read as the one element of a list and as the one field of an object: what closes the list early
     does not close the object, and the other way round.
     """
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
-    field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v {kind}, broken string",
-                        {"columnNameOfCorruptRecord": "broken"})
-    return F.when((F.size(listed) == 1) & field["broken"].isNull() & field["v"].isNotNull(), listed[0])
+    def both(whole):
+        return F.struct(
+            F.from_json(F.concat(F.lit("["), whole, F.lit("]")), f"array<{kind}>").alias("listed"),
+            F.from_json(F.concat(F.lit('{"v":'), whole, F.lit("}")), f"v {kind}, broken string",
+                        {"columnNameOfCorruptRecord": "broken"}).alias("field"))
+
+    # The text is made, and each form of it parsed, once.
+    return bind(bind(text, both), lambda r: F.when(
+        (F.size(r["listed"]) == 1) & r["field"]["broken"].isNull() & r["field"]["v"].isNotNull(), r["listed"][0]))
 
 
 def price_digits(text: Column) -> Column:

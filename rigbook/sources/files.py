@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rigbook import schemas
-from rigbook.functions.text import whole_json
+from rigbook.functions.text import bind, whole_json
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -45,6 +45,5 @@ def as_json(struct: Column) -> Column:
 
 def from_json_text(text: Column, schema: T.StructType) -> Column:
     """JSON text as a struct. NULL, empty and malformed text and an empty object all become NULL."""
-    parsed = whole_json(text, schema.simpleString())
-    filled = F.coalesce(*[parsed[f.name] for f in schema]).isNotNull()
-    return F.when(filled, parsed)
+    return bind(whole_json(text, schema.simpleString()), lambda parsed: F.when(
+        F.coalesce(*[parsed[f.name] for f in schema]).isNotNull(), parsed))
