@@ -5,6 +5,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rigbook.llm import chat_format, language_id, quality, toxicity
@@ -163,6 +164,34 @@ def test_strengths_minimise_the_pairwise_loss():
     assert (np.diff(scores[np.argsort(z @ model.weights)]) >= 0).all()
 
 
+def test_strengths_are_learnt_from_all_labelled_documents(spark):
+    """From a table of 30,000 documents as from their whole matrix; on that of some, at the minimum over all pairs."""
+    pick = np.random.default_rng(11)
+    width, n = len(quality.FEATURES), 30_000
+    y = (pick.random(n) < 0.7).astype(int)
+    x = pick.normal(size=(n, width)) + y[:, None] * np.linspace(-0.5, 0.5, width)
+    described = spark.createDataFrame(pa.table({
+        "doc_id": pa.array(range(n)), "features": pa.array(list(x), pa.list_(pa.float64()))}))
+    labels = spark.createDataFrame(pa.table({"doc_id": pa.array(range(n)), "quality": pa.array(y)}))
+    learnt = np.array([zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n)])
+    model, whole = quality.fit(described, labels), quality.Strengths(x[learnt], y[learnt])
+    assert np.allclose(model.middle, x[learnt].mean(axis=0)) and np.allclose(model.spread, x[learnt].std(axis=0))
+    assert np.allclose(model.weights, whole.weights, atol=1e-5)
+    assert np.isclose(model.threshold, whole.threshold, atol=1e-4) and np.isclose(model.scale, whole.scale, atol=1e-4)
+
+    x, y = x[:2000], y[:2000]
+    model = quality.Strengths(x, y)
+    z = model.standard(x)
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, width)
+    lost = 1 / (1 + np.exp(pairs @ model.weights))
+    assert np.abs(quality.RIDGE * model.weights - lost @ pairs / len(pairs)).max() < 1e-4
+    order = np.sort(z @ model.weights)
+    at, near = int((y == 0).sum()), len(y) // 100
+    gaps = np.diff(order)[at - near - 1:at + near]
+    below = int((order < model.threshold).sum())
+    assert abs(below - at) <= near and np.isclose(order[below] - order[below - 1], gaps.max())
+
+
 def test_toxicity_learns_marked_words(spark, documents):
     pick = random.Random(2)
     rows, labels = list(ODD), []
