@@ -5,7 +5,7 @@ per key, with partial aggregation before the shuffle, so a key that makes up muc
 row per task. Only then does it meet the stored table.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rigbook.functions.specs import with_specs
@@ -134,16 +134,24 @@ def fold_prices(feed: DataFrame) -> DataFrame:
             .to(PRICE_LOG))
 
 
+#: Rows of a folded batch up to which it is small enough to be broadcast.
+SMALL_BATCH = 100_000
+
+
 def new_prices(price_log: DataFrame, feed: DataFrame) -> DataFrame:
     """The log rows a cleaned feed adds: those whose part and time the log does not hold yet.
 
-    The log is the big side, and an anti join would shuffle it. So the folded batch is written, the log is
-    streamed past it (a broadcast, if the batch is small), and only its few hits meet the batch again.
+    The log is the big side, and an anti join would shuffle it. So the folded batch is written and counted, the log is
+    streamed past a small one (a broadcast), and only its few hits meet the batch again. A batch that is too large for
+    that would be shuffled twice, and the log all the same: there one anti join shuffles each once.
     """
     keys = ["scraped_month", "part_id", "scraped_at"]
-    batch = cut_lineage(fold_prices(feed))
-    hit = price_log.select(keys).join(batch.select(keys), keys, "left_semi")
-    return batch.join(hit, keys, "left_anti").to(PRICE_LOG)
+    counted = Observation()
+    batch = cut_lineage(fold_prices(feed).observe(counted, F.count(F.lit(1)).alias("rows")))
+    known = price_log.select(keys)
+    if counted.get["rows"] <= SMALL_BATCH:
+        known = known.join(batch.select(keys), keys, "left_semi")
+    return batch.join(known, keys, "left_anti").to(PRICE_LOG)
 
 
 def merge_latest(latest: DataFrame, added: DataFrame) -> DataFrame:

@@ -89,6 +89,28 @@ def test_unrelated_parts_stay_as_they_are(spark):
     assert names == {"p-a": ("Changed", T2), "p-b": ("Card", T1)}
 
 
+def test_large_batch_meets_the_log_in_one_join(spark, monkeypatch):
+    log = loading.fold_prices(feed(spark, row(at=T1, price=4100), row(at=T2, url="https://s.pk/p/b")))
+    batch = feed(spark, row(at=T1), row(at=T2), row(at=None), row(at=T2, url="https://s.pk/p/b"), row(at=T2, price=9000, pos=1),
+                 row(at=T1, url="https://s.pk/p/c"))
+    plans, found = [], []
+    for small in (loading.SMALL_BATCH, 0):
+        monkeypatch.setattr(loading, "SMALL_BATCH", small)
+        new = loading.new_prices(log, batch)
+        found.append(sorted((r.part_id, r.scraped_at, r.price_pkr) for r in new.collect()))
+        plans.append(new._jdf.queryExecution().optimizedPlan().toString())
+    assert found[0] == found[1] and len(found[0]) == 2
+    assert [plan.count("Join Left") for plan in plans] == [2, 1]
+
+
+def test_names_are_tested_in_compiled_code(spark):
+    """The name is made lower once, and no lambda, which Spark interprets, goes through the terms."""
+    rows = feed(spark, row(name=None), row(name="Gpu HOLDER"), row()).withColumn("name", F.initcap("name"))
+    plan = cleaning.clean_feed(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("lower(") == 1
+    assert sorted(r["name"] or "" for r in cleaning.clean_feed(rows).collect()) == ["", "Card"]
+
+
 def test_last_known_thumbnail_wins(spark):
     parts = loading.fold_parts(feed(spark, row(thumb="a", pos=0), row(thumb="b", pos=1), row(pos=2)))
     assert one(parts)["thumbnail_url"] == "b"
