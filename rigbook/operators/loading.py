@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rigbook.functions.specs import with_specs
 from rigbook.functions.text import part_key, slug
 from rigbook.schemas import LATEST_PRICES, LISTING, PARTS, PREBUILTS, PRICE_LOG, SEQ
-from rigbook.session import cut_lineage
+from rigbook.session import cut_lineage, small_scans
 
 KEY = ["source", "source_id"]
 
@@ -170,6 +170,7 @@ def merge_latest(latest: DataFrame, added: DataFrame) -> DataFrame:
 
 def fold_prebuilts(feed: DataFrame) -> DataFrame:
     """A prebuilt feed as one row per system. Nothing is rejected, and a missing price counts."""
+    small_scans(feed.sparkSession)
     folded = (with_keys(feed, "prebuilt_id").groupBy(*KEY)
               .agg(_last("name", "price_pkr", "components", "scraped_at"),
                    F.min_by("url", "seq").alias("url"), _last_known("thumbnail_url")))

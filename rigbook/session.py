@@ -28,6 +28,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_scans(spark: SparkSession) -> None:
+    """For folds of wide rows, whose rows each task sorts by key before it folds them: of Spark's default, 128 MB of
+    Parquet, a task makes more rows than its memory holds, and writes them to disk for the sort."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

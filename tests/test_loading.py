@@ -111,6 +111,19 @@ def test_names_are_tested_in_compiled_code(spark):
     assert sorted(r["name"] or "" for r in cleaning.clean_feed(rows).collect()) == ["", "Card"]
 
 
+def test_folds_of_wide_rows_read_small_pieces(spark, tmp_path):
+    many = spark.range(3_000_000).select(F.expr("uuid()").alias("url"), F.lit(SHOP).alias("source"))
+    many = many.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schemas.PREBUILT_FEED if f.name not in many.columns})
+    many.coalesce(1).write.option("parquet.block.size", str(4 << 20)).parquet(str(tmp_path / "feed"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    try:
+        loading.fold_prebuilts(spark.read.parquet(str(tmp_path / "feed")))
+        assert spark.read.parquet(str(tmp_path / "feed")).rdd.getNumPartitions() >= 6
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_last_known_thumbnail_wins(spark):
     parts = loading.fold_parts(feed(spark, row(thumb="a", pos=0), row(thumb="b", pos=1), row(pos=2)))
     assert one(parts)["thumbnail_url"] == "b"
