@@ -27,8 +27,8 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
-    """The distinct hashed shingles of each text, in order; fewer words make one shingle, none make none."""
+def shingles(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """The hashed shingles of each text as they follow each other; fewer words make one shingle, none make none."""
     ends = np.cumsum([0, *map(len, texts)])
     if not ends[-1]:
         return [np.zeros(0, np.uint64)] * len(texts)
@@ -36,13 +36,30 @@ def shingle_sets(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
     rows = np.zeros(len(hashes), np.uint64)
     for k in range(size):
         rows[:len(hashes) - k] = stirred(rows[:len(hashes) - k] * MIX + hashes[k:] + np.uint64(k + 1))
-    sets = []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
+    found = []
+    for text, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if b - a >= size:
-            sets.append(np.unique(rows[a:b - size + 1]))
+            found.append(rows[a:b - size + 1])
         else:
-            sets.append(hash_words([b" ".join(texts[len(sets)])]) if b > a else np.zeros(0, np.uint64))
-    return sets
+            found.append(hash_words([b" ".join(text)]) if b > a else np.zeros(0, np.uint64))
+    return found
+
+
+def shingle_sets(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """The distinct hashed shingles of each text, in order; fewer words make one shingle, none make none."""
+    return [np.unique(s) for s in shingles(texts, size)]
+
+
+def distinct_counts(values: list[np.ndarray]) -> np.ndarray:
+    """How many different values each array has. All are sorted at once, by array and the upper bits of the value; only
+    arrays in which two agree there are looked at one by one."""
+    counts = np.array([len(v) for v in values], np.int64)
+    bits = np.uint64(max(len(values).bit_length(), 1))
+    of = np.repeat(np.arange(len(values), dtype=np.uint64) << (np.uint64(64) - bits), counts)
+    marks = np.sort(of | (np.concatenate(values) >> bits)) if len(values) else of
+    for k in np.unique(marks[1:][marks[1:] == marks[:-1]] >> (np.uint64(64) - bits)).tolist():
+        counts[k] = len(np.unique(values[k]))
+    return counts
 
 
 def signatures(sets: list[np.ndarray], hashes: int, seed: int = 5) -> np.ndarray:
@@ -169,6 +186,15 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
+def linked_pair(nodes: list[int], texts: list[list[bytes]], size: int, percent: int) -> list[tuple[int, int]]:
+    """The link between two texts, if their shingles are similar: what ``shingle_sets``, ``similar`` and ``spanning`` find
+    for a unit of two, without their arrays."""
+    one, two = ({tuple(t[k:k + size]) for k in range(max(len(t) - size, 0) + 1)} if t else set() for t in texts)
+    shared = len(one & two)
+    linked = shared > 0 and 100 * shared >= percent * (len(one) + len(two) - shared)
+    return [(nodes[0], nodes[1])] if linked and nodes[0] != nodes[1] else []
+
+
 def spanning(nodes: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what the matrix connects, fewer than there are nodes."""
     seen, out = np.zeros(len(nodes), bool), []

@@ -11,9 +11,10 @@ and pieces form passages, which go if they are long enough.
 
 import bisect
 import functools
+import itertools
 import re
-import zlib
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigbook.llm.common import LOWER_BYTES, columns_of, components, small_batches
-from rigbook.llm.similarity import (band_keys, bits_of, buckets, in_units, maybe_in, other_side, shingle_sets,
-                                    signatures, similar, spanning)
+from rigbook.llm.similarity import (band_keys, bits_of, buckets, distinct_counts, in_units, linked_pair, maybe_in,
+                                    other_side, shingle_sets, shingles, signatures, similar, spanning)
 from rigbook.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
@@ -44,7 +45,10 @@ BLOCK = 512
 #: So many paragraphs a task remembers to have sent, before it starts afresh.
 REMEMBERED = 500_000
 
-_BREAKS = re.compile(r"[.!?]+(?=\s)|\n").finditer
+#: What lies between words, as bytes.split has it.
+BLANKS = " \t\n\r\x0b\x0c"
+#: A sentence or a line ends behind it. One set of first letters, which re looks for without trying the pattern everywhere.
+_BREAKS = re.compile(r"[.!?\n](?:(?<=\n)|(?=\s))").finditer
 
 
 @functools.cache
@@ -56,15 +60,25 @@ def _next_words(n: int):
 PARAGRAPHS = "row long, doc_id long, at int, begin int, end int, n_words int, digest long, words binary"
 
 
-def pieces_of(text: str, begin: int, end: int, words: list[bytes]) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(begin, end, number of the first word, words) of the pieces of a long paragraph, which fill it."""
+def pieces_of(text: str, begin: int, end: int, words: list[bytes], single: bool) -> Iterator[
+        tuple[int, int, int, list[bytes]]]:
+    """(begin, end, number of the first word, words) of the pieces of a long paragraph, which fill it. ``single`` says
+    that the paragraph is ASCII and has one blank between any two words, so that places follow from lengths."""
     first, last = 0, len(words) - 1
-    while first <= last:
-        k = min(first + PIECE_WORDS - 1, last)
-        while k < last and zlib.crc32(words[k]) % PIECE_RATE:
-            k += 1
-        cut = end if k == last else skipped(text, begin, k + 1 - first)
-        yield begin, cut, first, words[first:k + 1]
+    marks = [k for k, word in enumerate(words) if not crc32(word) % PIECE_RATE]
+    marks.append(last)
+    if single:      # the end of the word before a piece; of the first, as if a blank were before the paragraph
+        before = end - len(text[begin:end].lstrip(BLANKS)) - 1
+    for k in marks:
+        if k < last and k < first + PIECE_WORDS - 1:
+            continue
+        part = words[first:k + 1]
+        if single:
+            before += sum(map(len, part)) + len(part)
+        cut = end if k == last else before if single else skipped(text, begin, len(part))
+        yield begin, cut, first, part
+        if k == last:
+            return
         begin, first = cut, k + 1
 
 
@@ -82,21 +96,19 @@ def paragraphs_of(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]
     lower-cased."""
     text = text or ""
     begin = at = 0
-    for cut in [*(found.end() for found in _BREAKS(text)), len(text)]:
-        words = text[begin:cut].encode().translate(LOWER_BYTES).split()
-        if words and (len(words) >= SENTENCE_WORDS or cut == len(text) or text[cut - 1] == "\n"):
+    size = len(text)
+    for cut in [*(found.end() for found in _BREAKS(text)), size]:
+        whole = text[begin:cut].encode().translate(LOWER_BYTES)
+        words = whole.split()
+        if words and (len(words) >= SENTENCE_WORDS or cut == size or text[cut - 1] == "\n"):
             yield begin, cut, at, words, True
             if len(words) > LONG_WORDS:
-                for a, b, first, part in pieces_of(text, begin, cut, words):
+                single = len(whole) == cut - begin and len(whole.strip()) == sum(map(len, words)) + len(words) - 1
+                for a, b, first, part in pieces_of(text, begin, cut, words, single):
                     yield a, b, at + first, part, False
             begin, at = cut, at + len(words)
 
 
-def node_of(words: list[bytes]) -> int:
-    digest = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return digest - (digest >> 63 << 64)        # as a signed number
-
-
 def paragraphs(documents: DataFrame) -> DataFrame:
     """All paragraphs and pieces with their digests; narrow. Null texts and null ids have none. ``row`` numbers the
     rows in the order of reading, ``at`` the words of a text.
@@ -110,19 +122,28 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            out = []
-            for row, key, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+            counts, places, digests, sending = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                before = len(digests)
                 for begin, end, at, words, whole in paragraphs_of(text):
-                    node, sending = node_of(words), None
-                    if whole and len(words) >= SHINGLE + LEAST - 1 and node not in sent:
-                        sending = b" ".join(words)
+                    joined = b" ".join(words)
+                    node, n_words = xxhash.xxh3_64_intdigest(joined), len(words)
+                    places += (at, begin, end, n_words)
+                    digests.append(node)
+                    if whole and n_words >= SHINGLE + LEAST - 1 and node not in sent:
+                        sending.append(joined)
                         sent.add(node)
-                    out.append((row, key, at, begin, end, len(words), node, sending))
+                    else:
+                        sending.append(None)
+                counts.append(len(digests) - before)
             if len(sent) > REMEMBERED:
                 sent.clear()
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            by_place = np.array(places, np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)],
+                [*(batch.column(c).take(of) for c in ("row", "doc_id")),
+                 *(pa.array(np.ascontiguousarray(by_place[:, k])) for k in range(4)),
+                 pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sending, pa.binary())],
                 names=["row", "doc_id", "at", "begin", "end", "n_words", "digest", "words"])
 
     rows = numbered(documents).where("doc_id is not null and text is not null")
@@ -138,9 +159,10 @@ def numbered(documents: DataFrame) -> DataFrame:
 def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (node, key) for each band of each paragraph; neither keys nor shingles are stored."""
     for batch in batches:
-        sets = shingle_sets([w.split() for w in batch.column("words").to_pylist()], SHINGLE)
-        enough = np.array([len(s) >= LEAST for s in sets], bool)
-        keys = band_keys(signatures([s for s in sets if len(s) >= LEAST], BANDS * BAND_ROWS), BAND_ROWS)
+        found = shingles([w.split() for w in batch.column("words").to_pylist()], SHINGLE)
+        enough = distinct_counts(found) >= LEAST
+        # A shingle that stands twice changes no minimum.
+        keys = band_keys(signatures(list(itertools.compress(found, enough)), BANDS * BAND_ROWS), BAND_ROWS)
         node = batch.column("node").to_numpy(zero_copy_only=False)[enough]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS), pa.int64()),
                                           pa.array(keys.ravel(), pa.int64())], names=["node", "key"])
@@ -190,6 +212,8 @@ def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     units = buckets(shared, BLOCK).join(words, "node")
 
     def verify(unit: dict[str, list]) -> list[tuple]:
+        if len(unit["node"]) == 2:      # as most units are
+            return linked_pair(unit["node"], [w.split() for w in unit["words"]], SHINGLE, PERCENT)
         sets = shingle_sets([w.split() for w in unit["words"]], SHINGLE)
         return spanning(unit["node"], other_side(unit["side"], similar(sets, PERCENT)))
 
@@ -255,11 +279,15 @@ def repeated_passages(documents: DataFrame, least_words: int = PASSAGE_WORDS) ->
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, key, found in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "parts")), strict=True):
+            parts = batch.column("parts")
+            # The fields of all rows at once: rows of a struct one by one are dear.
+            found = list(zip(*(field.to_pylist() for field in parts.flatten().flatten()), strict=True))
+            ends = np.cumsum(parts.value_lengths().to_numpy()).tolist()
+            for row, key, a, b in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(),
+                                      [0, *ends[:-1]], ends, strict=True):
                 kinds: tuple[list[Stretch], list[Stretch]] = [], []
-                for p in found:
-                    kinds[p["first_doc"] != key].append((p["at"], p["at"] + p["n_words"], p["begin"], p["end"],
-                                                         p["class_id"], p["first_doc"]))
+                for at, begin, end, n_words, class_id, first in found[a:b]:
+                    kinds[first != key].append((at, at + n_words, begin, end, class_id, first))
                 gone = joined(kinds[True])
                 kept = joined(x for own in joined(kinds[False]) for x in outside(own, gone))
                 out += [(row, key, begin, end, to - at, of, first, removed)

@@ -1,6 +1,7 @@
 """Deduplication and decontamination against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rigbook.llm import decontamination, exact_dedup, near_dedup, substring_dedup
+from rigbook.llm import decontamination, exact_dedup, near_dedup, similarity, substring_dedup
 from rigbook.llm.common import components
 from rigbook.llm.similarity import bits_of, maybe_in
 
@@ -307,3 +308,41 @@ def test_similar_paragraphs_are_one_class(documents):
     rows = [(1, " ".join(words)), (2, " ".join(words[:40] + ["other"] + words[41:])), (3, " ".join(words[::-1]))]
     got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(documents(rows)).collect()}
     assert got == {1: 0, 2: 80, 3: 0}
+
+
+def test_paragraphs_are_banded_together(monkeypatch):
+    """No paragraph without repeated shingles costs a look of its own."""
+    calls = []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    texts = [b" ".join(b"%d" % (100 * k + i) for i in range(9)) for k in range(200)]
+    texts += [b"a b c d e " * 3, b"a a a a a a a a a"]         # the first has five different shingles, the last one
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202), pa.int64()), pa.array(texts, pa.binary())],
+                                       names=["node", "words"])
+    found = list(substring_dedup.banded([batch]))
+    assert len(calls) < 10
+    assert found[0].column("node").to_pylist() == [k for k in range(201) for _ in range(substring_dedup.BANDS)]
+
+
+def test_pairs_of_texts_are_linked_as_larger_units_are():
+    rng = random.Random(4)
+    seen = set()
+    for _ in range(500):
+        one = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(5, 30))]
+        two = one[rng.randrange(3):] + rng.choice([[], [b"z"]])
+        nodes = rng.choice([[1, 2], [9, 3], [5, 5]])
+        sets = similarity.shingle_sets([one, two], 5)
+        assert similarity.distinct_counts(similarity.shingles([one, two], 5)).tolist() == [len(s) for s in sets]
+        expected = similarity.spanning(nodes, similarity.similar(sets, 80))
+        assert similarity.linked_pair(nodes, [one, two], 5, 80) == expected
+        seen.add(len(expected))
+    assert seen == {0, 1}
+
+
+@pytest.mark.parametrize("head, between", [("", " "), (" \t", " "), ("", "  "), ("é ", " "), ("", " \x0b")])
+def test_pieces_of_long_paragraphs_lie_where_their_words_are(head, between):
+    text = head + between.join(f"Word{k}" for k in range(300)) + " "
+    pieces = [p for p in substring_dedup.paragraphs_of(text) if not p[4]]
+    assert len(pieces) > 20 and pieces[0][0] == 0 and pieces[-1][1] == len(text)
+    assert all(a[1] == b[0] and a[2] + len(a[3]) == b[2] for a, b in itertools.pairwise(pieces))
+    assert all(text[begin:end].lower().encode().split() == words for begin, end, _, words, _ in pieces)
