@@ -13,9 +13,15 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(schemas.PAGES).format(fmt).load(path)
 
 
+#: Bytes of a row group of pages. They count as compressed, which pages are to a tenth or less, and a task reads whole
+#: row groups: of Spark's default, 128 MB, one task reads all pages of a shop.
+PAGE_GROUP = 1 << 20
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     # Rebalancing splits a shop that holds most of the pages over many tasks and files.
-    (pages.hint("rebalance", "source").write.mode("append").partitionBy("source").parquet(path))
+    (pages.hint("rebalance", "source").write.mode("append").partitionBy("source")
+     .option("parquet.block.size", str(PAGE_GROUP)).parquet(path))
 
 
 def read_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -26,10 +26,14 @@ def _amount(number):
     return F.format_number(number, 0)
 
 
-def _card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dealt(spark: SparkSession, rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out before pages are made of them: a part is few bytes and its pages are many, so that by the size of
+    the table alone a few tasks would make them all."""
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, *keys)
+
+
+def _card_facts(part: DataFrame) -> DataFrame:
     """What all shops' cards have in common."""
-    # A part is few bytes and its pages are many: by the size of the table alone, a few tasks would make them all.
-    part = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     k = F.floor(F.col("p_partkey") / 10)
     return part.select(
         F.col("p_partkey").alias("id"), k.alias("k"), category(F.col("p_partkey")).alias("category"),
@@ -184,14 +188,15 @@ MARKUP = {
 def listing_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """All listing pages of one shop, under the seed pages of the categories it carries."""
     card, page = MARKUP[source]
-    facts = _card_facts(spark, sf_dir)
+    facts = _card_facts(table(spark, sf_dir, "part"))
     seeds = F.broadcast(seed_dimension(spark).where(F.col("source") == source))
     number = (F.floor(F.col("k") / PER_PAGE) + 1).cast("int")
     is_last = F.col("k") % PER_PAGE == PER_PAGE - 1
-    shown = (facts.join(seeds, "category")
-             .select("seed_url", "source", "k", card(F.col).alias("card"),
-                     F.explode(F.when(is_last, F.array(number, number + 1)).otherwise(F.array(number)))
-                     .alias("page")))
+    shown = facts.join(seeds, "category").withColumn(
+        "page", F.explode(F.when(is_last, F.array(number, number + 1)).otherwise(F.array(number))))
+    # Dealt out by page while a card is but its facts: its text is made where its page is, and never shuffled.
+    shown = (_dealt(spark, shown, "source", "seed_url", "page")
+             .select("seed_url", "source", "k", card(F.col).alias("card"), "page"))
     # At most 25 cards to a page.
     cards = F.array_sort(F.collect_list(F.struct("k", "card")))["card"]
     return (shown.groupBy("source", "seed_url", "page").agg(cards.alias("cards"))
@@ -305,7 +310,7 @@ _COMPONENT_MARKUP = {"zestrogaming.com": _section_or_icons, "redtech.pk": _table
 
 def detail_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """One detail page per part: every 17th sells a keyboard, every 13th shows no price."""
-    facts, c = _card_facts(spark, sf_dir), F.col
+    facts, c = _card_facts(_dealt(spark, table(spark, sf_dir, "part"), "p_partkey")), F.col
     title = _text("Gaming ", F.when(c("k") % 17 == 6, "Keyboard ").otherwise(""), _printed(c))
     heading = F.when(c("k") % 6 == 0, _text("<h1>", title, "</h1>")).otherwise(
         _text('<h1 class="entry product_title"><b>', title, "</b> </h1>"))

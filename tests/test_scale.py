@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from rigbook import schemas
 from rigbook.operators.loading import fold_listing, fold_parts, fold_prices, latest_prices
 from rigbook.plans.builds import resolve_builds
 from rigbook.session import cut_lineage, scratch_path
-from rigbook.sources.files import from_json_text
+from rigbook.sources.files import from_json_text, read_pages, write_pages
 from rigbook.sources.tables import CatalogueTables
 from samples import catalogue_queries, markup
 
@@ -101,3 +102,21 @@ def test_part_lists_are_made_once(spark):
     assert "Generate" not in plan_of(found)
     assert sorted((r.code, r.slot, r.price_pkr) for r in found.collect()) == [
         ("c1", "cpu", 5), ("c1", "gpu", 6), ("c2", "cpu", 5)]
+
+
+def test_pages_are_dealt_out_before_their_cards_are_made(spark, sample):
+    """What is shuffled are facts; the text of a card is neither shuffled nor made where its page is not."""
+    plan = plan_of(markup.listing_pages(spark, sample, "amdhouse.pk"))
+    before, dealt, narrow = plan.partition("Exchange hashpartitioning")
+    assert dealt and "wp-content" in before and "wp-content" not in narrow and "Exchange hashpartitioning" not in narrow
+
+
+def test_stored_pages_can_be_read_by_many_tasks(spark, tmp_path):
+    html = F.concat(*[F.sha2((F.col("id") * 100 + k).cast("string"), 256) for k in range(60)])
+    rows = spark.range(0, 2000, 1, 1).select(
+        F.lit("a.pk").alias("source"), F.lit("s").alias("seed_url"), F.lit(1).alias("page"), F.lit("u").alias("url"),
+        html.alias("html"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    path = str(tmp_path / "pages")
+    write_pages(rows, path)
+    groups = [pq.ParquetFile(f).num_row_groups for f in (tmp_path / "pages").rglob("*.parquet")]
+    assert sum(groups) > 1 and read_pages(spark, path).count() == 2000
