@@ -34,6 +34,18 @@ def small_scans(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
 
 
+@contextmanager
+def scans_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Tables written or collected inside are read by tasks of at most this size; then the setting is as before."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

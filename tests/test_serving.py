@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,29 @@ def test_index_reads_few_postings_and_verifies_candidates_alone(spark):
     assert search.count() == 1 and "Join" in plan_of(search)
 
 
+def test_index_grows_with_the_text_and_not_with_the_keys(spark):
+    """Keys that cannot be compressed stand in the index once for each part, not once for each trigram."""
+    rows = spark.range(0, 5000, 1, 3).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("part_id"),
+        F.concat(F.lit("graphics card with a longer name "), F.col("id")).alias("name"))
+    path, before = scratch_path(spark, "names"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    name_index.write_index(rows, path)
+    postings = spark.read.parquet(f"{path}/postings").where("gram is not null").count()
+    written = sum(f.stat().st_size for f in Path(f"{path}/postings".removeprefix("file:")).rglob("*.parquet"))
+    assert postings > 150_000 and written < 64 * 5000 + 4 * postings
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    found = name_index.candidates(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "counts")), "e 4321")
+    expected = rows.where("name like '%e 4321%'").select("part_id")
+    assert found.collect() == expected.collect() != []
+
+
+def test_trigrams_of_texts(spark):
+    texts = ["abcabc", "ab", "", None, "日本製品", "x😀y😀z", "a\nb c", "ÄÖ\u0301Ü"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(name_index.trigrams(F.col("t"))).collect()] == [
+        None if t is None else list(dict.fromkeys(t[k:k + 3] for k in range(len(t) - 2))) for t in texts]
+
+
 def test_trigrams(spark):
     assert name_index.grams_of("RTX%4060_Ti Ö") == sorted(["060", "406", "rtx", "ti ", "i Ö"])
     assert name_index.grams_of("a%b_cd") == []
