@@ -225,7 +225,7 @@ _WHOLE_SPECS = ", ".join(f'CASE WHEN price_pkr % 5 = 0 THEN NULL ELSE "{f}" END
 def export_roundtrip(spark, sf_dir):
     """The feed written as JSON and read back, with its specifications turned to JSON text and back. Where the price
     is divisible by 5, something stands behind the text, which then is no JSON."""
-    path = scratch_path(spark, "export")
+    path = scratch_path(spark, "export") + ".gz"
     write_json(product_feed(spark, sf_dir), path)
     feed = with_specs(read_feed(spark, path))
     text = as_json(F.col("specs"))

@@ -54,6 +54,15 @@ def test_the_arriving_feed_is_dealt_out_as_widely_as_any_shuffle(spark, sample,
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("name", ["export_roundtrip"])
+def test_exported_feeds_are_compressed(spark, sample, monkeypatch, name):
+    paths, write = [], catalogue_queries.write_json
+    monkeypatch.setattr(catalogue_queries, "write_json", lambda rows, path: (paths.append(path), write(rows, path)))
+    assert getattr(catalogue_queries, name)(spark, sample).count() >= 390
+    assert all(f.endswith(".json.gz") for f in spark.read.schema(schemas.FEED).json(paths[0]).inputFiles())
+    assert spark.read.schema(schemas.FEED).json(paths[0]).count() == 400
+
+
 def test_parts_and_latest_prices_come_from_one_shuffle(spark):
     draw = random.Random(5)
     seqs = list(range(300))

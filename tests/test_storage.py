@@ -31,6 +31,19 @@ def test_json_export_keeps_text_and_nulls(spark):
     assert files.read_feed(spark, path).collect() == feed(spark, ("a", None, T1)).collect()
 
 
+def test_compressed_export_is_small_and_cut_into_files(spark, monkeypatch):
+    monkeypatch.setattr(files, "GZIP_ROWS", 300)
+    rows = feed(spark, *[(f"part {k}", None if k % 7 == 0 else k, T1) for k in range(1000)]).coalesce(1)
+    plain, path = scratch_path(spark, "export"), scratch_path(spark, "export") + ".gz"
+    files.write_json(rows, plain)
+    files.write_json(rows, path)
+    folder = Path(path.removeprefix("file:"))
+    assert len(list(folder.glob("*.json.gz"))) == 4 and not list(folder.glob("*.json"))
+    assert sum(f.stat().st_size for f in folder.glob("*.gz")) < 0.2 * sum(
+        f.stat().st_size for f in Path(plain.removeprefix("file:")).glob("*.json"))
+    assert sorted(map(str, files.read_feed(spark, path).collect())) == sorted(map(str, rows.collect()))
+
+
 def test_json_text_and_structs(spark):
     texts = ['{"brand": "AMD"}', "{}", "", None, "{oops", '{"colour": "red"}', '{"brand": null}']
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
