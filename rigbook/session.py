@@ -2,6 +2,7 @@
 
 import contextvars
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,6 +47,31 @@ def scans_of(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+_FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREEING_LOCK = threading.Lock()
+_freeing = {"inside": 0, "before": None}
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query that begins inside has shuffled is removed when it ends, and not when the driver happens to collect
+    its garbage. For writes: a plan that is run again would have to shuffle again. Several threads may be inside; the
+    last one to leave puts the setting back."""
+    with _FREEING_LOCK:
+        if not _freeing["inside"]:
+            _freeing["before"] = spark.conf.get(_FREEING, None)
+            spark.conf.set(_FREEING, "true")
+        _freeing["inside"] += 1
+    try:
+        yield
+    finally:
+        with _FREEING_LOCK:
+            _freeing["inside"] -= 1
+            if not _freeing["inside"]:
+                before = _freeing["before"]
+                spark.conf.unset(_FREEING) if before is None else spark.conf.set(_FREEING, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -97,5 +123,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     need, and the planner knows the true size, on which the choice of a broadcast rests.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.option("compression", "zstd").parquet(path)
+    with freeing_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from rigbook import schemas
 from rigbook.functions.text import bind, whole_json
+from rigbook.session import freeing_shuffles
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -45,7 +46,8 @@ def write_json(rows: DataFrame, path: str) -> None:
     if path.endswith(".gz"):
         writer = (writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
                   .option("maxRecordsPerFile", GZIP_ROWS))
-    writer.json(path)
+    with freeing_shuffles(rows.sparkSession):
+        writer.json(path)
 
 
 def add_missing_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:

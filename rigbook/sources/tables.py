@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rigbook import schemas
-from rigbook.session import cut_lineage
+from rigbook.session import cut_lineage, freeing_shuffles
 
 #: Groups of shops; each has so many buckets as the tables are made with.
 SHOP_GROUPS = 32
@@ -185,8 +185,9 @@ class CatalogueTables:
         path = f"{table}/data/version={version}"
         # Rebalancing, unlike a hash repartition, cuts a bucket that holds most of the rows into several files.
         laid_out = rows.to(schema).withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket")
-        (laid_out.sortWithinPartitions("bucket", *order).write.mode("errorifexists").partitionBy("bucket")
-         .option("parquet.block.size", str(ROW_GROUP)).parquet(f"{self.root}/{path}"))
+        with freeing_shuffles(self.spark):
+            (laid_out.sortWithinPartitions("bucket", *order).write.mode("errorifexists").partitionBy("bucket")
+             .options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP)}).parquet(f"{self.root}/{path}"))
         written = dict.fromkeys(self._names(path, "bucket="), version)
         self._write_counts(table, written, version)
         places = places | written
@@ -199,7 +200,8 @@ class CatalogueTables:
         rows = self._at(table, places, T.StructType([T.StructField("bucket", T.IntegerType())]))
         counts = rows.groupBy("bucket", *COUNTED[table]).agg(
             F.count(F.lit(1)).alias("n"), F.count("thumbnail_url").alias("thumbnails"))
-        counts.write.mode("errorifexists").parquet(f"{self.root}/{table}/counts/version={version}")
+        with freeing_shuffles(self.spark):
+            counts.write.mode("errorifexists").parquet(f"{self.root}/{table}/counts/version={version}")
 
     def _counts(self, table: str) -> DataFrame:
         kept = [f for f in BUCKETED[table][1] if f.name in COUNTED[table]]
@@ -252,6 +254,7 @@ class CatalogueTables:
     def _append(self, table: str, rows: DataFrame, partition_by: list, order: list, options: dict) -> int:
         written = Observation()
         counted = rows.observe(written, F.count(F.lit(1)).alias("rows"))
-        (counted.sortWithinPartitions(*order).write.mode("append").options(**options)
-         .partitionBy(*partition_by).parquet(f"{self.root}/{table}"))
+        with freeing_shuffles(self.spark):
+            (counted.sortWithinPartitions(*order).write.mode("append").option("compression", "zstd").options(**options)
+             .partitionBy(*partition_by).parquet(f"{self.root}/{table}"))
         return written.get["rows"]

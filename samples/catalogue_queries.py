@@ -207,7 +207,7 @@ FROM parts p JOIN price_log l USING (part_id, source, source_id)""")
 def incremental_load(spark, sf_dir):
     """The feed arrives as JSON files and is loaded by a stream; the files come in feed order, as the
     order of files is the order of runs."""
-    arrived = scratch_path(spark, "arrived")
+    arrived = scratch_path(spark, "arrived") + ".gz"
     write_json(product_feed(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), arrived)
     tables = CatalogueTables(spark, scratch_path(spark, "tables"))
     stream = read_feed_stream(spark, arrived)

@@ -1,7 +1,10 @@
 """How often rows are shuffled, computed and parsed, and over how many tasks they are dealt."""
 
 import datetime
+import hashlib
 import random
+import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 from rigbook import schemas
 from rigbook.operators.loading import fold_listing, fold_parts, fold_prices, latest_prices
 from rigbook.plans.builds import resolve_builds
-from rigbook.session import cut_lineage, scratch_path
-from rigbook.sources.files import from_json_text, read_pages, write_pages
+from rigbook.session import cut_lineage, freeing_shuffles, scratch_path
+from rigbook.sources.files import from_json_text, read_pages, write_json, write_pages
 from rigbook.sources.tables import CatalogueTables
 from samples import catalogue_queries, markup
 
@@ -54,7 +57,7 @@ def test_the_arriving_feed_is_dealt_out_as_widely_as_any_shuffle(spark, sample,
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-@pytest.mark.parametrize("name", ["export_roundtrip"])
+@pytest.mark.parametrize("name", ["export_roundtrip", "incremental_load"])
 def test_exported_feeds_are_compressed(spark, sample, monkeypatch, name):
     paths, write = [], catalogue_queries.write_json
     monkeypatch.setattr(catalogue_queries, "write_json", lambda rows, path: (paths.append(path), write(rows, path)))
@@ -79,6 +82,50 @@ def test_parts_and_latest_prices_come_from_one_shuffle(spark):
             == sorted(map(str, fold_parts(feed).join(latest, "part_id", "left").select(columns).collect())))
 
 
+def test_prices_are_shuffled_by_short_keys(spark):
+    rows = [(f"Card {k}", 5000 + k, f"https://s.pk/p/{k % 3}", "gpu", "x.pk", DAY, None, (0, 0, 1, k)) for k in range(9)]
+    folded = fold_prices(cut_lineage(spark.createDataFrame(rows, schemas.FEED)))
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?)\)", plan_of(folded))
+    assert [d.split("#")[0] for d in dealt] == ["key"] and "unhex(md5(" in optimized(folded)
+    assert sorted((r.part_id, r.price_pkr) for r in folded.collect()) == sorted(
+        (hashlib.md5(f"x.pk/p-{k}".encode()).hexdigest(), 5000 + k) for k in range(3))
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(k)) for k in range(blocks.size()) if str(blocks.apply(k)).startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_nothing_shuffled_behind(spark):
+    def left(rows, write):
+        before = shuffle_files(spark)
+        write(rows.repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+        for _ in range(50):     # files are removed behind the query's back
+            if not shuffle_files(spark) - before:
+                return 0
+            time.sleep(0.1)
+        return len(shuffle_files(spark) - before)
+
+    tables, rows = CatalogueTables(spark, scratch_path(spark, "tables")), spark.range(1000)
+    assert left(rows, cut_lineage) == 0
+    assert left(rows, lambda df: write_json(df, scratch_path(spark, "export"))) == 0
+    price = F.col("count").cast("bigint")
+    assert left(rows, lambda df: tables.append_prices(df.select(
+        F.col("k").cast("string").alias("part_id"), price.alias("price_pkr"), F.lit(DAY).alias("scraped_at"),
+        F.lit(DAY.date()).alias("scraped_month")))) == 0
+
+
+def test_shuffles_are_freed_until_the_last_writer_leaves(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    first, second = freeing_shuffles(spark), freeing_shuffles(spark)
+    first.__enter__(), second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key, None) == before
+
+
 def test_joins_with_tables_that_do_not_exist_yet_are_dropped(spark):
     tables, keys = CatalogueTables(spark, scratch_path(spark, "tables")), spark.range(9).select(
         F.col("id").cast("string").alias("part_id"))
