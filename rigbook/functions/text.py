@@ -122,6 +122,19 @@ def part_key(source: Column, source_id: Column) -> Column:
     return F.md5(F.concat_ws("/", source, source_id))
 
 
+def packed_key(key: Column) -> Column:
+    """A key as it goes through shuffles: one of :func:`part_key` as the 16 bytes that its letters stand for, which keeps
+    the order; any other text behind 17 zeros, so that none is taken for another."""
+    return (F.when(key.rlike(r"\A[0-9a-f]{32}\z"), F.unhex(key))
+            .otherwise(F.concat(F.lit(bytes(17)), key.cast("binary"))))
+
+
+def unpacked_key(packed: Column) -> Column:
+    """The inverse of :func:`packed_key`."""
+    return (F.when(F.length(packed) == 16, F.lower(F.hex(packed)))
+            .otherwise(F.substring(packed, 18, MAX_LENGTH).cast("string")))
+
+
 def absolute_url(base: str, href: Column) -> Column:
     """An address as printed on a page of ``base``, made absolute."""
     return (F.when(F.coalesce(href, F.lit("")) == "", "")

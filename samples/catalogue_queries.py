@@ -18,7 +18,7 @@ from rigbook.operators.reports import feed_counts as counts
 from rigbook.operators.reports import source_report, spec_coverage as coverage
 from rigbook.plans import builds, catalogue, name_index, paging, profiles
 from rigbook.plans.refresh import load_feed
-from rigbook.session import scratch_path
+from rigbook.session import cut_lineage, scratch_path
 from rigbook.sources.files import (add_missing_columns, as_json, from_json_text, read_feed, write_json)
 from rigbook.sources.tables import CatalogueTables
 from rigbook.streaming.incremental import read_feed_stream, start_loading
@@ -491,7 +491,9 @@ FROM last_slots JOIN parts USING (part_id) JOIN latest USING (part_id)""")
 def resolve_builds(spark, sf_dir):
     """All part lists looked up; their order numbers stand in for the codes."""
     shared = part_lists(spark, sf_dir).select(F.col("build_id").cast("string").alias("code"), "slots")
-    found = builds.resolve_builds(shared, *parts_and_latest(spark, sf_dir))
+    rows = cut_lineage(clean_rows(spark, sf_dir))      # read twice
+    parts, latest = fold_parts(rows), catalogue.latest_prices(fold_prices(rows))
+    found = builds.resolve_builds(shared, parts, latest)
     return found.select("code", "slot", "part_id", "name", "category", "price_pkr")
 
 

@@ -112,12 +112,18 @@ def part_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (items.join(part, F.col("l_partkey") == F.col("p_partkey"))
              .select(F.col("l_orderkey").alias("build_id"),
                      (F.col("l_linenumber") % 8).cast("int").alias("slot_no"),
-                     part_key(source, slug(url)).alias("part_id")))
-    slots = lines.groupBy("build_id", "slot_no").agg(F.max("part_id").alias("part_id"))
-    entry = F.struct("slot_no", pick(fixed.BUILD_SLOTS, F.col("slot_no")).alias("slot"), "part_id")
-    # At most eight slots per list.
-    return (slots.groupBy("build_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-            .select("build_id", F.map_from_arrays("entries.slot", "entries.part_id").alias("slots")))
+                     F.unhex(part_key(source, slug(url))).alias("key")))
+    # At most eight slots per list, so one aggregation with a column for each makes them. Keys are shuffled as bytes,
+    # which have the order of their letters. A line that belongs to no slot has none to name, and fails the job.
+    numbers = range(len(fixed.BUILD_SLOTS))
+    lists = lines.groupBy("build_id").agg(
+        *[F.max(F.when(F.col("slot_no") == n, F.col("key"))).alias(f"key_{n}") for n in numbers],
+        F.bool_or(F.coalesce(~F.col("slot_no").between(0, len(numbers) - 1), F.lit(True))).alias("astray"))
+    slots = F.filter(F.array(*[F.struct(F.lit(s).alias("slot"), F.lower(F.hex(f"key_{n}")).alias("part_id"))
+                               for n, s in enumerate(fixed.BUILD_SLOTS)]), lambda e: e["part_id"].isNotNull())
+    entries = F.when(F.col("astray"), F.raise_error(F.lit("a line of a part list has no slot")).cast(
+        "array<struct<slot:string,part_id:string>>")).otherwise(slots)
+    return lists.select("build_id", F.map_from_entries(entries).alias("slots"))
 
 
 # -- the same in SQL -------------------------------------------------------------------------------------

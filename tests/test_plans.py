@@ -223,6 +223,19 @@ def test_empty_list_is_refused(spark):
         builds.save_builds(lists(spark, {"cpu": "1"}, {"cpu": None}), shared(spark), F.lit(T1))
 
 
+def test_resolve_repeated_codes_and_parts(spark, parts, latest):
+    saved = shared(spark, ("abc123", {"gpu": "1", "cpu": "2"}, T1), ("abc123", {"cpu": "1", "ssd": "2", "toy": "5"}, T1),
+                   (None, {"case": "1", "cooling": "1", "cpu": "1", "toy": "3"}, T1), ("none00", None, T1),
+                   (None, {"ram": "3"}, T1), ("xyz789", {"toy": "3", "cpu": "3"}, T1))
+    for rows, expected in (
+            (saved, {("abc123", "gpu", "1"), ("abc123", "ssd", "2"), (None, "cooling", "1"), (None, "ram", "3"),
+                     ("xyz789", "cpu", "3")}),
+            (saved.where("code = 'xyz789'"), {("xyz789", "cpu", "3")}),
+            (saved.where("code is null and slots['cpu'] = '1'"), {(None, "cooling", "1"), (None, "toy", "3")})):
+        found = builds.resolve_builds(rows, parts, latest).where("part_id != '5'").collect()
+        assert sorted(map(str, ((r.code, r.slot, r.part_id) for r in found))) == sorted(map(str, expected))
+
+
 def test_resolve(spark, parts, latest):
     saved = shared(spark, ("abc123", {"cpu": "1", "gpu": "gone", "case": "3", "ssd": "4", "ram": "5"}, T1),
                    ("xyz789", {"cpu": "2", "cooling": "2"}, T1), ("empty0", {"cpu": None}, T1))

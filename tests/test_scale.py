@@ -10,13 +10,15 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rigbook import schemas
+from rigbook import fixed, schemas
 from rigbook.operators.loading import fold_listing, fold_parts, fold_prices, latest_prices
+from rigbook.plans import builds
 from rigbook.plans.builds import resolve_builds
 from rigbook.session import cut_lineage, freeing_shuffles, scratch_path
 from rigbook.sources.files import from_json_text, read_pages, write_json, write_pages
 from rigbook.sources.tables import CatalogueTables
 from samples import catalogue_queries, markup
+from samples.feed import part_lists
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -160,6 +162,40 @@ def test_part_lists_are_made_once(spark):
         ("c1", "cpu", 5), ("c1", "gpu", 6), ("c2", "cpu", 5)]
 
 
+def test_part_lists_are_shuffled_once_by_list(spark, sample):
+    lists = part_lists(spark, sample)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_of(lists))
+    assert [d.split("#")[0] for d in dealt] == ["build_id"]
+    found = {r.build_id: r.slots for r in lists.collect()}
+
+    def key(k):
+        return hashlib.md5(f"{fixed.PART_SOURCES[k % 9 % len(fixed.PART_SOURCES)]}/product-red-cold-part-{k % 40}".encode()).hexdigest()
+    assert len(found) == 100 and all(
+        slots == {fixed.BUILD_SLOTS[k % 4 + 1]: key(k) for k in range(4 * b, 4 * b + 4)} for b, slots in found.items())
+
+
+def test_a_line_without_a_slot_fails_the_part_lists(spark, sample, tmp_path):
+    other = tmp_path / "other"
+    items = spark.read.parquet(f"{sample}/lineitem.parquet")
+    spark.read.parquet(f"{sample}/part.parquet").write.parquet(str(other / "part.parquet"))
+    items.withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(3))).write.parquet(str(other / "lineitem.parquet"))
+    with pytest.raises(Exception, match="no slot"):
+        part_lists(spark, str(other)).collect()
+
+
+def test_slots_of_different_lists_meet_only_if_codes_repeat(spark, monkeypatch):
+    cuts, cut = [], builds.cut_lineage
+    monkeypatch.setattr(builds, "cut_lineage", lambda df: cuts.append(optimized(df)) or cut(df))
+    parts = spark.createDataFrame([("p1", "s", "p1", "p1", "gpu", "u", None, None, DAY, DAY)], schemas.PARTS)
+    latest = spark.createDataFrame([("p1", 5, DAY)], schemas.LATEST_PRICES)
+    for codes, expected in ((("c1", "c2"), [("c1", "gpu"), ("c2", "gpu")]), (("c1", "c1"), [("c1", "gpu")])):
+        cuts.clear()
+        lists = spark.createDataFrame([(c, {"cpu": "p1", "gpu": "p1"}) for c in codes], "code string, slots map<string,string>")
+        found = resolve_builds(lists, parts, latest)
+        assert sum("Aggregate [code" in plan for plan in cuts) == (len(set(codes)) == 1)
+        assert sorted((r.code, r.slot) for r in found.collect()) == expected
+
+
 def test_pages_are_dealt_out_before_their_cards_are_made(spark, sample):
     """What is shuffled are facts; the text of a card is neither shuffled nor made where its page is not."""
     plan = plan_of(markup.listing_pages(spark, sample, "amdhouse.pk"))

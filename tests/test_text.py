@@ -1,5 +1,6 @@
 """Text helpers, against Python's own notion of the same."""
 
+import hashlib
 import html
 from html.entities import html5
 import re
@@ -108,3 +109,12 @@ def test_absolute_url(spark):
     values = [None, "", "http://x/y", "/a", "a"]
     assert column(spark, values, X.absolute_url("https://b", F.col("t"))) == [
         "", "", "http://x/y", "https://b/a", "https://b/a"]
+
+
+def test_packed_keys(spark):
+    known = [hashlib.md5(str(k).encode()).hexdigest() for k in range(20)]
+    texts = [*known, None, "", "p1", "größe", known[0].upper(), known[0] + "\n", known[0][:31], "x" * 16, "\0" * 16, "a/b c"]
+    packed = column(spark, texts, X.packed_key(F.col("t")))
+    assert [len(p) for p in packed[:20]] == [16] * 20 and len({bytes(p) for p in packed if p is not None}) == len(texts) - 1
+    assert sorted(range(20), key=lambda k: bytes(packed[k])) == sorted(range(20), key=lambda k: known[k])
+    assert column(spark, texts, X.unpacked_key(X.packed_key(F.col("t")))) == texts
